@@ -25,6 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from parley.functions import fixed_values as fv
 from parley.functions.text import confidence, is_positive
@@ -90,10 +91,12 @@ def feature_stages(vocab: list[str], idf: list[float], text_col: str = "text") -
 
 
 def train_svm(train: DataFrame, max_features: int = features.MAX_FEATURES,
-              max_iter: int = 2000, text_col: str = "text", label: str = "label"):
+              max_iter: int = 2000, tol: float = 1e-4, text_col: str = "text",
+              label: str = "label"):
     """Fit vocabulary + IDF on ``train`` and a linear SVM with balanced class
     weights ``N/(k*n_c)`` and ``regParam = 1/N`` (C = 1 with weights summing to
-    N). Returns ``(PipelineModel, LinearTextModel)``."""
+    N), stopping at ``tol`` = 1e-4 (the classic LinearSVC default). Returns
+    ``(PipelineModel, LinearTextModel)``."""
     spark = train.sparkSession
     vocab, idf = features.fit_vocabulary(train, max_features, text_col)
     weights = class_weights(train).select(label, "weight")
@@ -101,7 +104,7 @@ def train_svm(train: DataFrame, max_features: int = features.MAX_FEATURES,
     weighted = train.join(F.broadcast(weights), label).withColumn(
         "label_d", F.col(label).cast("double"))
     svc = LinearSVC(featuresCol="features", labelCol="label_d", weightCol="weight",
-                    maxIter=max_iter, regParam=1.0 / max(n, 1), standardization=False,
+                    maxIter=max_iter, tol=tol, regParam=1.0 / max(n, 1), standardization=False,
                     rawPredictionCol="raw", predictionCol="pred_d")
     pipeline_model = Pipeline(stages=feature_stages(vocab, idf, text_col) + [svc]).fit(weighted)
     svm = pipeline_model.stages[-1]
@@ -132,20 +135,15 @@ def save_model(pipeline_model: PipelineModel, table: LinearTextModel, path: str)
     table.weights.unionByName(icpt).write.mode("overwrite").parquet(f"{path}/weights")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, LinearTextModel]:
     """Load a model directory; a missing one fails with a message telling how
     to train it."""
-    if not _exists(spark, f"{path}/weights"):
+    try:
+        w = spark.read.parquet(f"{path}/weights")
+    except AnalysisException as e:
         raise FileNotFoundError(
             f"no trained model at {path}; train one with "
-            "parley.operators.classifier.train_svm(...) and save_model(...)")
-    w = spark.read.parquet(f"{path}/weights")
+            "parley.operators.classifier.train_svm(...) and save_model(...)") from e
     icpt = w.where(F.col("term").isNull()).select("coef").first()
     weights = w.where(F.col("term").isNotNull())
     return (PipelineModel.load(f"{path}/pipeline"),

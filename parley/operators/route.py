@@ -52,14 +52,14 @@ def document_requests(documents: DataFrame) -> DataFrame:
     """Documents as requests: English ones go to a patient language (by id,
     like conversations), the others go to English. Codes by broadcast join."""
     d = documents.select("doc_id", "text", "lang")
-    codes = F.broadcast(langs.doc_lang_table(documents.sparkSession))
+    codes = F.broadcast(langs.doc_lang_table(documents.sparkSession)
+                        .withColumnRenamed("lang_code", "src_lang"))
     d = d.join(codes, "lang", "left")
     low = langs.lookup_codes(d.withColumn("lang_name", langs.patient_language(F.col("doc_id"))),
-                             "lang_name").withColumnRenamed("lang_code", "patient_code")
-    en = F.col("lang_code") == EN
-    return low.select("doc_id", "text", "lang",
-                      F.col("lang_code").alias("src_lang"),
-                      F.when(en, F.col("patient_code")).otherwise(F.lit(EN)).alias("tgt_lang"))
+                             "lang_name")
+    en = F.col("src_lang") == EN
+    return low.select("doc_id", "text", "lang", "src_lang",
+                      F.when(en, F.col("lang_code")).otherwise(F.lit(EN)).alias("tgt_lang"))
 
 
 def gate(df: DataFrame) -> DataFrame:

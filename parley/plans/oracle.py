@@ -126,9 +126,246 @@ work AS (SELECT *, CASE WHEN medical THEN simplified ELSE text END AS working FR
 proc AS (SELECT *, {tr} AS translation, {er} AS error FROM work)"""
 
 
+def corpus_ctes() -> str:
+    """Corpus, balanced sample and stratified split; defines corpus, bal, split."""
+    return f"""
+pos AS (SELECT 'pos' AS source, doc_id AS id, text, 1 AS label FROM documents
+        WHERE lang = 'en' AND text IS NOT NULL AND length(text) > 0),
+ut AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations
+       WHERE role = 'user' GROUP BY conv_id),
+neg AS (SELECT 'neg' AS source, conv_id AS id, text, 0 AS label FROM ut WHERE {nonblank('text')}),
+corpus AS (SELECT * FROM pos UNION ALL SELECT * FROM neg),
+bal_k AS (SELECT *, md5('42:' || source || ':' || CAST(id AS VARCHAR)) AS k FROM corpus),
+bal_q AS (SELECT min(c) AS quota FROM (SELECT label, count(*) AS c FROM corpus GROUP BY label)),
+bal AS (SELECT source, id, text, label FROM
+        (SELECT *, row_number() OVER (PARTITION BY label ORDER BY k, id) AS rn FROM bal_k) r, bal_q
+        WHERE rn <= quota),
+sp_k AS (SELECT *, md5('42:split:' || source || ':' || CAST(id AS VARCHAR)) AS k FROM bal),
+sp_c AS (SELECT label, count(*) AS c FROM bal GROUP BY label),
+sp_n AS (SELECT sum(c) AS n, CAST(ceil(CAST(0.2 AS DOUBLE) * CAST(sum(c) AS DOUBLE)) AS BIGINT) AS n_test FROM sp_c),
+sp_f AS (SELECT label, c, n, n_test, CAST(c AS DOUBLE) / n * (n - n_test) AS cont,
+                floor(CAST(c AS DOUBLE) / n * (n - n_test)) AS fl FROM sp_c, sp_n),
+sp_r AS (SELECT *, (n - n_test) - sum(fl) OVER () AS need,
+                row_number() OVER (ORDER BY cont - fl DESC, label) AS pos FROM sp_f),
+sp_q AS (SELECT label, c - (fl + CASE WHEN pos <= need THEN 1 ELSE 0 END) AS quota FROM sp_r),
+split AS (SELECT r.source, r.id, r.text, r.label,
+                 CASE WHEN r.rn <= sp_q.quota THEN 'test' ELSE 'train' END AS split
+          FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY k, id) AS rn FROM sp_k) r
+          JOIN sp_q USING (label)),
+tr AS (SELECT * FROM split WHERE split = 'train'),
+te AS (SELECT * FROM split WHERE split = 'test')"""
+
+
+def stats_ctes() -> str:
+    """Term statistics, vocabulary and IDF on the training split."""
+    return f"""
+tr_u AS (SELECT {tokens('text')} AS u FROM tr),
+tr_t AS (SELECT {with_bigrams('u')} AS t FROM tr_u),
+occ AS (SELECT term, count(*) AS tf FROM (SELECT unnest(t) AS term FROM tr_t) GROUP BY term),
+dis AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM tr_t) GROUP BY term),
+stats AS (SELECT term, tf, df FROM occ JOIN dis USING (term)),
+vocab AS (SELECT * FROM stats ORDER BY tf DESC, term LIMIT {MAX_FEATURES}),
+idf AS (SELECT term, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM vocab, (SELECT count(*) AS n FROM tr))"""
+
+
+def demo_pred_ctes() -> str:
+    return f"""{weights_cte()}, {score_ctes('te', 'source, id')},
+pr AS (SELECT source, id, text, label, CAST(margin > 0 AS INTEGER) AS prediction FROM scored)"""
+
+
+def tag_expr(medical: str, conf: str) -> str:
+    pct = f"CAST(CAST(round_even({conf} * 100, 0) AS BIGINT) AS VARCHAR)"
+    return (f"CASE WHEN {medical} IS NULL THEN NULL ELSE "
+            f"(CASE WHEN {medical} THEN {q(fv.TAG_MEDICAL)} ELSE {q(fv.TAG_NOT_MEDICAL)} END) || "
+            f"(CASE WHEN {conf} IS NULL THEN '' ELSE ' · ' || {pct} || '% conf.' END) END")
+
+
+def numbering_ctes() -> str:
+    return f"""
+ev AS (SELECT conv_id, turn, role, text,
+              sum(CASE WHEN role = 'system' THEN 1 ELSE 0 END) OVER
+                (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS epoch
+       FROM conversations),
+num AS (SELECT conv_id, turn, CAST(epoch AS BIGINT) AS epoch,
+               row_number() OVER (PARTITION BY conv_id, epoch ORDER BY turn) AS turn_no
+        FROM ev WHERE role <> 'system' AND {nonblank('text')})"""
+
+
+def transcript_ctes() -> str:
+    return f"""{processed_ctes()}, {numbering_ctes()},
+trn AS (
+  SELECT p.conv_id, n.epoch, n.turn_no, p.speaker,
+         CASE WHEN p.speaker = 'doctor' THEN 'assistant' ELSE 'user' END AS role,
+         CASE WHEN p.speaker = 'doctor' THEN p.text
+              WHEN p.error IS NOT NULL THEN {q(fv.PLACEHOLDER_PATIENT_FAILED)} ELSE p.translation END AS en,
+         CASE WHEN p.speaker <> 'doctor' THEN p.text
+              WHEN p.error IS NOT NULL THEN {q(fv.PLACEHOLDER_DOCTOR_FAILED)} ELSE p.translation END AS xx,
+         CASE WHEN p.speaker = 'doctor' AND p.error IS NULL THEN {tag_expr('p.medical', 'p.confidence')} END AS tag,
+         CASE WHEN p.speaker = 'doctor' AND p.error IS NULL AND length(p.simplified) > 0
+              THEN p.simplified END AS simplified,
+         p.error
+  FROM proc p JOIN num n USING (conv_id, turn))"""
+
+
+def doc_requests_cte() -> str:
+    rows = ", ".join(f"({q(a)}, {q(b)})" for a, b in fv.DOC_LANG_CODES)
+    return f"""
+dl AS (SELECT * FROM (VALUES {rows}) t(lang, lang_code)),
+dreq AS (SELECT d.doc_id, d.text, d.lang, dl.lang_code AS src_lang,
+                CASE WHEN dl.lang_code = 'en_XX' THEN l.lang_code ELSE 'en_XX' END AS tgt_lang
+         FROM documents d LEFT JOIN dl ON d.lang = dl.lang JOIN langs l ON l.idx = d.doc_id % 6)"""
+
+
+def neg_count(x: str, w: str) -> str:
+    return f"len(list_filter({tokens(x)}, lambda t: t = {q(w)}))"
+
+
+HTML_ESCAPE_SQL = (
+    "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), "
+    "'\"', '&quot;'), '''', '&#x27;')"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     s: dict[str, str] = {}
-    s["process_turns"] = f"""WITH {processed_ctes()}
+    C = corpus_ctes()
+    R6 = "round({0}, 6) AS {0}".format
+    s["filter_nonempty"] = f"WITH {C} SELECT * FROM pos"
+    s["extract_user_text"] = f"WITH {C} SELECT conv_id, text FROM ut"
+    s["filter_nonblank"] = f"SELECT * FROM conversations WHERE {nonblank('text')}"
+    s["corpus_build"] = f"WITH {C} SELECT * FROM corpus"
+    s["class_counts"] = f"""WITH {C}
+SELECT label, n_class, min(n_class) OVER () AS n_per_class,
+       min(n_class) OVER () * count(*) OVER () AS n_total
+FROM (SELECT label, count(*) AS n_class FROM corpus GROUP BY label)"""
+    s["balanced_sample"] = f"WITH {C} SELECT source, id, label FROM bal"
+    s["stratified_split"] = f"WITH {C} SELECT source, id, label, split FROM split"
+    s["class_weights"] = f"""WITH {C}
+SELECT label, n_class, round(sum(n_class) OVER () / (count(*) OVER () * n_class), 6) AS weight
+FROM (SELECT label, count(*) AS n_class FROM tr GROUP BY label)"""
+    s["tokens"] = f"""SELECT doc_id, len(u) AS n_tokens, len(list_distinct(u)) AS n_distinct
+FROM (SELECT doc_id, {tokens('text')} AS u FROM documents)"""
+    s["ngrams"] = f"""SELECT doc_id, len(t) AS n_terms, len(list_distinct(t)) AS n_distinct_terms
+FROM (SELECT doc_id, {with_bigrams('u')} AS t FROM (SELECT doc_id, {tokens('text')} AS u FROM documents))"""
+    s["html_escape"] = f"SELECT conv_id, turn, {HTML_ESCAPE_SQL} AS escaped FROM conversations"
+    s["prompt_build"] = f"""WITH {langs_cte()}, {requests_cte()}
+SELECT conv_id, turn, CAST(0 AS BIGINT) AS msg_idx, 'system' AS role, {q(fv.SYSTEM_PROMPT)} AS content
+FROM req WHERE src_lang = 'en_XX'
+UNION ALL
+SELECT conv_id, turn, CAST(1 AS BIGINT), 'user', text FROM req WHERE src_lang = 'en_XX'"""
+    s["turn_tags"] = f"""WITH {processed_ctes()}
+SELECT conv_id, turn, {tag_expr('medical', 'confidence')} AS tag FROM proc WHERE speaker = 'doctor'"""
+    S = stats_ctes()
+    s["term_stats"] = f"WITH {C}, {S} SELECT * FROM stats"
+    s["vocab_topk"] = f"WITH {C}, {S} SELECT * FROM vocab"
+    s["idf_table"] = f"WITH {C}, {S} SELECT term, df, {R6('idf')} FROM idf"
+    s["tfidf"] = f"""WITH {C}, {S},
+te_u AS (SELECT source, id, {tokens('text')} AS u FROM te),
+te_t AS (SELECT source, id, unnest({with_bigrams('u')}) AS term FROM te_u),
+te_c AS (SELECT source, id, te_t.term, count(*) * any_value(idf.idf) AS x
+         FROM te_t JOIN idf ON te_t.term = idf.term GROUP BY ALL),
+te_n AS (SELECT source, id, sqrt(sum(x * x)) AS norm FROM te_c GROUP BY ALL)
+SELECT source, id, term, round(x / norm, 6) AS weight FROM te_c JOIN te_n USING (source, id)"""
+    s["svm_score"] = f"""WITH {weights_cte()}, {score_ctes('documents', 'doc_id')}
+SELECT doc_id, {R6('margin')} FROM scored"""
+    s["classify_turns"] = f"""WITH {langs_cte()}, {weights_cte()}, {requests_cte()},
+gated AS (SELECT * FROM req WHERE src_lang = 'en_XX'), {score_ctes('gated', 'conv_id, turn')}
+SELECT conv_id, turn, {R6('margin')}, margin > 0 AS medical,
+       round(1.0 / (1.0 + exp(-abs(margin))), 6) AS confidence FROM scored"""
+    P = demo_pred_ctes()
+    s["eval_metrics"] = f"""WITH {C}, {P},
+m AS (SELECT count(*) AS n,
+        sum(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS tp,
+        sum(CASE WHEN label = 0 AND prediction = 1 THEN 1 ELSE 0 END) AS fp,
+        sum(CASE WHEN label = 1 AND prediction = 0 THEN 1 ELSE 0 END) AS fn,
+        sum(CASE WHEN label = 0 AND prediction = 0 THEN 1 ELSE 0 END) AS tn FROM pr),
+pr1 AS (SELECT n, CAST(tp + tn AS DOUBLE) / n AS accuracy,
+          CASE WHEN tp + fp = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS p1,
+          CASE WHEN tp + fn = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS r1,
+          CASE WHEN tn + fn = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(tn AS DOUBLE) / (tn + fn) END AS p0,
+          CASE WHEN tn + fp = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(tn AS DOUBLE) / (tn + fp) END AS r0 FROM m)
+SELECT n, round(accuracy, 6) AS accuracy, round((p0 + p1) / 2, 6) AS macro_precision,
+       round((r0 + r1) / 2, 6) AS macro_recall,
+       round(((CASE WHEN p0 + r0 = 0 THEN 0 ELSE 2 * p0 * r0 / (p0 + r0) END)
+            + (CASE WHEN p1 + r1 = 0 THEN 0 ELSE 2 * p1 * r1 / (p1 + r1) END)) / 2, 6) AS macro_f1
+FROM pr1"""
+    s["confusion"] = f"""WITH {C}, {P}
+SELECT a.actual, count(CASE WHEN pr.prediction = 0 THEN 1 END) AS pred_0,
+       count(CASE WHEN pr.prediction = 1 THEN 1 END) AS pred_1
+FROM (VALUES (0), (1)) a(actual) LEFT JOIN pr ON pr.label = a.actual GROUP BY a.actual"""
+    s["misclassified"] = f"""WITH {C}, {P}
+SELECT source, id, CASE WHEN label = 0 THEN 'false_positive' ELSE 'false_negative' END AS kind,
+       substring(text, 1, {fv.PREVIEW_CHARS}) AS preview FROM pr WHERE label <> prediction"""
+    s["direction_gate"] = f"""WITH {langs_cte()}, {requests_cte()}
+SELECT conv_id, turn, speaker, src_lang, tgt_lang, src_lang = 'en_XX' AS gated FROM req"""
+    s["lang_lookup"] = f"""WITH {langs_cte()}
+SELECT c.conv_id, l.lang_name, l.lang_code FROM (SELECT DISTINCT conv_id FROM conversations) c
+JOIN langs l ON l.idx = c.conv_id % 6"""
+    s["lang_unknown"] = f"""WITH {langs_cte()}, {doc_requests_cte()}
+SELECT doc_id, lang, src_lang FROM dreq r
+WHERE NOT EXISTS (SELECT 1 FROM langs l WHERE l.lang_code = r.src_lang)"""
+    modes = "['api', 'local', 'other']"
+    s["backend_route"] = f"""WITH {langs_cte()},
+{requests_cte(f"{modes}[conv_id % 3 + 1]", f"{modes}[(conv_id + 1) % 3 + 1]")}
+SELECT conv_id, turn, simplify_mode, translate_mode,
+       CASE WHEN simplify_mode = 'local' THEN 'local' ELSE 'api' END AS simplify_backend,
+       CASE WHEN translate_mode = 'api' THEN 'api' ELSE 'local' END AS translate_backend FROM req"""
+    PR = processed_ctes()
+    s["working_text"] = f"WITH {PR} SELECT conv_id, turn, working FROM proc"
+    s["turn_steps"] = f"""WITH {PR}
+SELECT conv_id, turn, src_lang, tgt_lang, text AS original, medical,
+       round(confidence, 6) AS confidence, simplified, translation FROM proc"""
+    s["process_turns"] = f"""WITH {PR}
 SELECT conv_id, turn, speaker, src_lang, tgt_lang, text AS original, medical,
        round(confidence, 6) AS confidence, simplified, translation, error FROM proc"""
+    gl = glossary_expr("text")
+    norm = sorted({" ".join(t.lower().split()) for t, _ in fv.GLOSSARY}, key=lambda t: (-len(t), t))
+    pat = q("(?i)\\b(?:" + "|".join(norm) + ")\\b")
+    s["glossary_simplify"] = f"""SELECT doc_id, len(regexp_extract_all(text, {pat})) AS n_replaced,
+       {gl} AS simplified FROM documents WHERE lang = 'en'"""
+    s["simplify_turns"] = f"WITH {PR} SELECT conv_id, turn, simplified FROM proc WHERE simplified IS NOT NULL"
+    s["translate_turns"] = f"WITH {PR} SELECT conv_id, turn, src_lang, tgt_lang, translation, error FROM proc"
+    tr_, er_ = translate_exprs("text", "tgt_lang")
+    D = f"{langs_cte()}, {doc_requests_cte()}, dtr AS (SELECT *, {tr_} AS translation, {er_} AS error FROM dreq)"
+    s["translate_documents"] = f"WITH {D} SELECT doc_id, src_lang, tgt_lang, translation, error FROM dtr"
+    s["turn_errors"] = f"WITH {D} SELECT doc_id, src_lang, tgt_lang, error FROM dtr WHERE error IS NOT NULL"
+    RW = f"rw AS (SELECT doc_id, text, {gl} AS simplified FROM documents WHERE lang = 'en')"
+    negs = ", ".join(f"{neg_count('text', w)} AS {w}_src, {neg_count('simplified', w)} AS {w}_out"
+                     for w in fv.NEGATION_WORDS)
+    kept = " AND ".join(f"{neg_count('simplified', w)} >= {neg_count('text', w)}" for w in fv.NEGATION_WORDS)
+    s["audit_negation"] = f"WITH {RW} SELECT doc_id, {negs}, {kept} AS negations_kept FROM rw"
+
+    def nums(x):
+        return f"list_sort(regexp_extract_all(lower({x}), {q(fv.NUMBER_PATTERN)}))"
+    s["audit_numbers"] = f"""WITH {RW}
+SELECT doc_id, len({nums('text')}) AS numbers_src, len({nums('simplified')}) AS numbers_out,
+       {nums('text')} = {nums('simplified')} AS numbers_kept FROM rw"""
+    cases = " ".join(f"WHEN {q(k)} THEN len(regexp_extract_all(translation, {q(v)}))"
+                     for k, v in fv.SCRIPT_RE2.items())
+    s["audit_script"] = f"""WITH {PR},
+sc AS (SELECT p.conv_id, p.turn, p.tgt_lang, l.script,
+              len(regexp_extract_all(p.translation, '\\p{{L}}')) AS letters,
+              CASE l.script {cases} END AS in_script
+       FROM proc p JOIN langs l ON l.lang_code = p.tgt_lang)
+SELECT conv_id, turn, tgt_lang, script, letters, in_script,
+       round(CASE WHEN letters > 0 THEN in_script / letters END, 6) AS script_share FROM sc"""
+    s["audit_length"] = f"""WITH {PR},
+ln AS (SELECT conv_id, turn, {ws_count('text')} AS words_src, {ws_count('translation')} AS words_out,
+              translation FROM proc)
+SELECT conv_id, turn, words_src, words_out,
+       round(CASE WHEN words_src > 0 THEN words_out / words_src END, 6) AS length_ratio,
+       NOT coalesce({nonblank('translation')}, false) AS empty_output,
+       words_out >= {fv.TRANSLATE_MAX_LENGTH} AS at_cap FROM ln"""
+    N = numbering_ctes()
+    s["turn_numbers"] = f"WITH {N} SELECT conv_id, turn, turn_no FROM num"
+    s["conversation_epochs"] = f"WITH {N} SELECT conv_id, turn, epoch, turn_no FROM num"
+    T = transcript_ctes()
+    s["bilingual_views"] = f"WITH {T} SELECT * FROM trn"
+    s["panel_history"] = f"""WITH {T}
+SELECT conv_id, epoch, 'doctor' AS panel, turn_no, role, en AS content FROM trn
+UNION ALL SELECT conv_id, epoch, 'patient', turn_no, role, xx FROM trn"""
+    s["bilingual_pairs"] = f"""WITH {T}
+SELECT conv_id, epoch, turn_no, role, en AS doctor_panel, xx AS patient_panel FROM trn"""
+    s["stream_turn_numbers"] = s["conversation_epochs"]
+    s["stream_process_turns"] = s["process_turns"]
     return s
