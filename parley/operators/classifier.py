@@ -15,10 +15,13 @@ balanced class weights.
 
 from __future__ import annotations
 
+import math
 import os
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
@@ -40,6 +43,10 @@ TERMS_SQL = (
 )
 
 
+# Training rows per partition of the cached feature set.
+TRAIN_ROWS_PER_PARTITION = 50_000
+
+
 @dataclass
 class LinearTextModel:
     """Weight table ``(term, idf, coef)`` plus intercept; ``n_terms`` bounds the
@@ -54,21 +61,40 @@ def demo_model(spark: SparkSession) -> LinearTextModel:
     return LinearTextModel(w, fv.DEMO_INTERCEPT, len(fv.DEMO_WEIGHTS))
 
 
+def _sums(df: DataFrame, id_cols: list[str], model: LinearTextModel, text_col: str) -> DataFrame:
+    tc = features.term_counts(df, id_cols, text_col, model.weights, model.n_terms)
+    x = F.col("tf") * F.col("idf")
+    return tc.groupBy(*id_cols).agg(F.sum(x * F.col("coef")).alias("_dot"),
+                                    F.sum(x * x).alias("_sq"))
+
+
+def _margin(model: LinearTextModel):
+    return (F.coalesce(F.col("_dot") / F.sqrt(F.col("_sq")), F.lit(0.0))
+            + F.lit(float(model.intercept)))
+
+
 def score(df: DataFrame, id_cols: list[str], model: LinearTextModel,
           text_col: str = "text", out: str = "margin") -> DataFrame:
     """Append the signed margin ``sum(tf*idf*coef)/||tf*idf|| + b`` to every row
     (norm over in-vocabulary terms; no known term -> margin = b).
 
-    ``df`` is hash-partitioned once by its key; the explode, the broadcast join,
-    the two aggregations and the join back all reuse that partitioning, so the
-    whole operator costs one exchange."""
+    For callers that keep the row (text included): ``df`` is hash-partitioned
+    once by its key; the explode, the broadcast join, both aggregations and the
+    join back reuse that partitioning — one exchange in all."""
     base = df.repartition(*id_cols)
-    tc = features.term_counts(base, id_cols, text_col, model.weights, model.n_terms)
-    x = F.col("tf") * F.col("idf")
-    sums = tc.groupBy(*id_cols).agg(F.sum(x * F.col("coef")).alias("_dot"),
-                                    F.sum(x * x).alias("_sq"))
-    margin = F.coalesce(F.col("_dot") / F.sqrt(F.col("_sq")), F.lit(0.0)) + F.lit(float(model.intercept))
-    return base.join(sums, id_cols, "left").withColumn(out, margin).drop("_dot", "_sq")
+    return (base.join(_sums(base, id_cols, model, text_col), id_cols, "left")
+            .withColumn(out, _margin(model)).drop("_dot", "_sq"))
+
+
+def margins(df: DataFrame, id_cols: list[str], model: LinearTextModel,
+            text_col: str = "text", out: str = "margin") -> DataFrame:
+    """``ids, margin`` only. No exchange of the text: terms are counted per
+    (text, term) map-side, so only in-vocabulary pair counts and one partial
+    sum per text cross the network; the ids join back for texts without any
+    known term."""
+    ids = df.select(*id_cols)
+    return (ids.join(_sums(df, id_cols, model, text_col), id_cols, "left")
+            .select(*id_cols, _margin(model).alias(out)))
 
 
 def classify(df: DataFrame, id_cols: list[str], model: LinearTextModel,
@@ -99,15 +125,26 @@ def train_svm(train: DataFrame, max_features: int = features.MAX_FEATURES,
     ``(PipelineModel, LinearTextModel)``."""
     spark = train.sparkSession
     vocab, idf = features.fit_vocabulary(train, max_features, text_col)
-    weights = class_weights(train).select(label, "weight")
     n = train.count()
-    weighted = train.join(F.broadcast(weights), label).withColumn(
-        "label_d", F.col(label).cast("double"))
-    svc = LinearSVC(featuresCol="features", labelCol="label_d", weightCol="weight",
-                    maxIter=max_iter, tol=tol, regParam=1.0 / max(n, 1), standardization=False,
-                    rawPredictionCol="raw", predictionCol="pred_d")
-    pipeline_model = Pipeline(stages=feature_stages(vocab, idf, text_col) + [svc]).fit(weighted)
-    svm = pipeline_model.stages[-1]
+    # Two rows (one per class): broadcast is bounded by the number of labels.
+    weights = F.broadcast(class_weights(train).select(label, "weight"))
+    stages = feature_stages(vocab, idf, text_col)
+    feats = (PipelineModel(stages=stages)
+             .transform(train.join(weights, label).withColumn("label_d", F.col(label).cast("double")))
+             .select("features", "label_d", "weight"))
+    # The optimiser runs one distributed pass per iteration; size the cached
+    # feature set by rows so small sets do not pay per-task overhead hundreds
+    # of times, while large ones keep their parallelism.
+    parts = max(1, min(feats.rdd.getNumPartitions(), math.ceil(n / TRAIN_ROWS_PER_PARTITION)))
+    feats = feats.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        svc = LinearSVC(featuresCol="features", labelCol="label_d", weightCol="weight",
+                        maxIter=max_iter, tol=tol, regParam=1.0 / max(n, 1),
+                        standardization=False, rawPredictionCol="raw", predictionCol="pred_d")
+        svm = svc.fit(feats)
+    finally:
+        feats.unpersist()
+    pipeline_model = PipelineModel(stages=stages + [svm])
     coefs = svm.coefficients.toArray().tolist()
     table = spark.createDataFrame(list(zip(vocab, idf, coefs)), "term string, idf double, coef double")
     return pipeline_model, LinearTextModel(table, float(svm.intercept), len(vocab))

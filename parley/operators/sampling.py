@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.plans.sizing import broadcast_fixed
+from parley.session import cut_lineage
 
 SEED = "42"
 PREFIX_HEX = 3
@@ -111,3 +112,11 @@ def stratified_split(corpus: DataFrame, label: str = "label",
     out = flag_first_n(keyed, label, "_k", "id", split_quotas(keyed, label, test_size), "_test")
     return (out.withColumn("split", F.when(F.col("_test"), F.lit("test")).otherwise(F.lit("train")))
             .drop("_k", "_test"))
+
+
+def training_split(corpus: DataFrame, label: str = "label", test_size: float = 0.2) -> DataFrame:
+    """corpus -> balanced sample -> stratified split, each input materialised
+    once in the checkpoint folder (each step reads its input several times:
+    counts, then the taken buckets, then the boundary bucket)."""
+    balanced = cut_lineage(balanced_sample(cut_lineage(corpus), label))
+    return stratified_split(balanced, label, test_size)

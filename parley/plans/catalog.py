@@ -31,7 +31,7 @@ def _corpus(spark, sf) -> DataFrame:
 
 
 def _split(spark, sf) -> DataFrame:
-    return sampling.stratified_split(sampling.balanced_sample(_corpus(spark, sf)))
+    return sampling.training_split(_corpus(spark, sf))
 
 
 def _requests(spark, sf, **kw) -> DataFrame:
@@ -77,7 +77,7 @@ def q_class_counts(spark, sf):
 
 
 def q_balanced_sample(spark, sf):
-    return sampling.balanced_sample(_corpus(spark, sf)).select("source", "id", "label")
+    return sampling.balanced_sample(cut_lineage(_corpus(spark, sf))).select("source", "id", "label")
 
 
 def q_stratified_split(spark, sf):
@@ -156,7 +156,7 @@ def q_tfidf(spark, sf):
 
 def q_svm_score(spark, sf):
     d = tables.documents(spark, sf).select("doc_id", "text")
-    return classifier.score(d, ["doc_id"], classifier.demo_model(spark)).select("doc_id", _r("margin"))
+    return classifier.margins(d, ["doc_id"], classifier.demo_model(spark)).select("doc_id", _r("margin"))
 
 
 def q_classify_turns(spark, sf):
