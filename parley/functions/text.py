@@ -43,8 +43,12 @@ def py_strip(c: Column) -> Column:
 # -- tokenising and n-grams -------------------------------------------------
 
 def tokens(c: Column) -> Column:
-    """Lower-cased word tokens of two or more characters."""
-    return F.regexp_extract_all(F.lower(c), F.lit(fv.TOKEN_PATTERN), 0)
+    """Lower-cased word tokens of two or more characters: the maximal runs of
+    letters, digits and underscore (``[\\p{L}\\p{N}_]{2,}``), found by
+    splitting on the non-word runs — the same tokens as extracting the runs,
+    and faster in the JVM."""
+    parts = F.split(F.lower(c), f"[^{fv.WORD_CHARS}]+", -1)
+    return F.filter(parts, lambda t: F.length(t) >= 2)
 
 
 def with_bigrams(tok: Column) -> Column:

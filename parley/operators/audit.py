@@ -15,20 +15,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import fixed_values as fv
-from parley.functions.text import is_nonblank, tokens, word_count
+from parley.functions.text import is_nonblank, let, tokens, word_count
 
 
-def _word_count(text: Column, word: str) -> Column:
-    return F.size(F.filter(tokens(text), lambda t: t == F.lit(word))).cast("long")
+def _negation_counts(text: Column) -> Column:
+    """Struct of per-word counts, tokenising the text once."""
+    return let(tokens(text), lambda u: F.struct(*[
+        F.size(F.filter(u, lambda t: t == F.lit(w))).cast("long").alias(w)
+        for w in fv.NEGATION_WORDS]))
 
 
 def negation(df: DataFrame, src: str, out: str) -> DataFrame:
+    d = df.select("*", _negation_counts(F.col(src)).alias("_a"), _negation_counts(F.col(out)).alias("_b"))
     cols, ok = [], F.lit(True)
     for w in fv.NEGATION_WORDS:
-        a, b = _word_count(F.col(src), w), _word_count(F.col(out), w)
+        a, b = F.col(f"_a.{w}"), F.col(f"_b.{w}")
         cols += [a.alias(f"{w}_src"), b.alias(f"{w}_out")]
         ok = ok & (b >= a)
-    return df.select("*", *cols, ok.alias("negations_kept"))
+    return d.select(*df.columns, *cols, ok.alias("negations_kept"))
 
 
 def numbers(text: Column) -> Column:

@@ -124,8 +124,8 @@ def train_svm(train: DataFrame, max_features: int = features.MAX_FEATURES,
     N), stopping at ``tol`` = 1e-4 (the classic LinearSVC default). Returns
     ``(PipelineModel, LinearTextModel)``."""
     spark = train.sparkSession
-    vocab, idf = features.fit_vocabulary(train, max_features, text_col)
     n = train.count()
+    vocab, idf = features.fit_vocabulary(train, max_features, text_col, n_docs=n)
     # Two rows (one per class): broadcast is bounded by the number of labels.
     weights = F.broadcast(class_weights(train).select(label, "weight"))
     stages = feature_stages(vocab, idf, text_col)

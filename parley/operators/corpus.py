@@ -54,9 +54,16 @@ def negative_corpus(conversations: DataFrame) -> DataFrame:
                     "text", F.lit(0).alias("label")))
 
 
-def corpus_build(documents: DataFrame, conversations: DataFrame) -> DataFrame:
-    """Bag union of both labelled corpora: ``source, id, text, label``."""
-    return positive_corpus(documents).unionByName(negative_corpus(conversations))
+def corpus_build(documents: DataFrame, conversations: DataFrame,
+                 materialize_negatives: bool = False) -> DataFrame:
+    """Bag union of both labelled corpora: ``source, id, text, label``.
+    ``materialize_negatives`` writes the grouped negative side once (it is a
+    shuffle aggregation) for callers that read the corpus several times."""
+    neg = negative_corpus(conversations)
+    if materialize_negatives:
+        from parley.session import cut_lineage
+        neg = cut_lineage(neg, "negatives")
+    return positive_corpus(documents).unionByName(neg)
 
 
 def class_counts(corpus: DataFrame) -> DataFrame:

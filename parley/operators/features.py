@@ -42,11 +42,12 @@ def idf_table(vocab: DataFrame, n_docs: int) -> DataFrame:
                          + F.lit(1.0)).alias("idf"))
 
 
-def fit_vocabulary(train: DataFrame, k: int = MAX_FEATURES,
-                   text_col: str = "text") -> tuple[list[str], list[float]]:
+def fit_vocabulary(train: DataFrame, k: int = MAX_FEATURES, text_col: str = "text",
+                   n_docs: int | None = None) -> tuple[list[str], list[float]]:
     """Vocabulary and IDF fitted on the training texts. Only the <= k vocabulary
     rows and one count reach the driver."""
-    n_docs = train.count()
+    if n_docs is None:
+        n_docs = train.count()
     rows = (idf_table(vocab_topk(term_stats(train, text_col), k), n_docs)
             .orderBy("term").select("term", "idf").collect())
     return [r["term"] for r in rows], [float(r["idf"]) for r in rows]

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.fixed_values import GLOSSARY, WORD_CHARS
+from parley.functions.text import let
 
 # Largest term table compiled into a single expression (regex + map literal).
 MAX_COMPILED_TERMS = 5_000
@@ -68,15 +69,26 @@ def compile_terms(table: list[tuple[str, str]]):
     return pattern, mapping
 
 
+def rewrite_counted(text: Column, table: list[tuple[str, str]] = GLOSSARY) -> Column:
+    """Struct ``(text, n)``: the rewritten text and the number of replaced
+    terms. The text is scanned twice (split, extract), each once."""
+    pattern, mapping = compile_terms(table)
+
+    def build(b):
+        parts, found = b["parts"], b["found"]
+        plain = F.transform(found, lambda m: F.coalesce(F.element_at(mapping, F.lower(m)), m))
+        rest = F.zip_with(plain, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+                          lambda a, c: F.concat(a, c))
+        return F.struct(F.concat(F.element_at(parts, 1), F.array_join(rest, "")).alias("text"),
+                        F.size(found).cast("long").alias("n"))
+    both = F.struct(F.split(text, pattern, -1).alias("parts"),
+                    F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"))
+    return let(both, build)
+
+
 def rewrite(text: Column, table: list[tuple[str, str]] = GLOSSARY) -> Column:
     """Column expression replacing every whole-word term of ``table``."""
-    pattern, mapping = compile_terms(table)
-    parts = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    plain = F.transform(found, lambda m: F.coalesce(F.element_at(mapping, F.lower(m)), m))
-    rest = F.zip_with(plain, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
-                      lambda a, b: F.concat(a, b))
-    return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
+    return rewrite_counted(text, table)["text"]
 
 
 def count_matches(text: Column, table: list[tuple[str, str]] = GLOSSARY) -> Column:

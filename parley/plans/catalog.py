@@ -31,7 +31,9 @@ def _corpus(spark, sf) -> DataFrame:
 
 
 def _split(spark, sf) -> DataFrame:
-    return sampling.training_split(_corpus(spark, sf))
+    c = corpus.corpus_build(tables.documents(spark, sf), tables.conversations(spark, sf),
+                            materialize_negatives=True)
+    return sampling.training_split(c)
 
 
 def _requests(spark, sf, **kw) -> DataFrame:
@@ -77,7 +79,9 @@ def q_class_counts(spark, sf):
 
 
 def q_balanced_sample(spark, sf):
-    return sampling.balanced_sample(cut_lineage(_corpus(spark, sf))).select("source", "id", "label")
+    c = corpus.corpus_build(tables.documents(spark, sf), tables.conversations(spark, sf),
+                            materialize_negatives=True)
+    return sampling.balanced_sample(c).select("source", "id", "label")
 
 
 def q_stratified_split(spark, sf):
@@ -92,7 +96,7 @@ def q_class_weights(spark, sf):
 # -- 2.7 scalar text functions -------------------------------------------------
 
 def q_tokens(spark, sf):
-    d = tables.documents(spark, sf)
+    d = tables.documents(spark, sf, spread_rows=True)
     t = tx.tokens(F.col("text"))
     return d.select("doc_id", tx.let(t, lambda u: F.struct(
         F.size(u).cast("long").alias("n_tokens"),
@@ -100,7 +104,7 @@ def q_tokens(spark, sf):
 
 
 def q_ngrams(spark, sf):
-    d = tables.documents(spark, sf)
+    d = tables.documents(spark, sf, spread_rows=True)
     return d.select("doc_id", tx.let(tx.terms(F.col("text")), lambda u: F.struct(
         F.size(u).cast("long").alias("n_terms"),
         F.size(F.array_distinct(u)).cast("long").alias("n_distinct_terms"))).alias("s")).select("doc_id", "s.*")
@@ -155,7 +159,7 @@ def q_tfidf(spark, sf):
 # -- 2.3 / 2.8 scoring and evaluation -----------------------------------------
 
 def q_svm_score(spark, sf):
-    d = tables.documents(spark, sf).select("doc_id", "text")
+    d = tables.documents(spark, sf, spread_rows=True).select("doc_id", "text")
     return classifier.margins(d, ["doc_id"], classifier.demo_model(spark)).select("doc_id", _r("margin"))
 
 
@@ -239,9 +243,9 @@ def q_process_turns(spark: SparkSession, sf: str) -> DataFrame:
 # -- 2.3 J5 / 2.9 backends ----------------------------------------------------
 
 def q_glossary_simplify(spark, sf):
-    d = tables.documents(spark, sf).where(F.col("lang") == "en")
-    return d.select("doc_id", rewrite.count_matches(F.col("text")).alias("n_replaced"),
-                    rewrite.rewrite(F.col("text")).alias("simplified"))
+    d = tables.documents(spark, sf, spread_rows=True).where(F.col("lang") == "en")
+    r = d.select("doc_id", rewrite.rewrite_counted(F.col("text")).alias("r"))
+    return r.select("doc_id", F.col("r.n").alias("n_replaced"), F.col("r.text").alias("simplified"))
 
 
 def q_simplify_turns(spark, sf):
@@ -255,7 +259,7 @@ def q_translate_turns(spark, sf):
 
 
 def _translated_documents(spark, sf):
-    d = route.document_requests(tables.documents(spark, sf))
+    d = route.document_requests(tables.documents(spark, sf, spread_rows=True))
     return infer.run_backend(d, infer.TaggingTranslator(), "src_lang", "tgt_lang", "text",
                              "translation", "error")
 
@@ -273,7 +277,7 @@ def q_turn_errors(spark, sf):
 # -- 2.10 audits ----------------------------------------------------------------
 
 def _doc_rewrites(spark, sf):
-    d = tables.documents(spark, sf).where(F.col("lang") == "en")
+    d = tables.documents(spark, sf, spread_rows=True).where(F.col("lang") == "en")
     return d.select("doc_id", "text", rewrite.rewrite(F.col("text")).alias("simplified"))
 
 

@@ -49,6 +49,18 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than twice the cluster's
+    cores (e.g. one large single-row-group file) so heavy per-row text work
+    (tokenising, regex rewriting) is not stuck in a few tasks. Used only in
+    front of such work; large inputs already have thousands of splits and are
+    left untouched. Filters and column pruning still reach the scan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < 2 * cores:
+        return df.repartition(2 * cores)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reader = spark.read
     if name in SCHEMAS:
@@ -60,8 +72,9 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "conversations")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
+def documents(spark: SparkSession, sf_dir: str, spread_rows: bool = False) -> DataFrame:
+    d = read_table(spark, sf_dir, "documents")
+    return spread(d) if spread_rows else d
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
