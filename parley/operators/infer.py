@@ -15,7 +15,9 @@ expensive model loads once and is reused across batches.
    retried row by row so an error stays with its row as data;
 4. materialises the results in the checkpoint folder (inference is the
    expensive part; a lost executor downstream does not re-run it);
-5. joins the results back on the same key (AQE splits a skewed key).
+5. joins the results back on the same key; keys repeated by very many
+   requests are salted (``parley.plans.skew``), so one hot text does not land
+   in one join task.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions import fixed_values as fv
+from parley.plans.skew import HOT_KEY_ROWS, SALTS, salted_join_back
 
 _WORKER_BACKENDS: dict = {}
 
@@ -123,15 +126,17 @@ def _call(backend: Backend, texts: list[str], src: str, tgt: str):
 
 
 def run_backend(reqs: DataFrame, backend: Backend, src: str, tgt: str, text: str,
-                out: str, err: str, materialize: bool = True) -> DataFrame:
+                out: str, err: str, materialize: bool = True,
+                hot_rows: int = HOT_KEY_ROWS, salts: int = SALTS) -> DataFrame:
     """Append ``out`` (model output) and ``err`` (error text) to every request."""
     backend.check()
     keys = [src, tgt, text]
     distinct = (reqs.where(F.col(text).isNotNull())
                 .groupBy(*keys).agg(F.count(F.lit(1)).alias("_mult"))
-                .select(*keys).sortWithinPartitions(src, tgt))
+                .sortWithinPartitions(src, tgt))
     schema = T.StructType([T.StructField(k, T.StringType()) for k in keys]
-                          + [T.StructField(out, T.StringType()), T.StructField(err, T.StringType())])
+                          + [T.StructField("_mult", T.LongType()),
+                             T.StructField(out, T.StringType()), T.StructField(err, T.StringType())])
 
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         b = _get_worker_backend(backend)
@@ -150,8 +155,8 @@ def run_backend(reqs: DataFrame, backend: Backend, src: str, tgt: str, text: str
     results = distinct.mapInPandas(fn, schema)
     if materialize:
         from parley.session import cut_lineage
-        results = cut_lineage(results)
-    return reqs.join(results, keys, "left")
+        results = cut_lineage(results, "inference")
+    return salted_join_back(reqs, results, keys, "_mult", hot_rows, salts)
 
 
 # -- backend choice -----------------------------------------------------------

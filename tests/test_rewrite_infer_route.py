@@ -86,6 +86,18 @@ def test_per_row_error_capture(spark):
             assert (o, e) == (None, "backend failed")
 
 
+def test_hot_key_salting_keeps_every_row(spark):
+    data = [(i, "en_XX", "xh_ZA", "same hot text" if i % 10 else f"cold {i}") for i in range(400)]
+    df = spark.createDataFrame(data, "id long, src string, tgt string, text string")
+    plain = infer.run_backend(df, FailsOnMarker(), "src", "tgt", "text", "out", "err",
+                              materialize=False)
+    salted = infer.run_backend(df, FailsOnMarker(), "src", "tgt", "text", "out", "err",
+                               materialize=False, hot_rows=50, salts=7)
+    want = [(i, t.upper()) for i, _, _, t in data]
+    assert rows(plain, "id", "out") == sorted(want)
+    assert rows(salted, "id", "out") == sorted(want)
+
+
 def test_remote_backend_needs_token(spark, monkeypatch):
     monkeypatch.delenv("HF_TOKEN", raising=False)
     monkeypatch.delenv("HUGGING_FACE_HUB_TOKEN", raising=False)
