@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.fixed_values import GLOSSARY, WORD_CHARS
+from parley.functions.fixed_values import GLOSSARY, PY_WHITESPACE_CLASS, WORD_CHARS
 from parley.functions.text import let
 
 # Largest term table compiled into a single expression (regex + map literal).
@@ -102,3 +102,95 @@ def table_rows(df: DataFrame, key: str, value: str, bound: int = MAX_COMPILED_TE
     if len(rows) > bound:
         raise ValueError(f"term table exceeds {bound} rows")
     return [(r[0], r[1]) for r in rows]
+
+
+# -- beyond the compiled size: the same rewrite with joins ---------------------
+
+_MATCH = "array<struct<i:int,e:int,plain:string>>"
+
+
+def normalize_table(table: DataFrame, key: str = "term", value: str = "plain") -> DataFrame:
+    """Lower-case terms with single spaces; one row per term (smallest plain
+    text if a term repeats)."""
+    ws = PY_WHITESPACE_CLASS
+    term = F.lower(F.regexp_replace(F.regexp_replace(F.col(key), f"^{ws}+|{ws}+$", ""), f"{ws}+", " "))
+    return (table.select(term.alias("term"), F.col(value).alias("plain"))
+            .where(F.length("term") > 0).groupBy("term").agg(F.min("plain").alias("plain")))
+
+
+def _segments(text: Column) -> Column:
+    """The text cut into alternating word / non-word runs (covers every char)."""
+    return F.regexp_extract_all(text, F.lit(f"[{WORD_CHARS}]+|[^{WORD_CHARS}]+"), 0)
+
+
+def _candidates(segments: Column, max_words: int) -> Column:
+    """For every word run i and k = 1..max_words: (i, end run, lower-cased
+    phrase of k words with their separators). The run array is bound once
+    (``let``) — referring to the expression inside the lambdas would redo the
+    regex per element."""
+    def build(segs):
+        n = F.size(segs)
+        idx = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        words = F.filter(idx, lambda i: F.element_at(segs, i).rlike(f"^[{WORD_CHARS}]"))
+
+        def for_k(k):
+            span = 2 * k - 1
+            return F.transform(
+                F.filter(words, lambda i: i + span - 1 <= n),
+                lambda i: F.struct(i.alias("i"), (i + span - 1).alias("e"),
+                                   F.lower(F.array_join(F.slice(segs, i, span), "")).alias("p")))
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), for_k))
+    return let(segments, build)
+
+
+def rewrite_joined(df: DataFrame, id_cols: list[str], text_col: str, table: DataFrame,
+                   out: str) -> DataFrame:
+    """``rewrite`` for term tables of any size. Candidates (word runs x phrase
+    lengths) are joined to the table (a shuffle join on the phrase; AQE splits
+    a hot phrase); matches are grouped per text, resolved leftmost-longest by a
+    fold, and the text is rebuilt from its runs in one pass. Cost of the fold
+    grows with matches x kept matches of one text, so it suits sparse matches
+    (glossaries), not dense phrase tables."""
+    t = normalize_table(table)
+    max_words = t.select(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+    cands = df.select(*id_cols, F.explode(_candidates(_segments(F.col(text_col)), max_words)).alias("c"))
+    matches = (cands.join(t, F.col("c.p") == F.col("term"))
+               .select(*id_cols, F.col("c.i").alias("i"), F.col("c.e").alias("e"), "plain"))
+    fold0 = F.struct(F.lit(0).alias("last"), F.array().cast(_MATCH).alias("kept"))
+    ordered = F.array_sort(F.collect_list(F.struct(
+        F.col("i"), (-F.col("e")).alias("ne"), F.col("e"), F.col("plain"))))
+    kept = (matches.groupBy(*id_cols).agg(ordered.alias("ms"))
+            .select(*id_cols, F.aggregate(
+                "ms", fold0,
+                lambda acc, m: F.when(m["i"] > acc["last"], F.struct(
+                    m["e"].alias("last"),
+                    F.concat(acc["kept"], F.array(F.struct(m["i"].alias("i"), m["e"].alias("e"),
+                                                           m["plain"].alias("plain")))).alias("kept")))
+                .otherwise(acc))["kept"].alias("_kept")))
+    joined = df.join(kept, id_cols, "left")
+
+    def rebuild(b):
+        segs, ks = b["segs"], b["kept"]
+
+        def piece(m, idx):
+            prev = F.when(idx == 0, F.lit(0)).otherwise(F.element_at(ks, idx)["e"])
+            return F.concat(F.array_join(F.slice(segs, prev + 1, m["i"] - prev - 1), ""), m["plain"])
+        last = F.coalesce(F.try_element_at(ks, F.lit(-1))["e"], F.lit(0))
+        return F.concat(F.array_join(F.transform(ks, piece), ""),
+                        F.array_join(F.slice(segs, last + 1, F.greatest(F.size(segs) - last, F.lit(0))), ""))
+
+    both = F.struct(_segments(F.col(text_col)).alias("segs"),
+                    F.coalesce(F.col("_kept"), F.array().cast(_MATCH)).alias("kept"))
+    rebuilt = F.when(F.col(text_col).isNull(), F.lit(None).cast("string")).otherwise(let(both, rebuild))
+    return joined.withColumn(out, rebuilt).drop("_kept")
+
+
+def rewrite_table(df: DataFrame, id_cols: list[str], text_col: str, table: DataFrame,
+                  out: str) -> DataFrame:
+    """Rewrite with a term table given as a DataFrame: compiled into one
+    expression when it has at most ``MAX_COMPILED_TERMS`` rows (checked by a
+    bounded collect), joined otherwise."""
+    rows = table.select("term", "plain").limit(MAX_COMPILED_TERMS + 1).collect()
+    if len(rows) <= MAX_COMPILED_TERMS:
+        return df.withColumn(out, rewrite(F.col(text_col), [(r[0], r[1]) for r in rows]))
+    return rewrite_joined(df, id_cols, text_col, table, out)

@@ -248,6 +248,14 @@ def q_glossary_simplify(spark, sf):
     return r.select("doc_id", F.col("r.n").alias("n_replaced"), F.col("r.text").alias("simplified"))
 
 
+def q_glossary_simplify_joined(spark, sf):
+    """The same rewrite through the join path used beyond the compiled-table
+    bound (the glossary given as a table)."""
+    d = tables.documents(spark, sf, spread_rows=True).where(F.col("lang") == "en").select("doc_id", "text")
+    table = spark.createDataFrame(fv.GLOSSARY, "term string, plain string")
+    return rewrite.rewrite_joined(d, ["doc_id"], "text", table, "simplified").select("doc_id", "simplified")
+
+
 def q_simplify_turns(spark, sf):
     p = _processed(spark, sf).where(F.col("simplified").isNotNull())
     return p.select("conv_id", "turn", "simplified")
@@ -383,6 +391,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "process_turns": q_process_turns,
         # rewrite / translate backends
         "glossary_simplify": q_glossary_simplify,
+        "glossary_simplify_joined": q_glossary_simplify_joined,
         "simplify_turns": q_simplify_turns,
         "translate_turns": q_translate_turns,
         "translate_documents": q_translate_documents,

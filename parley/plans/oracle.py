@@ -323,6 +323,7 @@ SELECT conv_id, turn, speaker, src_lang, tgt_lang, text AS original, medical,
     pat = q("(?i)\\b(?:" + "|".join(norm) + ")\\b")
     s["glossary_simplify"] = f"""SELECT doc_id, len(regexp_extract_all(text, {pat})) AS n_replaced,
        {gl} AS simplified FROM documents WHERE lang = 'en'"""
+    s["glossary_simplify_joined"] = f"SELECT doc_id, {gl} AS simplified FROM documents WHERE lang = 'en'"
     s["simplify_turns"] = f"WITH {PR} SELECT conv_id, turn, simplified FROM proc WHERE simplified IS NOT NULL"
     s["translate_turns"] = f"WITH {PR} SELECT conv_id, turn, src_lang, tgt_lang, translation, error FROM proc"
     tr_, er_ = translate_exprs("text", "tgt_lang")

@@ -58,6 +58,31 @@ def test_rewrite_matches_brute_force(spark, parts):
     assert one(spark, rewrite.rewrite(F.col("s"), TABLE), text) == brute_rewrite(text, TABLE)
 
 
+def test_joined_rewrite_equals_brute_force(spark):
+    import random
+    rnd = random.Random(7)
+    pieces = ["ab", "cd", "b", "AB", "abc", " ", ",", "é", "x"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 10))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    table = spark.createDataFrame(TABLE, "term string, plain string")
+    got = dict(rows(rewrite.rewrite_joined(df, ["id"], "text", table, "o"), "id", "o"))
+    assert got == {i: brute_rewrite(t, TABLE) for i, t in enumerate(texts)}
+
+
+def test_joined_rewrite_glossary_on_documents(spark):
+    from parley.sources import tables
+    from tests.conftest import SF_SMALL
+    d = tables.documents(spark, SF_SMALL).select("doc_id", "text")
+    d = d.unionByName(spark.createDataFrame(
+        [(-1, "Acute myocardial infarction with edema, no hypertension."), (-2, None), (-3, "")],
+        "doc_id long, text string"))
+    table = spark.createDataFrame(fv.GLOSSARY, "term string, plain string")
+    a = rewrite.rewrite_joined(d, ["doc_id"], "text", table, "o")
+    b = d.withColumn("o", rewrite.rewrite(F.col("text")))
+    assert rows(a, "doc_id", "o") == rows(b, "doc_id", "o")
+    assert dict(rows(a, "doc_id", "o"))[-1] == "sudden heart attack with swelling caused by fluid, no high blood pressure."
+
+
 def test_compiled_table_is_bounded():
     with pytest.raises(ValueError):
         rewrite.compile_terms([(f"t{i}", "x") for i in range(rewrite.MAX_COMPILED_TERMS + 1)])
