@@ -78,11 +78,13 @@ def score(df: DataFrame, id_cols: list[str], model: LinearTextModel,
     """Append the signed margin ``sum(tf*idf*coef)/||tf*idf|| + b`` to every row
     (norm over in-vocabulary terms; no known term -> margin = b).
 
-    For callers that keep the row (text included): ``df`` is hash-partitioned
-    once by its key; the explode, the broadcast join, both aggregations and the
-    join back reuse that partitioning — one exchange in all."""
-    base = df.repartition(*id_cols)
-    return (base.join(_sums(base, id_cols, model, text_col), id_cols, "left")
+    Terms are counted per (row, term) map-side, so only in-vocabulary pair
+    counts and one partial sum per row are shuffled; the rows themselves cross
+    the network once, for the join back on their key. (Hash-partitioning the
+    rows first and reusing that partitioning would shuffle the text twice:
+    column pruning gives the two join sides different columns, so the
+    exchange cannot be reused.)"""
+    return (df.join(_sums(df, id_cols, model, text_col), id_cols, "left")
             .withColumn(out, _margin(model)).drop("_dot", "_sq"))
 
 

@@ -27,12 +27,15 @@ def chat_events(conversations: DataFrame) -> DataFrame:
 
 
 def number_turns(events: DataFrame) -> DataFrame:
-    """``epoch`` = clear events at or before the row; ``turn_no`` = 1, 2, ...
-    over the non-blank turns of the epoch. Clear rows and blank turns are
-    dropped from the output."""
-    e = running_count(events, ["conv_id"], "turn", F.col("kind") == "clear", "epoch")
-    t = e.where((F.col("kind") == "turn") & is_nonblank(F.col("text")))
-    return row_number_blocked(t, ["conv_id", "epoch"], "turn", "turn_no").drop("kind")
+    """``conv_id, turn, epoch, turn_no``: ``epoch`` = clear events at or
+    before the row; ``turn_no`` = 1, 2, ... over the non-blank turns of the
+    epoch. Clear rows and blank turns are dropped. The text is reduced to a
+    blank flag first, so the numbering shuffles only narrow rows."""
+    narrow = events.select("conv_id", "turn", (F.col("kind") == "clear").alias("_clear"),
+                           ((F.col("kind") == "turn") & is_nonblank(F.col("text"))).alias("_shown"))
+    e = running_count(narrow, ["conv_id"], "turn", "_clear", "epoch")
+    t = e.where(F.col("_shown")).select("conv_id", "turn", "epoch")
+    return row_number_blocked(t, ["conv_id", "epoch"], "turn", "turn_no")
 
 
 def transcript(processed: DataFrame, events: DataFrame) -> DataFrame:
