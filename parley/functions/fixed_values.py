@@ -153,7 +153,10 @@ GLOSSARY = [
 # ---------------------------------------------------------------------------
 # Demo weight table for the classifier (term, idf, coef) and its intercept.
 # A fixed example model, not a trained one: it classifies the demo sentences
-# and gives the oracle-checked queries a model both engines can apply.
+# and gives the oracle-checked queries a model both engines can apply. The
+# function-word rows at the end (English positive; French, Spanish, German
+# negative) make it separate the English positive corpus from the
+# multilingual chat of the test tables, so both classes occur there.
 # ---------------------------------------------------------------------------
 DEMO_INTERCEPT = -0.25
 DEMO_WEIGHTS = [
@@ -176,4 +179,9 @@ DEMO_WEIGHTS = [
     ("walk", 2.9, -0.9), ("nice", 2.5, -0.8), ("today", 2.1, -0.4),
     ("party", 3.2, -1.2), ("music", 3.0, -1.1), ("dinner", 3.1, -1.0),
     ("friends", 2.8, -0.9), ("holiday", 3.3, -1.1), ("shopping", 3.4, -1.1),
+    ("the", 1.1, 0.3), ("and", 1.2, 0.3), ("of", 1.2, 0.3), ("with", 1.5, 0.3),
+    ("was", 1.6, 0.3), ("that", 1.5, 0.2), ("is", 1.4, 0.2),
+    ("le", 1.8, -0.6), ("la", 1.8, -0.6), ("les", 1.9, -0.6), ("des", 1.9, -0.6),
+    ("el", 1.8, -0.6), ("los", 1.9, -0.6), ("que", 1.8, -0.6),
+    ("der", 1.8, -0.6), ("die", 1.8, -0.6), ("und", 1.8, -0.6), ("das", 1.9, -0.6),
 ]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import fixed_values as fv
-from parley.functions.text import is_nonblank
+from parley.functions.text import is_nonblank, py_strip
 from parley.operators import classifier, infer, langs, rewrite
 
 EN = fv.HIGH_RESOURCE_LANG
@@ -82,18 +82,19 @@ def classify_gated(reqs: DataFrame, model: classifier.LinearTextModel,
 
 
 def apply_simplify(df: DataFrame, mode: str = "local") -> DataFrame:
-    """Rewrite gated, domain-positive rows; others get null. The working text is
-    the rewrite when there is one (an empty rewrite still wins), else the
-    original."""
+    """Rewrite gated, domain-positive rows; others get null. Backend output is
+    trimmed (Python ``strip`` whitespace). The working text is the rewrite when
+    there is one (an empty rewrite still wins), else the original."""
     chosen = F.col("gated") & F.coalesce(F.col("medical"), F.lit(False))
     backend = infer.resolve_simplify(mode)
     if backend == "glossary":
-        df = (df.withColumn("simplified", F.when(chosen, rewrite.rewrite(F.col("text"))))
+        df = (df.withColumn("simplified", F.when(chosen, py_strip(rewrite.rewrite(F.col("text")))))
               .withColumn("simplify_error", F.lit(None).cast("string")))
     else:
         backend.check()
         todo = df.where(chosen).withColumn("_src", F.lit(EN)).withColumn("_tgt", F.lit(EN))
         done = infer.run_backend(todo, backend, "_src", "_tgt", "text", "simplified", "simplify_error")
+        done = done.withColumn("simplified", py_strip(F.col("simplified")))
         rest = (df.where(~chosen).withColumn("simplified", F.lit(None).cast("string"))
                 .withColumn("simplify_error", F.lit(None).cast("string")))
         df = done.drop("_src", "_tgt").unionByName(rest)

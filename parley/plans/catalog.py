@@ -189,7 +189,8 @@ def q_svm_train_eval(spark, sf):
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
     pm, table = classifier.train_svm(train)
-    path = classifier.model_path(spark, "svm")
+    import os
+    path = classifier.model_path(spark, "svm-" + os.path.basename(sf.rstrip("/")))
     classifier.save_model(pm, table, path)
     pm2, _ = classifier.load_model(spark, path)
     preds = classifier.predict(pm2, test)
@@ -338,13 +339,51 @@ def q_bilingual_pairs(spark, sf):
     return transcript.bilingual_pairs(_transcript(spark, sf))
 
 
+def q_turn_append(spark, sf):
+    """Processed turns appended to a turn table in two commits (doctor turns,
+    then patient turns) and read back."""
+    import uuid
+    from parley.session import checkpoint_dir
+    from parley.sources import sinks
+    p = _processed(spark, sf)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/turns-{uuid.uuid4().hex}"
+    sinks.append_turns(p.where(F.col("speaker") == "doctor"), path)
+    sinks.append_turns(p.where(F.col("speaker") != "doctor"), path)
+    out = sinks.read_turns(p, path)
+    return out.select("conv_id", "turn", "speaker", "src_lang", "tgt_lang", "original",
+                      "medical", _r("confidence"), "simplified", "translation", "error")
+
+
 # -- 2.11 streaming -------------------------------------------------------------
 
+def _trained_model(spark, sf):
+    """The SVM for this table set: loaded from the model directory when one
+    was saved (training and inference are separate steps), else trained on
+    the training split and saved."""
+    import os
+    path = classifier.model_path(spark, "svm-" + os.path.basename(sf.rstrip("/")))
+    try:
+        return classifier.load_model(spark, path)
+    except FileNotFoundError:
+        split = cut_lineage(_split(spark, sf))
+        pm, table = classifier.train_svm(split.where(F.col("split") == "train"))
+        classifier.save_model(pm, table, path)
+        return pm, table
+
 def q_stream_turn_numbers(spark, sf):
     from parley.streaming import turns
     return turns.stream_turn_numbers(spark, sf).select("conv_id", "turn", "epoch", "turn_no")
 
 
+def q_stream_score_turns(spark, sf):
+    """Arriving doctor turns scored by the trained model in a plain
+    (map-only, append-mode) stream."""
+    from parley.streaming import turns
+    pm, _ = _trained_model(spark, sf)
+    out = turns.run_to_table(turns.score_stream(turns.read_stream(spark, sf), pm), spark, "score")
+    return out.select("conv_id", "turn", _r("margin"), "medical", _r("confidence"))
+
+
 def q_stream_process_turns(spark, sf):
     from parley.streaming import turns
     out = turns.process_stream(spark, sf, classifier.demo_model(spark))
@@ -410,4 +449,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # streaming
         "stream_turn_numbers": q_stream_turn_numbers,
         "stream_process_turns": q_stream_process_turns,
+        "stream_score_turns": q_stream_score_turns,
+        # sinks
+        "turn_append": q_turn_append,
     }

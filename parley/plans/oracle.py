@@ -34,6 +34,11 @@ def nonblank(x: str) -> str:
     return f"({x} IS NOT NULL AND NOT regexp_matches({x}, {BLANK}))"
 
 
+def py_strip(x: str) -> str:
+    ws = fv.PY_WHITESPACE_CLASS
+    return f"regexp_replace({x}, {q(f'^{ws}+|{ws}+$')}, '', 'g')"
+
+
 def ws_count(x: str) -> str:
     return f"len(regexp_extract_all({x}, {WS_TOKEN}))"
 
@@ -121,7 +126,7 @@ cls AS (
   SELECT conv_id, turn, speaker, src_lang, tgt_lang, text, NULL, NULL, NULL FROM req
   WHERE src_lang <> 'en_XX'),
 simp AS (
-  SELECT *, CASE WHEN medical THEN {glossary_expr('text')} END AS simplified FROM cls),
+  SELECT *, CASE WHEN medical THEN {py_strip(glossary_expr('text'))} END AS simplified FROM cls),
 work AS (SELECT *, CASE WHEN medical THEN simplified ELSE text END AS working FROM simp),
 proc AS (SELECT *, {tr} AS translation, {er} AS error FROM work)"""
 
@@ -369,4 +374,5 @@ UNION ALL SELECT conv_id, epoch, 'patient', turn_no, role, xx FROM trn"""
 SELECT conv_id, epoch, turn_no, role, en AS doctor_panel, xx AS patient_panel FROM trn"""
     s["stream_turn_numbers"] = s["conversation_epochs"]
     s["stream_process_turns"] = s["process_turns"]
+    s["turn_append"] = s["process_turns"]
     return s
