@@ -84,3 +84,16 @@ def class_weights(train: DataFrame) -> DataFrame:
     k = F.count(F.lit(1)).over(everything)
     return per.select("label", "n_class",
                       (total / (k * F.col("n_class"))).alias("weight"))
+
+
+def reusable_corpus(documents: DataFrame, conversations: DataFrame) -> DataFrame:
+    """A corpus that is cheap to read several times (sampling reads it three
+    times). A poorly split source (fewer splits than twice the cores, e.g. one
+    row group) is written once as a whole, so later passes run in parallel; a
+    large source is re-read from its well-split scan and only the grouped
+    negative side (a shuffle aggregation) is written."""
+    from parley.session import cut_lineage
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    if documents.rdd.getNumPartitions() < 2 * cores:
+        return cut_lineage(corpus_build(documents, conversations), "corpus")
+    return corpus_build(documents, conversations, materialize_negatives=True)

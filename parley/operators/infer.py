@@ -13,8 +13,9 @@ expensive model loads once and is reused across batches.
 3. calls the backend in ``mapInPandas`` (Arrow batches, bounded by
    ``spark.sql.execution.arrow.maxRecordsPerBatch``); a failing batch is
    retried row by row so an error stays with its row as data;
-4. materialises the results in the checkpoint folder (inference is the
-   expensive part; a lost executor downstream does not re-run it);
+4. materialises the requests (read twice) and the results in the checkpoint
+   folder (inference is the expensive part; a lost executor downstream does
+   not re-run it, and the upstream is not computed twice);
 5. joins the results back on the same key; keys repeated by very many
    requests are salted (``parley.plans.skew``), so one hot text does not land
    in one join task.
@@ -131,6 +132,11 @@ def run_backend(reqs: DataFrame, backend: Backend, src: str, tgt: str, text: str
     """Append ``out`` (model output) and ``err`` (error text) to every request."""
     backend.check()
     keys = [src, tgt, text]
+    if materialize:
+        # read twice below (deduplication, join back): write the requests once
+        # rather than recompute their whole upstream (scoring, rewriting).
+        from parley.session import cut_lineage
+        reqs = cut_lineage(reqs, "requests")
     distinct = (reqs.where(F.col(text).isNotNull())
                 .groupBy(*keys).agg(F.count(F.lit(1)).alias("_mult"))
                 .sortWithinPartitions(src, tgt))

@@ -114,18 +114,10 @@ def stratified_split(corpus: DataFrame, label: str = "label",
             .drop("_k", "_test"))
 
 
-def training_split(corpus: DataFrame, label: str = "label", test_size: float = 0.2,
-                   materialize_corpus: bool | None = None) -> DataFrame:
+def training_split(corpus: DataFrame, label: str = "label", test_size: float = 0.2) -> DataFrame:
     """corpus -> balanced sample -> stratified split. Each step reads its input
     several times (counts, taken buckets, boundary bucket), so the balanced
-    sample (2n rows) is materialised once. A large corpus is re-read from its
-    sources (well split; the counting pass prunes the text away) rather than
-    copied; a poorly split one (fewer splits than twice the cores, e.g. one
-    row group) is written once so the later passes run in parallel."""
-    if materialize_corpus is None:
-        cores = corpus.sparkSession.sparkContext.defaultParallelism
-        materialize_corpus = corpus.rdd.getNumPartitions() < 2 * cores
-    if materialize_corpus:
-        corpus = cut_lineage(corpus, "corpus")
+    sample (2n rows) is materialised once; the corpus should be cheap to
+    re-read (see ``corpus.reusable_corpus``)."""
     balanced = cut_lineage(balanced_sample(corpus, label), "balanced")
     return stratified_split(balanced, label, test_size)

@@ -31,8 +31,7 @@ def _corpus(spark, sf) -> DataFrame:
 
 
 def _split(spark, sf) -> DataFrame:
-    c = corpus.corpus_build(tables.documents(spark, sf), tables.conversations(spark, sf),
-                            materialize_negatives=True)
+    c = corpus.reusable_corpus(tables.documents(spark, sf), tables.conversations(spark, sf))
     return sampling.training_split(c)
 
 
@@ -79,8 +78,7 @@ def q_class_counts(spark, sf):
 
 
 def q_balanced_sample(spark, sf):
-    c = corpus.corpus_build(tables.documents(spark, sf), tables.conversations(spark, sf),
-                            materialize_negatives=True)
+    c = corpus.reusable_corpus(tables.documents(spark, sf), tables.conversations(spark, sf))
     return sampling.balanced_sample(c).select("source", "id", "label")
 
 
