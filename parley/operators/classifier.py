@@ -37,7 +37,8 @@ from parley.operators.corpus import class_weights
 
 # Same tokeniser as ``parley.functions.text.terms``, as SQL for SQLTransformer.
 TERMS_SQL = (
-    "element_at(transform(array(regexp_extract_all(lower({col}), '[\\\\p{{L}}\\\\p{{N}}_]{{2,}}', 0)), "
+    "element_at(transform(array(filter(split(lower({col}), '[^\\\\p{{L}}\\\\p{{N}}_]+', -1), "
+    "t -> length(t) >= 2)), "
     "u -> concat(u, zip_with(slice(u, 1, greatest(size(u) - 1, 0)), "
     "slice(u, 2, greatest(size(u) - 1, 0)), (a, b) -> concat(a, ' ', b)))), 1)"
 )

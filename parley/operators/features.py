@@ -54,12 +54,10 @@ def fit_vocabulary(train: DataFrame, k: int = MAX_FEATURES, text_col: str = "tex
 
 
 def term_counts(df: DataFrame, id_cols: list[str], text_col: str, vocab: DataFrame,
-                bound: int, extra: list[str] = ()) -> DataFrame:
+                bound: int) -> DataFrame:
     """In-vocabulary term counts per text: ``ids, term, tf, <vocab columns>``.
-
-    The caller hash-partitions ``df`` by ``id_cols``; the explode, the broadcast
-    join with the (bounded) vocabulary and both aggregations then stay inside
-    that partitioning (no further exchange)."""
+    The vocabulary (at most ``bound`` rows) is broadcast; the count is partial
+    map-side, so only distinct in-vocabulary (text, term) pairs are shuffled."""
     vb = broadcast_fixed(vocab, bound, "vocabulary")
     toks = df.select(*id_cols, F.explode(terms(F.col(text_col))).alias("term"))
     vcols = [c for c in vocab.columns if c != "term"]

@@ -96,14 +96,6 @@ def count_matches(text: Column, table: list[tuple[str, str]] = GLOSSARY) -> Colu
     return F.size(F.regexp_extract_all(text, F.lit(pattern), 0)).cast("long")
 
 
-def table_rows(df: DataFrame, key: str, value: str, bound: int = MAX_COMPILED_TERMS):
-    """Collect a term table for compiling, refusing one over ``bound`` rows."""
-    rows = df.select(key, value).limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"term table exceeds {bound} rows")
-    return [(r[0], r[1]) for r in rows]
-
-
 # -- beyond the compiled size: the same rewrite with joins ---------------------
 
 _MATCH = "array<struct<i:int,e:int,plain:string>>"

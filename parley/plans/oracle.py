@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from parley.functions import fixed_values as fv
 from parley.operators.features import MAX_FEATURES
-from parley.operators.rewrite import MAX_COMPILED_TERMS  # noqa: F401  (documentation)
 
 
 def q(s: str) -> str:

@@ -27,6 +27,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("PARLEY_DRIVER_MEMORY", "16g"))
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
+        # model backends get Arrow batches of at most this many texts
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
