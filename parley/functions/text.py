@@ -71,7 +71,9 @@ def ws_tokens(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(ws_tokens(c)).cast("long")
+    """Number of ``str.split()`` pieces; null for a null text (whatever the
+    session's ANSI / size-of-null settings)."""
+    return F.when(c.isNull(), F.lit(None).cast("long")).otherwise(F.size(ws_tokens(c)).cast("long"))
 
 
 def preview(c: Column, n: int = fv.PREVIEW_CHARS) -> Column:
