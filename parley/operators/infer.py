@@ -177,15 +177,22 @@ def translate_backend_name(mode) -> F.Column:
     return F.when(mode == "api", F.lit("api")).otherwise(F.lit("local"))
 
 
-def resolve_simplify(mode: str):
+def resolve_simplify(mode):
     """'local' -> the glossary rewrite (a column expression, no Python);
-    anything else -> the remote plug-in."""
+    a ``Backend`` object -> itself (plug-in); anything else -> the remote
+    plug-in."""
+    if isinstance(mode, Backend):
+        return mode
     if mode == "local":
         return "glossary"
     return RemoteBackend("simplify", "chat-model")
 
 
-def resolve_translate(mode: str) -> Backend:
+def resolve_translate(mode) -> Backend:
+    """'api' -> the remote plug-in; a ``Backend`` object -> itself; anything
+    else -> the offline translator."""
+    if isinstance(mode, Backend):
+        return mode
     if mode == "api":
         return RemoteBackend("translate", "translation-model")
     return TaggingTranslator()

@@ -186,9 +186,22 @@ def test_english_to_english_is_still_classified(spark):
     assert out["medical"] is True
 
 
-def test_empty_rewrite_wins(spark):
-    df = spark.createDataFrame([(True, True, "", "orig")],
-                               "gated boolean, medical boolean, simplified string, text string")
-    chosen = F.col("gated") & F.col("medical")
-    got = df.select(F.when(chosen, F.col("simplified")).otherwise(F.col("text")).alias("w")).first()["w"]
-    assert got == ""
+class EmptyRewriter(infer.Backend):
+    """A rewrite model that answers with whitespace only."""
+
+    def predict(self, texts, src, tgt):
+        return ["  \n" for _ in texts]
+
+
+def test_empty_rewrite_is_translated_and_not_shown(spark):
+    from parley.operators import transcript
+    conv = _conv(spark, [(1, 0, "assistant", "She was diagnosed with hypertension."),
+                         (1, 1, "assistant", "What are you doing this weekend?")])
+    out = route.process_turns(route.turn_requests(conv), classifier.demo_model(spark),
+                              simplify_mode=EmptyRewriter())
+    got = {r["turn"]: r for r in out.collect()}
+    assert got[0]["medical"] is True and got[0]["simplified"] == ""       # output trimmed to ""
+    assert got[0]["translation"] == "[xh_ZA] "                              # the empty text is translated
+    assert got[1]["simplified"] is None and got[1]["translation"].endswith("weekend?")
+    tr = {r["turn_no"]: r for r in transcript.transcript(out, transcript.chat_events(conv)).collect()}
+    assert tr[1]["simplified"] is None and tr[1]["tag"].startswith("médico")   # not displayed
