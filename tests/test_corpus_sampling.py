@@ -89,3 +89,16 @@ def test_training_split_on_tables(spark):
     s = catalog._split(spark, SF_MID)
     got = dict(((lbl, sp), k) for lbl, sp, k in rows(s.groupBy("label", "split").count()))
     assert got == {(0, "test"): 20, (0, "train"): 80, (1, "test"): 20, (1, "train"): 80}
+
+
+def test_nested_and_flat_extraction_agree(spark):
+    flat = spark.read.parquet(f"{SF_MID}/conversations.parquet")
+    nested = (flat.groupBy(F.col("conv_id").alias("id"))
+              .agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))),
+                               lambda x: F.struct(
+                                   F.when(x["role"] == "user", F.lit("human"))
+                                   .otherwise(x["role"]).alias("from"),
+                                   x["text"].alias("value"))).alias("conversations")))
+    a = dict(rows(corpus.user_text_nested(nested), "id", "text"))
+    b = dict(rows(corpus.user_text_flat(flat), "conv_id", "text"))
+    assert {k: v for k, v in a.items() if v} == b

@@ -205,3 +205,25 @@ def test_empty_rewrite_is_translated_and_not_shown(spark):
     assert got[1]["simplified"] is None and got[1]["translation"].endswith("weekend?")
     tr = {r["turn_no"]: r for r in transcript.transcript(out, transcript.chat_events(conv)).collect()}
     assert tr[1]["simplified"] is None and tr[1]["tag"].startswith("médico")   # not displayed
+
+
+class OnlyGated(infer.Backend):
+    """Refuses any text that the gate should have kept away."""
+
+    def predict(self, texts, src, tgt):
+        for t in texts:
+            if "patient-side" in t or "weekend" in t:
+                raise ValueError("ungated text reached the rewrite backend")
+        return [t.lower() for t in texts]
+
+
+def test_only_gated_domain_rows_reach_the_rewrite_backend(spark):
+    conv = _conv(spark, [(2, 0, "assistant", "Administer 500mg of paracetamol twice daily."),
+                         (2, 1, "user", "patient-side text about pain"),
+                         (2, 2, "assistant", "What are you doing this weekend?")])
+    out = route.process_turns(route.turn_requests(conv), classifier.demo_model(spark),
+                              simplify_mode=OnlyGated())
+    got = {r["turn"]: r for r in out.collect()}
+    assert all(r["error"] is None for r in got.values())
+    assert got[0]["simplified"] == "administer 500mg of paracetamol twice daily."
+    assert got[1]["simplified"] is None and got[2]["simplified"] is None
