@@ -30,6 +30,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         # model backends get Arrow batches of at most this many texts
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     )
+    event_dir = os.environ.get("PARLEY_EVENT_LOG_DIR")
+    if event_dir:
+        # stage / task times without the web UI: Spark's event log in a scratch folder
+        os.makedirs(event_dir, exist_ok=True)
+        builder = (builder.config("spark.eventLog.enabled", "true")
+                   .config("spark.eventLog.dir", event_dir))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
