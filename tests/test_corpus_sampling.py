@@ -102,3 +102,24 @@ def test_nested_and_flat_extraction_agree(spark):
     a = dict(rows(corpus.user_text_nested(nested), "id", "text"))
     b = dict(rows(corpus.user_text_flat(flat), "conv_id", "text"))
     assert {k: v for k, v in a.items() if v} == b
+
+
+def test_reusable_corpus_both_branches(spark):
+    from parley.sources import tables
+    docs = tables.documents(spark, SF_MID)
+    conv = tables.conversations(spark, SF_MID)
+    want = rows(corpus.corpus_build(docs, conv), "source", "id", "label")
+    cores = spark.sparkContext.defaultParallelism
+    well_split = docs.repartition(4 * cores)          # large-input branch: only negatives written
+    assert well_split.rdd.getNumPartitions() >= 2 * cores
+    assert rows(corpus.reusable_corpus(well_split, conv), "source", "id", "label") == want
+    assert rows(corpus.reusable_corpus(docs, conv), "source", "id", "label") == want
+
+
+def test_spread_only_for_poorly_split_scans(spark):
+    from parley.sources import tables
+    cores = spark.sparkContext.defaultParallelism
+    d = tables.documents(spark, SF_MID)
+    assert tables.spread(d).rdd.getNumPartitions() == 2 * cores
+    big = d.repartition(3 * cores)
+    assert tables.spread(big) is big
