@@ -57,6 +57,8 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
+    # The zip is a driver-side artifact: addPyFile serves it from the driver to
+    # every executor (also to ones started after a loss); no data lives there.
     out_dir = tempfile.mkdtemp(prefix="parley-pkg-")
     path = os.path.join(out_dir, "parley.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
