@@ -34,11 +34,35 @@ def q_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.quality import quality_rules
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def q_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.nnpu_toxicity import toxicity
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def q_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.crf_pii import digest, personal_data
+    return digest(personal_data(table(spark, sf_dir, "documents")))
+
+
+def q_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.wu_manber import contamination, digest
+    return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality": q_quality,
         "op3_token_counts": q_token_counts,
         "op5_token_store": q_token_store,
         "op7_sentencepiece": q_sentencepiece,
+        "op8_toxicity": q_toxicity,
+        "op9_personal_data": q_personal_data,
+        "op10_decontaminate": q_decontaminate,
     }
 
 
