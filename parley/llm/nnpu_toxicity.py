@@ -49,10 +49,9 @@ class Scorer:
 
     def __init__(self, weights: dict[bytes, float], intercept: float):
         self.weights, self.intercept = weights, intercept
-        self.known = weights.keys()
 
     def margin(self, words: set[bytes]) -> float:
-        return self.intercept + sum(map(self.weights.__getitem__, sorted(words & self.known)))
+        return self.intercept + sum(map(self.weights.__getitem__, sorted(words & self.weights.keys())))
 
     def probability(self, words: set[bytes]) -> float:
         m = self.margin(words)
