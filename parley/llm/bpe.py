@@ -1,9 +1,9 @@
 """Byte-pair merges in vectorised rounds over flat symbol arrays.
 
-All words of a batch lie one after another in one array. A round looks up the
-rank of every neighbouring pair, takes each word's smallest rank, merges its
-leftmost pair of that rank in every word at once, and compacts the array; words
-without a known pair leave. The rounds end when no word is left. A word takes as
+All words of a batch lie one after another in one array. Every neighbouring
+pair has its rank. A round takes each word's smallest rank, merges its leftmost
+pair of that rank in every word at once, compacts the arrays, and looks up the
+pairs next to the merges; words without a known pair leave. The rounds end when no word is left. A word takes as
 many rounds as it has merges, so words beyond ``LONG`` symbols, whose rounds
 would cost the square of their length, go through a heap instead.
 """
@@ -17,6 +17,7 @@ import numpy as np
 from parley.llm.common import ragged
 
 LONG = 200
+NONE = np.iinfo(np.int32).max
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,32 +85,44 @@ def merge(symbols: np.ndarray, counts: np.ndarray, table: PairTable) -> tuple[np
     short = np.flatnonzero(counts <= 1)
     done.append((short, counts[short], symbols[ragged(starts[short], counts[short])]))
     cur, cnt = symbols[ragged(starts[live], counts[live])], counts[live]
+    end = np.zeros(len(cur), bool)
+    end[np.cumsum(cnt) - 1] = True                       # last symbol of its word
+    rank = np.full(len(cur), NONE, np.int32)             # of the pair (i, i + 1)
+    into = np.zeros(len(cur), np.int32)
+
+    def rate(at: np.ndarray) -> None:
+        left, right = cur[at], cur[at + 1]
+        ok = (left >= 0) & (right >= 0)
+        at = at[ok]
+        slot = table.find(left[ok], right[ok])
+        hit = slot >= 0
+        rank[at] = np.where(hit, table.rank[slot], NONE)
+        into[at] = table.merged[slot]
+
+    if len(cur):
+        rate(np.flatnonzero(~end))
     while len(live):
-        ends = np.cumsum(cnt)
-        last = np.zeros(len(cur), bool)
-        last[ends - 1] = True
-        pair = np.flatnonzero(~last)                     # i, i+1 are in one word
-        left, right = cur[pair], cur[pair + 1]
-        slot = np.full(len(pair), -1, np.int64)
-        ok = np.flatnonzero((left >= 0) & (right >= 0))
-        slot[ok] = table.find(left[ok], right[ok])
         # rank and place in one number: the smallest is the leftmost pair of the smallest rank
-        value = np.full(len(cur), np.iinfo(np.int64).max, np.int64)
-        hit = slot >= 0
-        value[pair[hit]] = table.rank[slot[hit]].astype(np.int64) << 32 | pair[hit]
-        best = np.minimum.reduceat(value, ends - cnt)
-        more = best < np.iinfo(np.int64).max
-        at = (best[more] & 0xFFFFFFFF).astype(np.int64)
-        place = np.zeros(len(cur), np.int64)
-        place[pair[hit]] = slot[hit]
-        cur[at] = table.merged[place[at]]
+        best = np.minimum.reduceat(rank.astype(np.int64) << 32 | np.arange(len(cur)), np.cumsum(cnt) - cnt)
+        more = (best >> 32) < NONE
+        at = best[more] & 0xFFFFFFFF
+        cur[at] = into[at]
+        end[at] = end[at + 1]
         keep = np.ones(len(cur), bool)
         keep[at + 1] = False
-        member = np.repeat(more, cnt)
         if not more.all():
+            member = np.repeat(more, cnt)
             over = ~more
             done.append((live[over], cnt[over], cur[~member]))
-        cur, live, cnt = cur[keep & member], live[more], cnt[more] - 1
+            keep &= member
+            at = np.cumsum(keep)[at] - 1
+            live, cnt = live[more], cnt[more]
+        else:
+            at = at - np.arange(len(at))
+        cur, end, rank, into, cnt = cur[keep], end[keep], rank[keep], into[keep], cnt - 1
+        rank[at] = NONE
+        before = at - 1
+        rate(np.concatenate([at[~end[at]], before[(at > 0) & ~end[before]]]))
     words = np.concatenate([x[0] for x in done])
     sizes = np.concatenate([x[1] for x in done])
     flat = np.concatenate([x[2] for x in done])

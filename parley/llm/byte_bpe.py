@@ -54,8 +54,11 @@ class ByteBPE:
 
     def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, flat, and their number per word."""
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        return merge(self.byte_ids[np.frombuffer(b"".join(words), np.uint8)], counts, self.table)
+        return self.merge_all_flat(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+
+    def merge_all_flat(self, raw: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words given as bytes one after another with their lengths."""
+        return merge(self.byte_ids[raw], counts, self.table)
 
     def whole_tokens(self) -> set[str]:
         """The vocabulary strings proven to encode alone as their one token: the

@@ -14,6 +14,10 @@ Its ids are dealt over LANES interleaved coders; id k belongs to lane k % LANES.
 All lanes advance together as numpy arrays. Every CHECKPOINT steps the states of
 all lanes and the place in the word stream are kept, so a reader can start there.
 
+Ids are those of the tokenizers library, made by ``pieces`` (the library, run
+over every whole text, takes more than this operator's whole budget; the tests
+compare the ids with it).
+
 Shards are ranges of doc_id, in ascending order, and blocks follow one another in
 a shard; a null doc_id comes first. Rows with the same doc_id keep the order of
 their ids. An empty or null text has its end id alone.
@@ -29,8 +33,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parley.llm.byte_bpe import ByteBPE, unsafe
-from parley.llm.common import map_batches, ragged, segment_sums, text_rows, texts
+from parley.llm.byte_bpe import ByteBPE
+from parley.llm.common import ragged, slices, text_rows
+from parley.llm.pieces import PieceEncoder
 from parley.session import checkpoint_dir
 
 SCALE = 20
@@ -40,78 +45,12 @@ BLOCK = LANES * 256
 CHECKPOINT = 128
 SHARD_IDS = 1 << 23
 MAGIC = 0x31534E41
-CACHE_PIECES = 500_000
 
 
 def id_type(n_ids: int):
     return np.dtype("<u2") if n_ids <= 1 << 16 else np.dtype("<u4")
 
 
-# -- ids ---------------------------------------------------------------------
-
-class Encoder:
-    """Ids as the tokenizers library gives them. The library encodes each distinct
-    piece of a text once (see ``byte_bpe.unsafe`` for why pieces may be encoded
-    alone); texts with unsafe pieces or special strings go to it whole."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.lib = Tokenizer.from_file(path)
-        self.bpe = ByteBPE(path)
-        self._start()
-
-    def _start(self) -> None:
-        self.heads: dict[str, np.ndarray] = {}
-        self.pieces: dict[str, int] = {}
-        self.ids, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _add(self, new: list[str]) -> None:
-        odd = set(unsafe(new))
-        self.pieces.update(dict.fromkeys(odd, -1))
-        safe = [p for p in new if p not in odd] if odd else new
-        if not safe:
-            return
-        # each piece starts at the ids that begin with a space; it has no other space
-        ids = np.concatenate(self._whole([" " + " ".join(safe[k:k + 4000]) for k in range(0, len(safe), 4000)]))
-        starts = np.flatnonzero(self.bpe.spaced[ids])
-        counts = np.diff(np.append(starts, len(ids)))
-        if len(counts) != len(safe):
-            raise AssertionError("a piece doesn't start at an id with a space")
-        self.pieces.update(zip(safe, range(len(self.counts), len(self.counts) + len(safe))))
-        self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
-
-    def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, flat, and their number per text."""
-        if len(self.pieces) > CACHE_PIECES:
-            self._start()
-        special = tuple(self.bpe.special)
-        split = [[] if not t or any(s in t for s in special) else t.split(" ") for t in batch]
-        self._add(list(set().union(*(s[1:] for s in split)) - self.pieces.keys()))
-        numbers = [list(map(self.pieces.__getitem__, s[1:])) for s in split]
-        whole = [k for k, (t, s, n) in enumerate(zip(batch, split, numbers)) if t and (not s or unsafe(s[:1]) or -1 in n)]
-        for k in whole:
-            numbers[k], split[k] = [], []
-        head = [k for k, s in enumerate(split) if s]
-        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(batch)
-        for k, ids in zip(whole + head, self._whole([batch[k] for k in whole] + [split[k][0] for k in head])):
-            parts[k] = ids
-        sizes = np.fromiter(map(len, numbers), np.int64, len(batch))
-        piece = np.concatenate([np.array(n, np.int64) for n in numbers if n] or [np.zeros(0, np.int64)])
-        starts = np.cumsum(self.counts) - self.counts
-        tail = self.ids[ragged(starts[piece], self.counts[piece])]
-        tails = segment_sums(self.counts[piece], np.concatenate([[0], np.cumsum(sizes)]))
-        first = np.fromiter(map(len, parts), np.int64, len(batch))
-        counts = first + tails
-        out = np.empty(int(counts.sum()), np.uint32)
-        at = np.cumsum(counts) - counts
-        out[ragged(at, first)] = np.concatenate(parts)
-        out[ragged(at + first, tails)] = tail
-        return out, counts
-
-
 def _token_rows(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """(doc_id, n, ids) rows, and per task the counts of its ids in rows without ids."""
     schema = "doc_id long, n long, ids binary, id array<int>, seen array<long>"
@@ -119,14 +58,13 @@ def _token_rows(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
     def run(batches):
         enc, seen = None, None
-        from parley.llm.common import slices
         for batch in batches:
             for part in slices(batch):
                 if enc is None:
-                    enc = Encoder(tokenizer_path)
+                    enc = PieceEncoder(tokenizer_path)
                     kind = id_type(max(enc.bpe.size, end_id + 1))
                     seen = np.zeros(max(enc.bpe.size, end_id + 1), np.int64)
-                ids, counts = enc.encode(texts(part))
+                ids, counts = enc.encode(part.column(1))
                 size = counts + 1
                 ends = np.cumsum(size)
                 full = np.full(int(size.sum()), end_id, kind)
