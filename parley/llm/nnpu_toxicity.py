@@ -8,7 +8,7 @@ that difference below zero is undone instead. pi is the toxic share of the
 labelled documents of the training fold.
 
 f is linear in the presence of words. Its vocabulary are the ``VOCABULARY`` words
-with the largest lift from U to P; weights are fitted with numpy on the driver by
+with the largest lift from U to P, in standard errors, and at least ``MIN_LIFT``; weights are fitted with numpy on the driver by
 Adam. P and U are bounded samples (``MAX_POSITIVE``, ``MAX_UNLABELLED`` rows, the
 first by a hash of the id); scoring covers every document, map-only.
 
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 from parley.llm.common import flat, map_batches, text_rows
 
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
-VOCABULARY, MIN_POSITIVE = 256, 5
-STEPS, RATE, PENALTY = 400, 0.05, 1e-4
+VOCABULARY, MIN_POSITIVE, MIN_LIFT = 256, 3, 4.0
+STEPS, RATE, PENALTY = 400, 0.05, 2e-4
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Small letters, digits and bytes beyond ASCII stay, capitals become small, the rest is space.
@@ -69,7 +69,8 @@ def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float)
         p, u = in_p[w] / n_p, in_u[w] / n_u
         pooled = (in_p[w] + in_u[w] + 1) / (n_p + n_u + 2)
         return (p - u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
-    words = sorted((w for w, c in in_p.items() if c >= MIN_POSITIVE), key=lambda w: (-lift(w), w))[:VOCABULARY]
+    lifts = {w: lift(w) for w, c in in_p.items() if c >= MIN_POSITIVE}
+    words = sorted((w for w, x in lifts.items() if x >= MIN_LIFT), key=lambda w: (-lifts[w], w))[:VOCABULARY]
     place = {w: k for k, w in enumerate(words)}
 
     def matrix(rows):

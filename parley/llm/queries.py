@@ -54,11 +54,17 @@ def q_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def q_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.hamming_dedup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality": q_quality,
         "op3_token_counts": q_token_counts,
         "op5_token_store": q_token_store,
+        "op6_near_duplicates": q_near_duplicates,
         "op7_sentencepiece": q_sentencepiece,
         "op8_toxicity": q_toxicity,
         "op9_personal_data": q_personal_data,
