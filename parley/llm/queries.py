@@ -59,10 +59,16 @@ def q_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def q_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.ngram_lm import score_documents
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality": q_quality,
         "op3_token_counts": q_token_counts,
+        "op4_language_model": q_language_model,
         "op5_token_store": q_token_store,
         "op6_near_duplicates": q_near_duplicates,
         "op7_sentencepiece": q_sentencepiece,
