@@ -64,8 +64,14 @@ def q_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def q_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.suffix_dedup import repeated_bytes
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_repeated_bytes": q_repeated_bytes,
         "op2_quality": q_quality,
         "op3_token_counts": q_token_counts,
         "op4_language_model": q_language_model,
