@@ -16,7 +16,7 @@ WORD_BREAKS = b" \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Texts of one task are worked through in slices of about this many bytes, so
 #: that working memory does not follow the number of rows in an Arrow batch.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:

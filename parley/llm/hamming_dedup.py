@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from parley.llm.common import flat, map_batches, ragged, text_rows
 from parley.llm.graph import components
+from parley.llm.hashing import RNG, R, mix, word_hashes
 from parley.llm.quality import tail
 from parley.session import cut_lineage
 
@@ -45,53 +46,15 @@ CAP = 50
 #: Ids are sent to all tasks up to this many (8 bytes each), else joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
-_BREAK = np.zeros(256, bool)
-_BREAK[[0x20, *range(0x09, 0x0E)]] = True
-_LOW = np.arange(256, dtype=np.uint8)
-_LOW[0x41:0x5B] += 32
-_RNG = np.random.default_rng(20240611)
-_BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
-_R = np.uint64(0x9E3779B97F4A7C15)
-_R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
-_PLACE = _RNG.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
-_MUL = _RNG.integers(0, 1 << 32, (2, SLOTS), np.uint32) | np.uint32(1)
-
-
-def _powers(r: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, r, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out, dtype=np.uint64)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
+_PLACE = RNG.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
+_MUL = RNG.integers(0, 1 << 32, (2, SLOTS), np.uint32) | np.uint32(1)
 
 
 def shingles(batch: pa.RecordBatch, size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    raw, off = flat(batch)
-    n = len(off) - 1
-    brk = _BREAK[raw]
-    lead = ~brk
-    lead[1:] &= brk[:-1]
-    at = off[:-1][np.diff(off) > 0]
-    lead[at] = ~brk[at]
-    starts = np.flatnonzero(lead)
-    if not len(starts):
-        return [np.zeros(0, np.uint64)] * n
-    # end of each word: the next break or the text's end
-    ends_at = np.flatnonzero(np.append(brk, True))
-    ends = ends_at[np.searchsorted(ends_at, starts)]
-    doc = np.searchsorted(off, starts, "right") - 1
-    ends = np.minimum(ends, off[doc + 1])
+    n = batch.num_rows
+    word, per = word_hashes(*flat(batch))
     with np.errstate(over="ignore"):
-        terms = _BYTE[_LOW[raw]] * _powers(_R, len(raw))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
-        word = mix((total[ends] - total[starts]) * _powers(_R_INV, len(raw))[starts] + (ends - starts).astype(np.uint64))
-        per = np.bincount(doc, minlength=n)
         long = np.maximum(per - size + 1, 0)
         first = np.cumsum(per) - per
         hash_at = ragged(first, long)
@@ -164,7 +127,7 @@ def _keys(classes: DataFrame, plan: list[tuple[int, ...]]) -> DataFrame:
                     sig = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, SLOTS).astype(np.uint64)
                     rep = part.column(0)
                     for n, slots in enumerate(plan):
-                        key = np.full(len(sig), n + 1, np.uint64) * _R
+                        key = np.full(len(sig), n + 1, np.uint64) * R
                         for s in slots:
                             key = mix(key + sig[:, s])
                         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), rep], names=["key", "rep"])
@@ -204,14 +167,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that are links, by their full sets."""
     def run(batches):
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = []
-            for x, y in zip(a, b):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * inter >= percent * (len(x) + len(y) - inter))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                ok = []
+                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                    both = np.sort(np.concatenate([x, y]), kind="stable")
+                    inter = int((both[1:] == both[:-1]).sum())
+                    ok.append(100 * inter >= percent * (len(x) + len(y) - inter))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
     side = lambda x: sets.select(F.col("rep").alias(x), F.col("set").alias(f"set_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from parley.llm.common import flat, ragged, segment_sums, slices, text_rows
-from parley.llm.hamming_dedup import _BYTE, _R, _R_INV, _powers, mix
+from parley.llm.hashing import R_INV, mix, powers, prefix_sums
 from parley.llm.lyndon_sort import suffix_array
 from parley.llm.ngram_lm import _pack, _unpack
 from parley.session import checkpoint_dir, cut_lineage
@@ -64,8 +64,8 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         for a in range(0, total, STEP):
             part = raw[a:a + STEP + LENGTH - 1]
             n = len(part) - LENGTH + 1
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[part] * _powers(_R, len(part)), dtype=np.uint64)])
-            back = _powers(_R_INV, len(part))
+            sums = prefix_sums(part)
+            back = powers(R_INV, len(part))
             value = mix((sums[ANCHOR:] - sums[:-ANCHOR]) * back[:len(part) - ANCHOR + 1])
             least, at = value, np.arange(len(value), dtype=np.int32)
 
@@ -79,10 +79,11 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
                 seen *= 2
             if seen < SPREAD:
                 least, at = leftmost(SPREAD - seen, least, at, n)
-            start = np.arange(a, a + n)
-            doc = np.searchsorted(offsets, start, "right") - 1
-            inside = np.flatnonzero(start + LENGTH <= offsets[doc + 1])
-            at, doc = at[inside], doc[inside]
+            # windows that end in their text
+            low, high = np.clip(offsets[:-1], a, a + n), np.clip(offsets[1:] - LENGTH + 1, a, a + n)
+            per = np.maximum(high - low, 0)
+            inside, doc = ragged(low - a, per), np.repeat(np.arange(len(per)), per)
+            at = at[inside]
             new = np.ones(len(inside), bool)
             new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
             first = np.flatnonzero(new)
@@ -418,10 +419,10 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     entries = blocks.select("block", "head", "raw").mapInArrow(_send(shards), _ROWS)
-    decided = cut_lineage(entries.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_by_shard(_decide, LAYOUT), _ROWS), "repeats")
+    decided = cut_lineage(entries.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(_by_shard(_decide, LAYOUT), _ROWS), "repeats")
     codes = decided.where(F.col("kind").isin(LAYOUT, CODES))
     copies = blocks.select("block", "head", "raw").join(_grouped(codes, buckets), "block").select("head", "raw", "block", "answers").mapInArrow(_copies, _ROWS)
     waiting = decided.where(F.col("kind").isin(WAITING, CONTEXTS))
-    masks = cut_lineage(waiting.unionByName(copies).repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_by_shard(_order), _ROWS), "masks")
+    masks = cut_lineage(waiting.unionByName(copies).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(_by_shard(_order), _ROWS), "masks")
     return (blocks.select("block", "head", "raw").join(_grouped(codes.unionByName(masks), buckets), "block", "left").select("head", "raw", "answers")
             .mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
