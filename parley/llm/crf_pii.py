@@ -427,8 +427,10 @@ def digest(found: DataFrame) -> DataFrame:
     def joined(spans):
         rank = F.transform(spans, lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("name")))
         return F.array_join(F.transform(F.array_sort(rank), lambda s: F.concat_ws(":", s["name"], s["a"].cast("string"), s["b"].cast("string"))), ",")
+    def of_kind(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     every = F.concat("base", "added")
-    return found.select("doc_id", *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+    return found.select("doc_id", *map(of_kind, KINDS),
                         F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(every).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
