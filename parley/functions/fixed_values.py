@@ -30,6 +30,9 @@ DOC_LANG_CODES = [
     ("de", "de_DE"),
 ]
 
+# Codes the offline translator takes as source or target.
+MODEL_CODES = [HIGH_RESOURCE_LANG, *(code for _, code, _ in LOW_RESOURCE_LANGS), *(code for _, code in DOC_LANG_CODES[1:])]
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES — text processing
 # ---------------------------------------------------------------------------
@@ -72,8 +75,6 @@ SYSTEM_PROMPT = (
 # Decode caps of the two model backends (new tokens / total length).
 SIMPLIFY_MAX_NEW_TOKENS = 128
 TRANSLATE_MAX_LENGTH = 200
-# Longest input the translation model accepts (positions of the encoder).
-TRANSLATE_MAX_INPUT_TOKENS = 1024
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — transcript texts
@@ -91,11 +92,11 @@ NEGATION_WORDS = ["no", "not", "without"]
 # A number (with decimals) and the letters or % glued to it: 500mg, 2.5ml, 10%.
 NUMBER_PATTERN = r"[0-9]+(?:[.,][0-9]+)*[\p{L}%]*"
 
-# Unicode script names as written in the two regex dialects.
+# Letters of a script as written in the two regex dialects (RE2: of a single letter).
 SCRIPT_JAVA = {
-    "Arabic": r"\p{IsArabic}", "Latin": r"\p{IsLatin}",
-    "Devanagari": r"\p{IsDevanagari}", "Sinhala": r"\p{IsSinhala}",
-    "Myanmar": r"\p{IsMyanmar}", "Cyrillic": r"\p{IsCyrillic}",
+    "Arabic": r"[\p{IsArabic}&&\p{L}]", "Latin": r"[\p{IsLatin}&&\p{L}]",
+    "Devanagari": r"[\p{IsDevanagari}&&\p{L}]", "Sinhala": r"[\p{IsSinhala}&&\p{L}]",
+    "Myanmar": r"[\p{IsMyanmar}&&\p{L}]", "Cyrillic": r"[\p{IsCyrillic}&&\p{L}]",
 }
 SCRIPT_RE2 = {
     "Arabic": r"\p{Arabic}", "Latin": r"\p{Latin}",

@@ -56,26 +56,17 @@ class Backend:
 
 
 class TaggingTranslator(Backend):
-    """Offline stand-in for a translation model: returns the text unchanged
-    behind a ``[tgt]`` marker. It enforces the encoder's input limit, so
-    over-long inputs fail per row like a real model would. It does not
-    translate; plug a model in through ``Backend`` for real output."""
+    """Offline stand-in for a translation model: returns the text, of any
+    length, unchanged behind a ``[tgt]`` marker. Language codes outside the
+    interface list (null among them) fail per row, as a real model's do. It does
+    not translate; plug a model in through ``Backend`` for real output."""
     name = "tagging"
 
-    def __init__(self, max_input_tokens: int = fv.TRANSLATE_MAX_INPUT_TOKENS):
-        self.max_input_tokens = max_input_tokens
-
-    def load(self):
-        import re
-        self._ws = re.compile(fv.python_regex(fv.WS_TOKEN_PATTERN))
-
     def predict(self, texts, src, tgt):
-        out = []
-        for t in texts:
-            if len(self._ws.findall(t)) > self.max_input_tokens:
-                raise ValueError(f"input exceeds {self.max_input_tokens} tokens")
-            out.append(f"[{tgt}] {t}")
-        return out
+        for code in (src, tgt):
+            if code not in fv.MODEL_CODES:
+                raise ValueError(f"unsupported language {code or 'null'}")
+        return [f"[{tgt}] {t}" for t in texts]
 
 
 class RemoteBackend(Backend):
@@ -151,6 +142,7 @@ def run_backend(reqs: DataFrame, backend: Backend, src: str, tgt: str, text: str
                 continue
             pieces = []
             for (s, t), g in pdf.groupby([src, tgt], sort=False, dropna=False):
+                s, t = (None if pd.isna(x) else x for x in (s, t))
                 outs, errs = _call(b, g[text].tolist(), s, t)
                 g = g.copy()
                 g[out] = outs

@@ -65,7 +65,7 @@ def document_requests(documents: DataFrame) -> DataFrame:
 def gate(df: DataFrame) -> DataFrame:
     """Classification and rewriting switch on when the source is English; the
     target is not looked at."""
-    return df.withColumn("gated", F.col("src_lang") == F.lit(EN))
+    return df.withColumn("gated", F.coalesce(F.col("src_lang") == F.lit(EN), F.lit(False)))
 
 
 def classify_gated(reqs: DataFrame, model: classifier.LinearTextModel,

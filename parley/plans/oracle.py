@@ -104,10 +104,10 @@ def glossary_expr(x: str) -> str:
 
 def translate_exprs(text: str, tgt: str) -> tuple[str, str]:
     """(translation, error) of the offline tagging translator."""
-    too_long = f"{ws_count(text)} > {fv.TRANSLATE_MAX_INPUT_TOKENS}"
-    tr = f"CASE WHEN {text} IS NULL OR {too_long} THEN NULL ELSE '[' || {tgt} || '] ' || {text} END"
-    er = (f"CASE WHEN {text} IS NOT NULL AND {too_long} "
-          f"THEN 'input exceeds {fv.TRANSLATE_MAX_INPUT_TOKENS} tokens' END")
+    codes = ", ".join(q(c) for c in fv.MODEL_CODES)
+    bad = f"({tgt} IS NULL OR {tgt} NOT IN ({codes}))"
+    tr = f"CASE WHEN {text} IS NULL OR {bad} THEN NULL ELSE '[' || {tgt} || '] ' || {text} END"
+    er = f"CASE WHEN {text} IS NOT NULL AND {bad} THEN 'unsupported language ' || coalesce({tgt}, 'null') END"
     return tr, er
 
 
@@ -345,7 +345,7 @@ SELECT conv_id, turn, speaker, src_lang, tgt_lang, text AS original, medical,
     s["audit_numbers"] = f"""WITH {RW}
 SELECT doc_id, len({nums('text')}) AS numbers_src, len({nums('simplified')}) AS numbers_out,
        {nums('text')} = {nums('simplified')} AS numbers_kept FROM rw"""
-    cases = " ".join(f"WHEN {q(k)} THEN len(regexp_extract_all(translation, {q(v)}))"
+    cases = " ".join(f"WHEN {q(k)} THEN len(list_filter(regexp_extract_all(translation, '\\p{{L}}'), lambda c: regexp_matches(c, {q(v)})))"
                      for k, v in fv.SCRIPT_RE2.items())
     s["audit_script"] = f"""WITH {PR},
 sc AS (SELECT p.conv_id, p.turn, p.tgt_lang, l.script,

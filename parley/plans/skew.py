@@ -46,4 +46,9 @@ def salted_join_back(reqs: DataFrame, results: DataFrame, keys: list[str], mult:
     req = (reqs.withColumn("_h", h).join(hot, "_h", "left")
            .withColumn("_salt", F.when(F.col("_hot"), row_salt).otherwise(F.lit(0)))
            .drop("_h", "_hot"))
-    return req.join(res, keys + ["_salt"], "left").drop("_salt")
+    # null-safe: a request with a null language still gets its result (an error)
+    res = res.withColumnsRenamed({k: f"_r_{k}" for k in keys} | {"_salt": "_r_salt"})
+    match = F.col("_salt") == F.col("_r_salt")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return req.join(res, match, "left").drop("_salt", "_r_salt", *[f"_r_{k}" for k in keys])

@@ -46,8 +46,14 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str = "conversations",
                 max_files: int = 1) -> DataFrame:
-    return (spark.readStream.schema(SCHEMAS[table]).option("maxFilesPerTrigger", max_files)
-            .option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir))
+    """A stream over ``{table}.parquet``, a file or a folder of part files; a
+    missing table fails here instead of giving an empty stream."""
+    reader = spark.readStream.schema(SCHEMAS[table]).option("maxFilesPerTrigger", max_files)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(path).isDirectory():
+        return reader.parquet(path.toString())
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
 def _number(key, pdfs, state):

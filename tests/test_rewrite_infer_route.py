@@ -138,12 +138,13 @@ def test_backend_fall_through(spark):
     assert got == [("api", "api"), ("local", "local"), ("api", "local"), ("api", "local")]
 
 
-def test_tagging_translator_limit():
-    b = infer.TaggingTranslator(max_input_tokens=3)
-    b.load()
-    assert b.predict(["a b c"], "en_XX", "xh_ZA") == ["[xh_ZA] a b c"]
-    with pytest.raises(ValueError):
-        b.predict(["a b c d"], "en_XX", "xh_ZA")
+def test_tagging_translator_has_no_length_limit_and_fails_by_language():
+    b = infer.TaggingTranslator()
+    long = "a " * 5000
+    assert b.predict(["a b c", long], "en_XX", "xh_ZA") == ["[xh_ZA] a b c", f"[xh_ZA] {long}"]
+    for pair in (("en_XX", "tlh_XX"), (None, "xh_ZA"), ("en_XX", None)):
+        with pytest.raises(ValueError, match="unsupported language"):
+            b.predict(["a"], *pair)
 
 
 def test_language_table_and_unknown(spark):
