@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -17,9 +19,19 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Texts of one task are worked through in slices of about this many bytes, so
 #: that working memory does not follow the number of rows in an Arrow batch.
 SLICE_BYTES = 4 << 20
+#: Rows of an Arrow batch: both sides of a Python task hold a few batches outside the heap.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark) -> None:
+    """Bound the rows of Arrow batches in this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return read_table(spark, sf_dir, name)
 
 
@@ -28,6 +40,22 @@ def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
+def tidy(run):
+    """``run`` for ``mapInArrow``, giving freed memory back to the system at the
+    task's end: Python workers live on and would hold it beside the next stage's."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:
+                pass  # another C library
+    return wrapped
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """``mapInArrow`` where ``make()`` is called once a task and gives a function
     from a slice of rows to a dict of columns (in any array form)."""
@@ -39,7 +67,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
                 out = work(part)
                 if out is not None:
                     yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -60,6 +88,21 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         at = to
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows in runs of about ``limit`` text bytes, whatever the batches' sizes."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, column, limit):
+            n = int(lengths(part.column(part.schema.get_field_index(column))).sum())
+            if held and size + n > limit:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
 def lengths(col: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
     return pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -107,4 +150,22 @@ def rows_kept(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np.nd
             for part in slices(batch):
                 work = work or make()
                 yield part.filter(pa.array(work(part)))
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
+
+
+def pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays one after another, compressed."""
+    sizes = np.array([a.nbytes for a in arrays], "<i8")
+    raw = sizes.tobytes() + b"".join(a.tobytes() for a in arrays)
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
+    """The arrays of ``pack``, by their types."""
+    raw = pa.decompress(memoryview(blob)[8:], int(np.frombuffer(blob, "<i8", 1)[0]), codec="zstd", asbytes=True)
+    sizes = np.frombuffer(raw, "<i8", len(kinds)).tolist()
+    out, at = [], 8 * len(kinds)
+    for kind, size in zip(kinds, sizes):
+        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out

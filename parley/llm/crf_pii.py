@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from parley.llm.common import WORD, flat, map_batches, segment_sums, text_rows, texts
+from parley.llm.common import WORD, flat, map_batches, segment_sums, text_rows, texts, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns of the contract.
@@ -465,4 +465,4 @@ def masked(docs: DataFrame) -> DataFrame:
                     size = [len(t) if b or m else n for t, b, m, n in zip(new, base, more, part.column(c).to_pylist())]
                     part = part.set_column(c, part.schema.field(c), pa.array(size, part.schema.field(c).type))
                 yield part
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -34,10 +34,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from parley.llm.common import flat, map_batches, ragged, text_rows
+from parley.llm.binomial import tail
+from parley.llm.common import flat, map_batches, ragged, text_rows, tidy
 from parley.llm.graph import components
 from parley.llm.hashing import RNG, R, mix, word_hashes
-from parley.llm.quality import tail
 from parley.session import cut_lineage
 
 SHINGLE, PERCENT = 5, 85
@@ -131,7 +131,7 @@ def _keys(classes: DataFrame, plan: list[tuple[int, ...]]) -> DataFrame:
                         for s in slots:
                             key = mix(key + sig[:, s])
                         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), rep], names=["key", "rep"])
-    return classes.select("rep", "sig").mapInArrow(run, "key long, rep long")
+    return classes.select("rep", "sig").mapInArrow(tidy(run), "key long, rep long")
 
 
 def _within(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
@@ -144,7 +144,7 @@ def _within(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
                 near = (a != b).sum(1) <= threshold
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(near))
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     ok.append(100 * inter >= percent * (len(x) + len(y) - inter))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
     side = lambda x: sets.select(F.col("rep").alias(x), F.col("set").alias(f"set_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:

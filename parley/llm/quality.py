@@ -25,13 +25,11 @@ that are null are no labels; of repeated label rows of a document the lowest cou
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from parley.llm.binomial import tail
 from parley.llm.common import flat, map_batches, rows_kept, segment_sums
 from parley.session import cut_lineage
 
@@ -131,16 +129,8 @@ def _step(top: str, bottom: str):
     return F.least(F.lit(GRID), F.floor(F.lit(GRID) * F.col(top) / F.greatest(F.col(bottom), F.lit(1)))).cast("int")
 
 
-def tail(k: int, n: int, p: float) -> float:
-    """P(at most k of n) at probability p, summed exactly."""
-    if k >= n:
-        return 1.0
-    lg = math.lgamma
-    return min(1.0, sum(math.exp(lg(n + 1) - lg(i + 1) - lg(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1)))
-
-
-def choose(counts: pd.DataFrame, rules: int, strata: int, risk: float, doubt: float) -> list[tuple[str, int]]:
-    """(rule, first rejected step) of one stratum from counts by rule and step:
+def choose(counts, rules: int, strata: int, risk: float, doubt: float) -> list[tuple[str, int]]:
+    """(rule, first rejected step) of one stratum from a pandas table of counts by rule and step:
     pick_good, pick_bad, hold_good, hold_bad."""
     out = []
     for rule, part in counts.groupby("rule"):
@@ -178,7 +168,8 @@ def cutoffs(found: DataFrame, labels: DataFrame, risk: float = RISK, doubt: floa
     strata = counts.select("stratum").distinct().count()
     rules = len(RULES)
 
-    def pick(part: pd.DataFrame) -> pd.DataFrame:
+    def pick(part):
+        import pandas as pd
         got = dict(choose(part, rules, strata, risk, doubt))
         return pd.DataFrame([[part["stratum"].iloc[0], *[got.get(r) for r in RULES]]], columns=["stratum", *RULES])
     schema = "stratum string, " + ", ".join(f"{r} double" for r in RULES)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parley.llm.byte_bpe import ByteBPE
-from parley.llm.common import ragged, slices, text_rows
+from parley.llm.common import ragged, slices, text_rows, tidy
 from parley.llm.pieces import PieceEncoder
 from parley.session import checkpoint_dir
 
@@ -77,7 +77,7 @@ def _token_rows(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         if enc is not None:
             at = np.flatnonzero(seen)
             yield pa.RecordBatch.from_pydict({"doc_id": [None], "n": [None], "ids": [None], "id": [at.tolist()], "seen": [seen[at].tolist()]}, schema=arrow)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 # -- frequency table -------------------------------------------------------------
@@ -240,7 +240,7 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
             yield take(state["held"])
     (rows.where("ids is not null").select("doc_id", "ids")
      .repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
-     .mapInArrow(blocks, schema).write.option("compression", "none").parquet(f"{path}/blocks"))
+     .mapInArrow(tidy(blocks), schema).write.option("compression", "none").parquet(f"{path}/blocks"))
     ids = spark.read.parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").collect()  # one row a shard
     at, starts = 0, []
     for r in ids:
@@ -296,7 +296,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([r["shard"]] * k, pa.int32()), "row": rows,
                                                   "doc_id": pa.array(docs, mask=docs == NULL_ID), "block": pa.array([r["block"]] * k, pa.int32()),
                                                   "at": r["first"] + ends - counts, "n": counts, "crc": pa.array(crc, pa.int64())})
-    parts = spark.read.parquet(f"{path}/blocks").select("shard", "block", "first", "docs", "rows", "counts", "payload").mapInArrow(decode, schema)
+    parts = spark.read.parquet(f"{path}/blocks").select("shard", "block", "first", "docs", "rows", "counts", "payload").mapInArrow(tidy(decode), schema)
     # a row's parts lie in neighbouring blocks; most rows have one
     whole = (parts.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"),
                                                F.sort_array(F.collect_list(F.struct("block", "n", "crc"))).alias("parts")))
@@ -312,7 +312,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
     starts = F.broadcast(spark.read.schema("shard int, start long").parquet(f"{path}/shards"))  # one row a shard
     return (whole.join(starts, "shard").select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "parts")
-            .mapInArrow(join, "doc_id long, start long, n_tokens long, ids_crc32 long"))
+            .mapInArrow(tidy(join), "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def stored_ids(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:

@@ -28,7 +28,7 @@ from parley.llm.common import map_batches, ragged, segment_sums, text_rows, text
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Distinct words a task keeps between slices; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def _fields(buf: bytes):

@@ -39,10 +39,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from parley.llm.common import flat, ragged, segment_sums, slices, text_rows
+from parley.llm.common import flat, gathered, pack, ragged, segment_sums, text_rows, tidy, unpack
 from parley.llm.hashing import R_INV, mix, powers, prefix_sums
 from parley.llm.lyndon_sort import suffix_array
-from parley.llm.ngram_lm import _pack, _unpack
 from parley.session import checkpoint_dir, cut_lineage
 
 LENGTH, ANCHOR = 50, 25
@@ -121,25 +120,24 @@ def _block_table(docs: DataFrame) -> tuple[DataFrame, int]:
     """(blocks by number in a bucketed table, buckets)."""
     spark = docs.sparkSession
 
-    def pack(batches):
+    def to_blocks(batches):
         task, no = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for big in slices(batch, limit=BLOCK_BYTES):
-                for k in range(0, big.num_rows, 60_000):
-                    part = big.slice(k, 60_000)
-                    raw, off = flat(part)
-                    ids, null = part.column(0).fill_null(0).to_numpy(), part.column(0).is_null().to_numpy(zero_copy_only=False)
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([task << 32 | no], pa.int64()), "n_bytes": pa.array([len(raw)], pa.int64()), "head": [_pack([ids.astype("<i8"), null.astype("u1"), np.diff(off).astype("<i8")])], "raw": pa.array([raw.tobytes()], pa.binary())})
-                    no += 1
+        for big in gathered(batches, limit=BLOCK_BYTES):
+            for k in range(0, big.num_rows, 60_000):
+                part = big.slice(k, 60_000)
+                raw, off = flat(part)
+                ids, null = part.column(0).fill_null(0).to_numpy(), part.column(0).is_null().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_pydict({"block": pa.array([task << 32 | no], pa.int64()), "n_bytes": pa.array([len(raw)], pa.int64()), "head": [pack([ids.astype("<i8"), null.astype("u1"), np.diff(off).astype("<i8")])], "raw": pa.array([raw.tobytes()], pa.binary())})
+                no += 1
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"parley_blocks_{uuid.uuid4().hex}"
-    (docs.mapInArrow(pack, "block long, n_bytes long, head binary, raw binary").write.format("parquet").option("compression", "zstd")
+    (docs.mapInArrow(tidy(to_blocks), "block long, n_bytes long, head binary, raw binary").write.format("parquet").option("compression", "zstd")
      .option("path", f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}").bucketBy(buckets, "block").saveAsTable(name))
     return spark.table(name), buckets
 
 
 def _head(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(_unpack(data, ["<i8", "u1", "<i8"]))
+    return tuple(unpack(data, ["<i8", "u1", "<i8"]))
 
 
 def _send(shards: int):
@@ -151,13 +149,13 @@ def _send(shards: int):
                 off = np.concatenate([[0], np.cumsum(sizes)])
                 doc, _, windows, _, value, context = anchors(np.frombuffer(r["raw"], np.uint8), off)
                 shard = (value % np.uint64(shards)).astype(np.int64)
-                yield _row(shard=r["block"] % shards, block=r["block"], kind=LAYOUT, data=_pack([windows.astype("u1"), shard.astype("<u4")]))
+                yield _row(shard=r["block"] % shards, block=r["block"], kind=LAYOUT, data=pack([windows.astype("u1"), shard.astype("<u4")]))
                 known = np.where(null.astype(bool), NO_ID, ids)
                 order = np.argsort(shard, kind="stable")
                 cut = np.searchsorted(shard[order], np.arange(shards + 1))
                 for s in np.flatnonzero(np.diff(cut)).tolist():
                     at = order[cut[s]:cut[s + 1]]
-                    yield _row(shard=s, block=r["block"], kind=CODES, data=_pack([_narrow(value[at] >> np.uint64(24), 5), _narrow(context[at], 6), doc[at].astype("<u2"), np.diff(known, prepend=0).astype("<i8")]))
+                    yield _row(shard=s, block=r["block"], kind=CODES, data=pack([_narrow(value[at] >> np.uint64(24), 5), _narrow(context[at], 6), doc[at].astype("<u2"), np.diff(known, prepend=0).astype("<i8")]))
     return run
 
 
@@ -182,7 +180,7 @@ def _by_shard(solve, passing: int | None = None):
 
 def _decide(shard, rows):
     """Codes for the entries of each block; the waiting occurrences and contexts of the shard."""
-    parts = [_unpack(r["data"], ["u1", "u1", "<u2", "<i8"]) for r in rows]
+    parts = [unpack(r["data"], ["u1", "u1", "<u2", "<i8"]) for r in rows]
     size = [len(p[2]) for p in parts]
     anchor = np.concatenate([_wide(p[0], 5) for p in parts])
     context = np.concatenate([_wide(p[1], 6) for p in parts])
@@ -212,13 +210,13 @@ def _decide(shard, rows):
         mine = back[at:at + n]
         w = wait[mine]
         numbers = number[mine][w].astype("<u4")
-        yield _row(shard=shard, block=r["block"], kind=CODES, data=_pack([code[mine], numbers]))
+        yield _row(shard=shard, block=r["block"], kind=CODES, data=pack([code[mine], numbers]))
         if w.any():
-            yield _row(shard=shard, block=r["block"], kind=WAITING, data=_pack([numbers, d[mine][w].astype("<i8")]))
+            yield _row(shard=shard, block=r["block"], kind=WAITING, data=pack([numbers, d[mine][w].astype("<i8")]))
         at += n
     if waiting.any():
         per_context = np.minimum.reduceat(d, first_c)[waiting]
-        yield _row(shard=shard, block=-1, kind=CONTEXTS, data=_pack([group[first_c][waiting].astype("<u4"), per_context.astype("<i8")]))
+        yield _row(shard=shard, block=-1, kind=CONTEXTS, data=pack([group[first_c][waiting].astype("<u4"), per_context.astype("<i8")]))
 
 
 def _grouped(rows: DataFrame, buckets: int) -> DataFrame:
@@ -229,14 +227,14 @@ def _grouped(rows: DataFrame, buckets: int) -> DataFrame:
 def _codes(answers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict]:
     """(windows, code and shard of each context, number of each waiting one, answers by kind and shard)."""
     by = {(x["kind"], x["shard"]): x["data"] for x in answers if x["kind"] != LAYOUT}
-    windows, shard = _unpack(next(x["data"] for x in answers if x["kind"] == LAYOUT), ["u1", "<u4"])
+    windows, shard = unpack(next(x["data"] for x in answers if x["kind"] == LAYOUT), ["u1", "<u4"])
     code, number = np.zeros(len(windows), np.uint8), np.zeros(len(windows), np.int64)
     order = np.argsort(shard, kind="stable")
     sides = np.flatnonzero(np.append(np.diff(shard[order].astype(np.int64)), 1)) + 1 if len(shard) else []
     at = 0
     for end in sides:
         mine = order[at:end]
-        got, numbers = _unpack(by[CODES, int(shard[mine[0]])], ["u1", "<u4"])
+        got, numbers = unpack(by[CODES, int(shard[mine[0]])], ["u1", "<u4"])
         code[mine] = got
         number[mine[got >= WAIT]] = numbers
         at = end
@@ -269,7 +267,7 @@ def _copies(batches):
             cut = np.flatnonzero(np.append(True, np.diff(shard[want].astype(np.int64)) != 0))
             for mine in np.split(want, cut[1:]):
                 size = windows[mine] + LENGTH - 1
-                yield _row(shard=int(shard[mine[0]]), block=r["block"], kind=COPIES, data=_pack([number[mine].astype("<u4"), size.astype("u1"), raw[ragged(start[mine], size)]]))
+                yield _row(shard=int(shard[mine[0]]), block=r["block"], kind=COPIES, data=pack([number[mine].astype("<u4"), size.astype("u1"), raw[ragged(start[mine], size)]]))
 
 
 def classes(contexts: list[list[tuple[bytes, int]]]) -> list[list[np.ndarray]]:
@@ -321,11 +319,11 @@ def classes(contexts: list[list[tuple[bytes, int]]]) -> list[list[np.ndarray]]:
 def _order(shard, rows):
     """Masks of the windows that go, for the waiting occurrences of each block."""
     info = next(r for r in rows if r["kind"] == CONTEXTS)
-    group, least = _unpack(info["data"], ["<u4", "<i8"])
+    group, least = unpack(info["data"], ["<u4", "<i8"])
     text: list[bytes] = [b""] * len(group)
     for r in rows:
         if r["kind"] == COPIES:
-            number, size, raw = _unpack(r["data"], ["<u4", "u1", "u1"])
+            number, size, raw = unpack(r["data"], ["<u4", "u1", "u1"])
             data, ends = raw.tobytes(), np.cumsum(size.astype(np.int64)).tolist()
             for n, a, b in zip(number.tolist(), [0, *ends], ends):
                 text[n] = data[a:b]
@@ -359,9 +357,9 @@ def _order(shard, rows):
     bits = np.int64(1) << np.arange(SPREAD)
     for r in rows:
         if r["kind"] == WAITING:
-            number, doc = _unpack(r["data"], ["<u4", "<i8"])
+            number, doc = unpack(r["data"], ["<u4", "<i8"])
             drop = (goes[number] < doc[:, None]) & (np.arange(SPREAD) < count[number][:, None])
-            yield _row(shard=shard, block=r["block"], kind=MASKS, data=_pack([(drop * bits).sum(1).astype("<u4")]))
+            yield _row(shard=shard, block=r["block"], kind=MASKS, data=pack([(drop * bits).sum(1).astype("<u4")]))
 
 
 def _cores(texts: list[bytes]) -> list[int]:
@@ -388,7 +386,7 @@ def _finish(batches):
                 if len(wait):
                     first = np.cumsum(windows) - windows
                     wait = wait[np.argsort(shard[wait], kind="stable")]
-                    mask = np.concatenate([_unpack(by[MASKS, int(s)], ["<u4"])[0] for s in np.unique(shard[wait])])
+                    mask = np.concatenate([unpack(by[MASKS, int(s)], ["<u4"])[0] for s in np.unique(shard[wait])])
                     n = windows[wait]
                     bit = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                     goes[ragged(first[wait], n)] = (np.repeat(mask, n) >> bit.astype(np.uint32)) & 1 == 1
@@ -418,11 +416,11 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks, buckets = _block_table(text_rows(docs, id_col, text_col))
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    entries = blocks.select("block", "head", "raw").mapInArrow(_send(shards), _ROWS)
-    decided = cut_lineage(entries.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(_by_shard(_decide, LAYOUT), _ROWS), "repeats")
+    entries = blocks.select("block", "head", "raw").mapInArrow(tidy(_send(shards)), _ROWS)
+    decided = cut_lineage(entries.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(tidy(_by_shard(_decide, LAYOUT)), _ROWS), "repeats")
     codes = decided.where(F.col("kind").isin(LAYOUT, CODES))
-    copies = blocks.select("block", "head", "raw").join(_grouped(codes, buckets), "block").select("head", "raw", "block", "answers").mapInArrow(_copies, _ROWS)
+    copies = blocks.select("block", "head", "raw").join(_grouped(codes, buckets), "block").select("head", "raw", "block", "answers").mapInArrow(tidy(_copies), _ROWS)
     waiting = decided.where(F.col("kind").isin(WAITING, CONTEXTS))
-    masks = cut_lineage(waiting.unionByName(copies).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(_by_shard(_order), _ROWS), "masks")
+    masks = cut_lineage(waiting.unionByName(copies).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(tidy(_by_shard(_order)), _ROWS), "masks")
     return (blocks.select("block", "head", "raw").join(_grouped(codes.unionByName(masks), buckets), "block", "left").select("head", "raw", "answers")
-            .mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+            .mapInArrow(tidy(_finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
