@@ -89,8 +89,13 @@ PLACEHOLDER_PATIENT_FAILED = "⚠️ (translation error)"    # doctor panel, pat
 # FIXED VALUES — output audits
 # ---------------------------------------------------------------------------
 NEGATION_WORDS = ["no", "not", "without"]
-# A number (with decimals) and the letters or % glued to it: 500mg, 2.5ml, 10%.
-NUMBER_PATTERN = r"[0-9]+(?:[.,][0-9]+)*[\p{L}%]*"
+# A number (with decimals) and the letters or % glued to it or after blanks: 500mg, 2.5 ml, 10%.
+NUMBER_PATTERN = r"[0-9]+(?:[.,][0-9]+)*[ \t\x{A0}]*[\p{L}%]*"
+# Words that count as the number's unit when blanks stand between them.
+UNITS = ["%", "mg", "mcg", "µg", "μg", "ug", "g", "kg", "ml", "cl", "dl", "l", "mmol", "mol", "meq", "iu", "ui", "unit", "units",
+         "mm", "cm", "m", "mmhg", "bpm", "tablet", "tablets", "capsule", "capsules", "drop", "drops",
+         "puff", "puffs", "dose", "doses", "second", "seconds", "minute", "minutes", "hour", "hours",
+         "day", "days", "week", "weeks", "month", "months", "year", "years"]
 
 # Letters of a script as written in the two regex dialects (RE2: of a single letter).
 SCRIPT_JAVA = {

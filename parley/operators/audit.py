@@ -3,7 +3,7 @@
 All are column expressions over a (source text, output text) pair: map-only.
 
 * negation — every ``no`` / ``not`` / ``without`` of the source is still there;
-* numbers — numbers with their glued units are unchanged (as a multiset);
+* numbers — numbers with their units, glued or after a blank, are unchanged (as a multiset);
 * script — share of letters in the target language's script;
 * length — word counts, ratio, empty output, and whether the output reaches
   the decode cap (possible truncation).
@@ -36,7 +36,15 @@ def negation(df: DataFrame, src: str, out: str) -> DataFrame:
 
 
 def numbers(text: Column) -> Column:
-    return F.sort_array(F.regexp_extract_all(F.lower(text), F.lit(fv.NUMBER_PATTERN), 0))
+    """Sorted numbers with their units, without the blanks between: what is
+    glued to a number is its unit, a word after blanks only if it is a known one."""
+    def normal(x):
+        number = F.regexp_extract(x, r"^[0-9]+(?:[.,][0-9]+)*", 0)
+        rest = F.regexp_replace(x, r"^[0-9]+(?:[.,][0-9]+)*", "")
+        unit = F.regexp_replace(rest, r"^[ \t\x{A0}]+", "")
+        return F.concat(number, F.when((rest == unit) | unit.isin(fv.UNITS), unit).otherwise(F.lit("")))
+    found = F.regexp_extract_all(F.lower(text), F.lit(fv.NUMBER_PATTERN), 0)
+    return F.sort_array(F.transform(found, normal))
 
 
 def number_check(df: DataFrame, src: str, out: str) -> DataFrame:

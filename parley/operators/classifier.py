@@ -181,13 +181,15 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, LinearTex
     try:
         w = spark.read.parquet(f"{path}/weights")
     except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise FileNotFoundError(
             f"no trained model at {path}; train one with "
             "parley.operators.classifier.train_svm(...) and save_model(...)") from e
     icpt = w.where(F.col("term").isNull()).select("coef").first()
     weights = w.where(F.col("term").isNotNull())
     return (PipelineModel.load(f"{path}/pipeline"),
-            LinearTextModel(weights, float(icpt[0]), features.MAX_FEATURES))
+            LinearTextModel(weights, float(icpt[0]), weights.count()))
 
 
 def model_path(spark: SparkSession, name: str) -> str:

@@ -13,10 +13,16 @@ rewrite is then a map-only column expression:
 At one start position the prefix tree tries longer continuations before
 ending, so the longest whole-word term wins; scanning is left to right and
 matches do not overlap (leftmost-longest).
+
+Both forms read a term table alike: case and runs of white space don't count, a
+repeated term takes its smallest plain text, and rows with a null or with a term that
+does not start and end with a letter, digit or underscore match nothing.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +69,11 @@ def compile_terms(table: list[tuple[str, str]]):
                          f"{MAX_COMPILED_TERMS} (use rewrite_joined for larger tables)")
     norm = {}
     for term, plain in table:
-        norm.setdefault(" ".join(term.lower().split()), plain)
+        if term is None or plain is None:
+            continue
+        term = " ".join(term.lower().split())
+        if term and all(c == "_" or unicodedata.category(c)[0] in "LN" for c in (term[0], term[-1])):
+            norm[term] = min(plain, norm.get(term, plain))
     pattern = trie_pattern(sorted(norm))
     mapping = F.create_map(*[F.lit(x) for kv in sorted(norm.items()) for x in kv])
     return pattern, mapping
@@ -103,11 +113,12 @@ _MATCH = "array<struct<i:int,e:int,plain:string>>"
 
 def normalize_table(table: DataFrame, key: str = "term", value: str = "plain") -> DataFrame:
     """Lower-case terms with single spaces; one row per term (smallest plain
-    text if a term repeats)."""
+    text if a term repeats); unusable rows go."""
     ws = PY_WHITESPACE_CLASS
     term = F.lower(F.regexp_replace(F.regexp_replace(F.col(key), f"^{ws}+|{ws}+$", ""), f"{ws}+", " "))
     return (table.select(term.alias("term"), F.col(value).alias("plain"))
-            .where(F.length("term") > 0).groupBy("term").agg(F.min("plain").alias("plain")))
+            .where(F.col("term").rlike(f"^[{WORD_CHARS}](.*[{WORD_CHARS}])?$") & F.col("plain").isNotNull())
+            .groupBy("term").agg(F.min("plain").alias("plain")))
 
 
 def _segments(text: Column) -> Column:
@@ -144,7 +155,7 @@ def rewrite_joined(df: DataFrame, id_cols: list[str], text_col: str, table: Data
     grows with matches x kept matches of one text, so it suits sparse matches
     (glossaries), not dense phrase tables."""
     t = normalize_table(table)
-    max_words = t.select(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+    max_words = t.select(F.max(F.regexp_count("term", F.lit(f"[{WORD_CHARS}]+")))).first()[0] or 1
     cands = df.select(*id_cols, F.explode(_candidates(_segments(F.col(text_col)), max_words)).alias("c"))
     matches = (cands.join(t, F.col("c.p") == F.col("term"))
                .select(*id_cols, F.col("c.i").alias("i"), F.col("c.e").alias("e"), "plain"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from parley.functions import fixed_values as fv
 from parley.functions.text import is_nonblank, py_strip
 from parley.operators import classifier, infer, langs, rewrite
+from parley.session import cut_lineage
 
 EN = fv.HIGH_RESOURCE_LANG
 
@@ -111,13 +112,45 @@ def apply_translate(df: DataFrame, mode: str = "local") -> DataFrame:
             .drop("_tx", "simplify_error", "translate_error"))
 
 
+def _row_modes(reqs: DataFrame, simplify_mode, translate_mode) -> tuple[list, list]:
+    """The modes to run each step in: the given one, or the distinct backends
+    (at most two) that the rows' mode columns resolve to."""
+    given = [[m or "local"] for m in (simplify_mode, translate_mode)]
+    names = (infer.simplify_backend_name, infer.translate_backend_name)
+    todo = {i: names[i](F.col(c)) for i, (m, c) in enumerate(
+        ((simplify_mode, "simplify_mode"), (translate_mode, "translate_mode")))
+        if m is None and c in reqs.columns}
+    if todo:
+        found = reqs.select(*[F.sort_array(F.collect_set(e)).alias(f"m{i}") for i, e in todo.items()]).first()
+        for i in todo:
+            given[i] = found[f"m{i}"] or ["local"]
+    return given[0], given[1]
+
+
+def _per_mode(df: DataFrame, modes: list, name: F.Column, step) -> DataFrame:
+    """``step(rows, mode)`` on the rows of each mode, put together again."""
+    if len(modes) == 1:
+        return step(df, modes[0])
+    df = cut_lineage(df, "turns")    # read once a mode
+    parts = [step(df.where(name == m), m) for m in modes]
+    return parts[0].unionByName(parts[1])
+
+
 def process_turns(reqs: DataFrame, model: classifier.LinearTextModel,
-                  simplify_mode: str = "local", translate_mode: str = "local",
+                  simplify_mode=None, translate_mode=None,
                   id_cols=("conv_id", "turn")) -> DataFrame:
-    """gate -> classify -> rewrite -> translate -> step record."""
+    """gate -> classify -> rewrite -> translate -> step record.
+
+    A mode of None obeys each row's ``simplify_mode`` / ``translate_mode``
+    column ('local' where there is none). The credentials of all backends in
+    use are checked before any step runs."""
+    s_modes, t_modes = _row_modes(reqs, simplify_mode, translate_mode)
+    for backend in [infer.resolve_simplify(m) for m in s_modes] + [infer.resolve_translate(m) for m in t_modes]:
+        if isinstance(backend, infer.Backend):
+            backend.check()
     df = classify_gated(reqs, model, id_cols)
-    df = apply_simplify(df, simplify_mode)
-    df = apply_translate(df, translate_mode)
+    df = _per_mode(df, s_modes, infer.simplify_backend_name(F.col("simplify_mode")), apply_simplify)
+    df = _per_mode(df, t_modes, infer.translate_backend_name(F.col("translate_mode")), apply_translate)
     return df.select(*id_cols, *[c for c in ("speaker",) if c in df.columns],
                      "src_lang", "tgt_lang", F.col("text").alias("original"),
                      "medical", "confidence",

@@ -38,12 +38,19 @@ def number_turns(events: DataFrame) -> DataFrame:
     return row_number_blocked(t, ["conv_id", "epoch"], "turn", "turn_no")
 
 
+def current_epoch(numbered: DataFrame, events: DataFrame) -> DataFrame:
+    """The numbered turns since their conversation's last clear event; a clear
+    with nothing after it leaves none. Only (conv_id, count) is joined."""
+    last = events.groupBy("conv_id").agg(F.sum((F.col("kind") == "clear").cast("long")).alias("epoch"))
+    return numbered.select("conv_id", "turn", "epoch", "turn_no").join(last, ["conv_id", "epoch"], "left_semi")
+
+
 def transcript(processed: DataFrame, events: DataFrame) -> DataFrame:
-    """One row per shown turn: ``conv_id, epoch, turn_no, speaker, role, en,
+    """One row per shown turn of the current epoch: ``conv_id, epoch, turn_no, speaker, role, en,
     xx, tag, simplified, error``. A failed turn shows its message on its own
     side and a placeholder on the other; a failed doctor turn has no tag; the
     rewrite is shown only when non-empty."""
-    numbered = number_turns(events).select("conv_id", "turn", "epoch", "turn_no")
+    numbered = current_epoch(number_turns(events), events)
     p = processed.join(numbered, ["conv_id", "turn"])
     doctor = F.col("speaker") == "doctor"
     failed = F.col("error").isNotNull()

@@ -40,7 +40,7 @@ def _requests(spark, sf, **kw) -> DataFrame:
 
 
 def _processed(spark, sf) -> DataFrame:
-    return route.process_turns(_requests(spark, sf), classifier.demo_model(spark))
+    return route.process_turns(_requests(spark, sf), classifier.demo_model(spark), "local", "local")
 
 
 def _demo_predictions(spark, sf) -> DataFrame:
@@ -180,6 +180,14 @@ def q_misclassified(spark, sf):
     return evaluate.misclassified(_demo_predictions(spark, sf))
 
 
+def _svm_path(spark, sf) -> str:
+    """Model directory keyed by the training tables' files (path, size, time) and the vocabulary size."""
+    import hashlib
+    files = tables.file_versions(spark, sf, "documents", "conversations")
+    key = hashlib.sha256(repr((files, features.MAX_FEATURES)).encode()).hexdigest()[:16]
+    return classifier.model_path(spark, f"svm-{key}")
+
+
 def q_svm_train_eval(spark, sf):
     """Train TF-IDF + linear SVM on the training split, save, reload, and
     evaluate the reloaded model on the test split (model form)."""
@@ -187,8 +195,7 @@ def q_svm_train_eval(spark, sf):
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
     pm, table = classifier.train_svm(train)
-    import os
-    path = classifier.model_path(spark, "svm-" + os.path.basename(sf.rstrip("/")))
+    path = _svm_path(spark, sf)
     classifier.save_model(pm, table, path)
     pm2, _ = classifier.load_model(spark, path)
     preds = classifier.predict(pm2, test)
@@ -301,7 +308,7 @@ def q_audit_numbers(spark, sf):
 def q_audit_script(spark, sf):
     t = _processed(spark, sf).select("conv_id", "turn", "tgt_lang", "translation")
     lt = langs.lang_table(spark).select(F.col("lang_code").alias("tgt_lang"), "script")
-    t = t.join(F.broadcast(lt), "tgt_lang")
+    t = t.join(F.broadcast(lt), "tgt_lang", "left")
     a = audit.script_share(t, "translation", "script")
     return a.select("conv_id", "turn", "tgt_lang", "script", "letters", "in_script", _r("script_share"))
 
@@ -313,6 +320,12 @@ def q_audit_length(spark, sf):
                     "empty_output", "at_cap")
 
 
+def q_audit_length_rewrite(spark, sf):
+    """Length audit of the rewrites, against the rewriting backend's cap."""
+    a = audit.length_check(_doc_rewrites(spark, sf), "text", "simplified", fv.SIMPLIFY_MAX_NEW_TOKENS)
+    return a.select("doc_id", "words_src", "words_out", _r("length_ratio"), "empty_output", "at_cap")
+
+
 # -- 2.12 / 2.5 transcripts --------------------------------------------------
 
 def q_turn_numbers(spark, sf):
@@ -358,8 +371,7 @@ def _trained_model(spark, sf):
     """The SVM for this table set: loaded from the model directory when one
     was saved (training and inference are separate steps), else trained on
     the training split and saved."""
-    import os
-    path = classifier.model_path(spark, "svm-" + os.path.basename(sf.rstrip("/")))
+    path = _svm_path(spark, sf)
     try:
         return classifier.load_model(spark, path)
     except FileNotFoundError:
@@ -438,6 +450,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "audit_numbers": q_audit_numbers,
         "audit_script": q_audit_script,
         "audit_length": q_audit_length,
+        "audit_length_rewrite": q_audit_length_rewrite,
         # transcripts
         "turn_numbers": q_turn_numbers,
         "conversation_epochs": q_conversation_epochs,

@@ -208,7 +208,8 @@ trn AS (
          CASE WHEN p.speaker = 'doctor' AND p.error IS NULL AND length(p.simplified) > 0
               THEN p.simplified END AS simplified,
          p.error
-  FROM proc p JOIN num n USING (conv_id, turn))"""
+  FROM proc p JOIN num n USING (conv_id, turn)
+  JOIN (SELECT conv_id, max(epoch) AS epoch FROM ev GROUP BY conv_id) m ON m.conv_id = n.conv_id AND m.epoch = n.epoch)"""
 
 
 def doc_requests_cte() -> str:
@@ -341,7 +342,11 @@ SELECT conv_id, turn, speaker, src_lang, tgt_lang, text AS original, medical,
     s["audit_negation"] = f"WITH {RW} SELECT doc_id, {negs}, {kept} AS negations_kept FROM rw"
 
     def nums(x):
-        return f"list_sort(regexp_extract_all(lower({x}), {q(fv.NUMBER_PATTERN)}))"
+        num, blank = "([0-9]+(?:[.,][0-9]+)*)", "[ \\t\\x{A0}]"
+        units = "|".join(fv.UNITS)
+        raw = f"regexp_extract_all(lower({x}), '{num}{blank}*[\\p{{L}}%]*')"
+        joined = f"list_transform({raw}, lambda t: regexp_replace(t, '^{num}{blank}+({units})$', '\\1\\2'))"
+        return f"list_sort(list_transform({joined}, lambda t: regexp_replace(t, '{blank}.*$', '')))"
     s["audit_numbers"] = f"""WITH {RW}
 SELECT doc_id, len({nums('text')}) AS numbers_src, len({nums('simplified')}) AS numbers_out,
        {nums('text')} = {nums('simplified')} AS numbers_kept FROM rw"""
@@ -351,7 +356,7 @@ SELECT doc_id, len({nums('text')}) AS numbers_src, len({nums('simplified')}) AS
 sc AS (SELECT p.conv_id, p.turn, p.tgt_lang, l.script,
               len(regexp_extract_all(p.translation, '\\p{{L}}')) AS letters,
               CASE l.script {cases} END AS in_script
-       FROM proc p JOIN langs l ON l.lang_code = p.tgt_lang)
+       FROM proc p LEFT JOIN langs l ON l.lang_code = p.tgt_lang)
 SELECT conv_id, turn, tgt_lang, script, letters, in_script,
        round(CASE WHEN letters > 0 THEN in_script / letters END, 6) AS script_share FROM sc"""
     s["audit_length"] = f"""WITH {PR},
@@ -361,6 +366,12 @@ SELECT conv_id, turn, words_src, words_out,
        round(CASE WHEN words_src > 0 THEN words_out / words_src END, 6) AS length_ratio,
        NOT coalesce({nonblank('translation')}, false) AS empty_output,
        words_out >= {fv.TRANSLATE_MAX_LENGTH} AS at_cap FROM ln"""
+    s["audit_length_rewrite"] = f"""WITH {RW},
+ln AS (SELECT doc_id, {ws_count('text')} AS words_src, {ws_count('simplified')} AS words_out, simplified FROM rw)
+SELECT doc_id, words_src, words_out,
+       round(CASE WHEN words_src > 0 THEN words_out / words_src END, 6) AS length_ratio,
+       NOT coalesce({nonblank('simplified')}, false) AS empty_output,
+       words_out >= {fv.SIMPLIFY_MAX_NEW_TOKENS} AS at_cap FROM ln"""
     N = numbering_ctes()
     s["turn_numbers"] = f"WITH {N} SELECT conv_id, turn, turn_no FROM num"
     s["conversation_epochs"] = f"WITH {N} SELECT conv_id, turn, epoch, turn_no FROM num"

@@ -49,6 +49,18 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def file_versions(spark: SparkSession, sf_dir: str, *names: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, modification time) of the tables' files, sorted."""
+    out = []
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan that yields fewer splits than twice the cluster's
     cores (e.g. one large single-row-group file) so heavy per-row text work
