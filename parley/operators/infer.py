@@ -16,7 +16,8 @@ expensive model loads once and is reused across batches.
 4. materialises the requests (read twice) and the results in the checkpoint
    folder (inference is the expensive part; a lost executor downstream does
    not re-run it, and the upstream is not computed twice);
-5. joins the results back on the same key; keys repeated by very many
+5. joins the results back on a digest of the request; the results hold no
+   text of it. Keys repeated by very many
    requests are salted (``parley.plans.skew``), so one hot text does not land
    in one join task.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions import fixed_values as fv
-from parley.plans.skew import HOT_KEY_ROWS, SALTS, salted_join_back
+from parley.plans.skew import HOT_KEY_ROWS, salted_join_back
 
 _WORKER_BACKENDS: dict = {}
 
@@ -101,39 +102,38 @@ def _get_worker_backend(backend: Backend) -> Backend:
 
 
 def _call(backend: Backend, texts: list[str], src: str, tgt: str):
-    """Whole batch first; on failure each row alone, so errors stay per row."""
+    """Whole batch first; a failing batch is halved until its failing rows stand alone."""
     try:
         outs = backend.predict(texts, src, tgt)
         return list(outs), [None] * len(texts)
-    except Exception:  # noqa: BLE001 - isolate the failing rows below
-        outs, errs = [], []
-        for t in texts:
-            try:
-                outs.append(backend.predict([t], src, tgt)[0])
-                errs.append(None)
-            except Exception as e:  # noqa: BLE001 - the error is the row's data
-                outs.append(None)
-                errs.append(str(e))
-        return outs, errs
+    except Exception as e:  # noqa: BLE001 - the error is the row's data
+        if len(texts) == 1:
+            return [None], [str(e)]
+        half = len(texts) // 2
+        left, right = (_call(backend, part, src, tgt) for part in (texts[:half], texts[half:]))
+        return left[0] + right[0], left[1] + right[1]
 
 
 def run_backend(reqs: DataFrame, backend: Backend, src: str, tgt: str, text: str,
                 out: str, err: str, materialize: bool = True,
-                hot_rows: int = HOT_KEY_ROWS, salts: int = SALTS) -> DataFrame:
-    """Append ``out`` (model output) and ``err`` (error text) to every request."""
+                hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """Append ``out`` (model output) and ``err`` (error text) to every request;
+    a request without a text has neither."""
     backend.check()
-    keys = [src, tgt, text]
+    # a digest of the request: JSON leaves a null language out, so null and "" differ
+    request = F.to_json(F.struct(F.col(src).alias("s"), F.col(tgt).alias("t"), F.col(text).alias("x")))
+    columns = reqs.columns
+    reqs = reqs.withColumn("_key", F.when(F.col(text).isNotNull(), F.sha2(request, 256)))
     if materialize:
         # read twice below (deduplication, join back): write the requests once
         # rather than recompute their whole upstream (scoring, rewriting).
         from parley.session import cut_lineage
         reqs = cut_lineage(reqs, "requests")
     distinct = (reqs.where(F.col(text).isNotNull())
-                .groupBy(*keys).agg(F.count(F.lit(1)).alias("_mult"))
+                .groupBy("_key", src, tgt, text).agg(F.count(F.lit(1)).alias("_mult"))
                 .sortWithinPartitions(src, tgt))
-    schema = T.StructType([T.StructField(k, T.StringType()) for k in keys]
-                          + [T.StructField("_mult", T.LongType()),
-                             T.StructField(out, T.StringType()), T.StructField(err, T.StringType())])
+    schema = T.StructType([T.StructField("_key", T.StringType()), T.StructField("_mult", T.LongType()),
+                           T.StructField(out, T.StringType()), T.StructField(err, T.StringType())])
 
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         b = _get_worker_backend(backend)
@@ -144,7 +144,7 @@ def run_backend(reqs: DataFrame, backend: Backend, src: str, tgt: str, text: str
             for (s, t), g in pdf.groupby([src, tgt], sort=False, dropna=False):
                 s, t = (None if pd.isna(x) else x for x in (s, t))
                 outs, errs = _call(b, g[text].tolist(), s, t)
-                g = g.copy()
+                g = g[["_key", "_mult"]].copy()
                 g[out] = outs
                 g[err] = errs
                 pieces.append(g)
@@ -154,7 +154,8 @@ def run_backend(reqs: DataFrame, backend: Backend, src: str, tgt: str, text: str
     if materialize:
         from parley.session import cut_lineage
         results = cut_lineage(results, "inference")
-    return salted_join_back(reqs, results, keys, "_mult", hot_rows, salts)
+    joined = salted_join_back(reqs, results, "_key", "_mult", hot_rows)
+    return joined.select(*columns, out, err)
 
 
 # -- backend choice -----------------------------------------------------------

@@ -117,7 +117,7 @@ def test_hot_key_salting_keeps_every_row(spark):
     plain = infer.run_backend(df, FailsOnMarker(), "src", "tgt", "text", "out", "err",
                               materialize=False)
     salted = infer.run_backend(df, FailsOnMarker(), "src", "tgt", "text", "out", "err",
-                               materialize=False, hot_rows=50, salts=7)
+                               materialize=False, hot_rows=50)
     want = [(i, t.upper()) for i, _, _, t in data]
     assert rows(plain, "id", "out") == sorted(want)
     assert rows(salted, "id", "out") == sorted(want)
