@@ -81,7 +81,6 @@ TRANSLATE_MAX_LENGTH = 200
 # ---------------------------------------------------------------------------
 TAG_MEDICAL = "médico"
 TAG_NOT_MEDICAL = "no médico"
-TAG_CONF_FORMAT = " · {pct}% conf."          # pct = round(confidence * 100)
 PLACEHOLDER_DOCTOR_FAILED = "⚠️ (error de traducción)"   # patient panel, doctor turn failed
 PLACEHOLDER_PATIENT_FAILED = "⚠️ (translation error)"    # doctor panel, patient turn failed
 
@@ -156,6 +155,47 @@ GLOSSARY = [
     ("paracetamol", "paracetamol (a painkiller)"),
 ]
 
+# ---------------------------------------------------------------------------
+# Offline phrase table for translation, one row a meaning: English, the six
+# interface languages in their order, then Spanish, French, German. Empty where
+# there is no entry. This project's example list; ``phrase_rows`` reads each
+# row as English <-> interface language and European language -> English.
+# ---------------------------------------------------------------------------
+PHRASE_CODES = ["en_XX", "ps_AF", "xh_ZA", "ne_NP", "si_LK", "my_MM", "mn_MN", "es_XX", "fr_XX", "de_DE"]
+PHRASES = [
+    ("and", "او", "kunye", "र", "සහ", "နှင့်", "ба", "y", "et", "und"),
+    ("this", "دا", "le", "यो", "මෙම", "ဒီ", "энэ", "este", "cette", "dieser"),
+    ("no", "نه", "hayi", "होइन", "නැහැ", "မဟုတ်ဘူး", "үгүй", "no", "non", "nein"),
+    ("yes", "هو", "ewe", "हो", "ඔව්", "ဟုတ်ကဲ့", "тийм", "sí", "oui", "ja"),
+    ("today", "نن", "namhlanje", "आज", "අද", "ဒီနေ့", "өнөөдөр", "hoy", "aujourd'hui", "heute"),
+    ("water", "اوبه", "amanzi", "पानी", "වතුර", "ရေ", "ус", "agua", "eau", "wasser"),
+    ("pain", "درد", "intlungu", "दुखाइ", "වේදනාව", "နာကျင်မှု", "өвдөлт", "dolor", "douleur", "schmerz"),
+    ("fever", "تبه", "ifiva", "ज्वरो", "උණ", "ဖျားနာခြင်း", "халууралт", "fiebre", "fièvre", "fieber"),
+    ("doctor", "ډاکټر", "ugqirha", "डाक्टर", "වෛද්‍යවරයා", "ဆရာဝန်", "эмч", "médico", "médecin", "arzt"),
+    ("medicine", "درمل", "iyeza", "औषधि", "බෙහෙත්", "ဆေး", "эм", "medicina", "médicament", "medizin"),
+    ("blood pressure", "د وینې فشار", "uxinzelelo lwegazi", "रक्तचाप", "රුධිර පීඩනය", "သွေးဖိအား", "цусны даралт",
+     "presión arterial", "tension artérielle", "blutdruck"),
+    ("the", "", "", "", "", "", "", "el", "le", "der"),
+    ("of", "", "", "", "", "", "", "de", "de", "von"),
+    ("of the", "", "", "", "", "", "", "de la", "de la", "von der"),
+    ("with", "", "", "", "", "", "", "con", "avec", "mit"),
+    ("in", "", "", "", "", "", "", "en", "dans", "in"),
+]
+
+
+def phrase_rows() -> list[tuple[str, str, str, str]]:
+    """``(src, tgt, phrase, translation)`` of the phrase table."""
+    interface = {code for _, code, _ in LOW_RESOURCE_LANGS}
+    out = []
+    for row in PHRASES:
+        for code, word in zip(PHRASE_CODES[1:], row[1:]):
+            if word and code in interface:
+                out.append((HIGH_RESOURCE_LANG, code, row[0], word))
+            if word:
+                out.append((code, HIGH_RESOURCE_LANG, word, row[0]))
+    return out
+
+
 # ---------------------------------------------------------------------------
 # Demo weight table for the classifier (term, idf, coef) and its intercept.
 # A fixed example model, not a trained one: it classifies the demo sentences

@@ -69,8 +69,11 @@ def tfidf(df: DataFrame, id_cols: list[str], text_col: str, vocab_idf: DataFrame
           bound: int = MAX_FEATURES) -> DataFrame:
     """Long-form TF-IDF: ``ids, term, weight`` with ``weight = tf*idf / ||tf*idf||``
     over the text's in-vocabulary terms."""
-    base = df.select(*id_cols, text_col).repartition(*id_cols)
-    tc = term_counts(base, id_cols, text_col, vocab_idf.select("term", "idf"), bound)
-    x = tc.withColumn("x", F.col("tf") * F.col("idf"))
-    norms = x.groupBy(*id_cols).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return x.join(norms, id_cols).select(*id_cols, "term", (F.col("x") / F.col("norm")).alias("weight"))
+    tc = term_counts(df, id_cols, text_col, vocab_idf.select("term", "idf"), bound)
+    # a text's pairs meet once (at most ``bound`` of them); norm and weights come from that array
+    pairs = tc.groupBy(*id_cols).agg(F.collect_list(
+        F.struct("term", (F.col("tf") * F.col("idf")).alias("x"))).alias("_pairs"))
+    norm = F.sqrt(F.aggregate("_pairs", F.lit(0.0), lambda acc, p: acc + p["x"] * p["x"]))
+    weighed = pairs.select(*id_cols, norm.alias("_norm"), F.explode("_pairs").alias("_p"))
+    return weighed.select(*id_cols, F.col("_p.term").alias("term"),
+                          (F.col("_p.x") / F.col("_norm")).alias("weight"))

@@ -12,7 +12,7 @@ expensive model loads once and is reused across batches.
    pair and the backend is called once per pair and batch;
 3. calls the backend in ``mapInPandas`` (Arrow batches, bounded by
    ``spark.sql.execution.arrow.maxRecordsPerBatch``); a failing batch is
-   retried row by row so an error stays with its row as data;
+   halved until its failing rows stand alone, so an error stays with its row;
 4. materialises the requests (read twice) and the results in the checkpoint
    folder (inference is the expensive part; a lost executor downstream does
    not re-run it, and the upstream is not computed twice);
@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.functions import fixed_values as fv
 from parley.plans.skew import HOT_KEY_ROWS, salted_join_back
 
 _WORKER_BACKENDS: dict = {}
@@ -56,20 +55,6 @@ class Backend:
         return (type(self).__name__, tuple(sorted(self.__dict__.items())))
 
 
-class TaggingTranslator(Backend):
-    """Offline stand-in for a translation model: returns the text, of any
-    length, unchanged behind a ``[tgt]`` marker. Language codes outside the
-    interface list (null among them) fail per row, as a real model's do. It does
-    not translate; plug a model in through ``Backend`` for real output."""
-    name = "tagging"
-
-    def predict(self, texts, src, tgt):
-        for code in (src, tgt):
-            if code not in fv.MODEL_CODES:
-                raise ValueError(f"unsupported language {code or 'null'}")
-        return [f"[{tgt}] {t}" for t in texts]
-
-
 class RemoteBackend(Backend):
     """Plug-in point for a hosted model. Needs a token in the environment;
     without one the job stops before any call, with a message saying so."""
@@ -181,11 +166,11 @@ def resolve_simplify(mode):
     return RemoteBackend("simplify", "chat-model")
 
 
-def resolve_translate(mode) -> Backend:
+def resolve_translate(mode):
     """'api' -> the remote plug-in; a ``Backend`` object -> itself; anything
-    else -> the offline translator."""
+    else -> the phrase table (a column expression, no Python)."""
     if isinstance(mode, Backend):
         return mode
     if mode == "api":
         return RemoteBackend("translate", "translation-model")
-    return TaggingTranslator()
+    return "phrases"

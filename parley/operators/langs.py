@@ -36,14 +36,19 @@ def patient_language(conv_id: Column) -> Column:
     return F.element_at(names, (F.pmod(conv_id, F.lit(len(fv.LOW_RESOURCE_LANGS))) + 1).cast("int"))
 
 
-def lookup_codes(df: DataFrame, name_col: str = "lang_name") -> DataFrame:
+def lookup_codes(df: DataFrame, name_col: str = "lang_name", strict: bool = False) -> DataFrame:
     """Left equi-join of language names to codes against the broadcast 7-row
-    table; unknown names get a null code (see ``require_known``)."""
+    table; unknown names get a null code (see ``require_known``), or fail the job as it
+    runs if ``strict``."""
     langs = broadcast_fixed(lang_table(df.sparkSession).select("lang_name", "lang_code"),
                             bound=7, what="languages")
     if name_col != "lang_name":
         langs = langs.withColumnRenamed("lang_name", name_col)
-    return df.join(langs, on=name_col, how="left")
+    looked = df.join(langs, on=name_col, how="left")
+    if strict:
+        unknown = F.raise_error(F.concat(F.lit("unknown language name: "), F.coalesce(F.col(name_col), F.lit("null"))))
+        looked = looked.withColumn("lang_code", F.coalesce("lang_code", unknown.cast("string")))
+    return looked
 
 
 def unknown_codes(df: DataFrame, code_col: str) -> DataFrame:

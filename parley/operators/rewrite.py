@@ -16,18 +16,23 @@ matches do not overlap (leftmost-longest).
 
 Both forms read a term table alike: case and runs of white space don't count, a
 repeated term takes its smallest plain text, and rows with a null or with a term that
-does not start and end with a letter, digit or underscore match nothing.
+does not start and end with a letter, mark, digit or underscore match nothing.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.functions.fixed_values import GLOSSARY, PY_WHITESPACE_CLASS, WORD_CHARS
+from parley.functions import fixed_values as fv
+from parley.functions.fixed_values import GLOSSARY, PY_WHITESPACE_CLASS
 from parley.functions.text import let
+from parley.plans.sizing import broadcast_if_small
+
+# A combining mark belongs to the word it stands in.
+WORD_CHARS = fv.WORD_CHARS + r"\p{M}"
 
 # Largest term table compiled into a single expression (regex + map literal).
 MAX_COMPILED_TERMS = 5_000
@@ -72,7 +77,7 @@ def compile_terms(table: list[tuple[str, str]]):
         if term is None or plain is None:
             continue
         term = " ".join(term.lower().split())
-        if term and all(c == "_" or unicodedata.category(c)[0] in "LN" for c in (term[0], term[-1])):
+        if term and all(c == "_" or unicodedata.category(c)[0] in "LMN" for c in (term[0], term[-1])):
             norm[term] = min(plain, norm.get(term, plain))
     pattern = trie_pattern(sorted(norm))
     mapping = F.create_map(*[F.lit(x) for kv in sorted(norm.items()) for x in kv])
@@ -101,24 +106,19 @@ def rewrite(text: Column, table: list[tuple[str, str]] = GLOSSARY) -> Column:
     return rewrite_counted(text, table)["text"]
 
 
-def count_matches(text: Column, table: list[tuple[str, str]] = GLOSSARY) -> Column:
-    pattern, _ = compile_terms(table)
-    return F.size(F.regexp_extract_all(text, F.lit(pattern), 0)).cast("long")
-
-
 # -- beyond the compiled size: the same rewrite with joins ---------------------
 
 _MATCH = "array<struct<i:int,e:int,plain:string>>"
 
 
-def normalize_table(table: DataFrame, key: str = "term", value: str = "plain") -> DataFrame:
-    """Lower-case terms with single spaces; one row per term (smallest plain
-    text if a term repeats); unusable rows go."""
+def normalize_table(table: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """Lower-case terms with single spaces; one row per term and ``on`` (smallest
+    plain text if a term repeats); unusable rows go."""
     ws = PY_WHITESPACE_CLASS
-    term = F.lower(F.regexp_replace(F.regexp_replace(F.col(key), f"^{ws}+|{ws}+$", ""), f"{ws}+", " "))
-    return (table.select(term.alias("term"), F.col(value).alias("plain"))
+    term = F.lower(F.regexp_replace(F.regexp_replace(F.col("term"), f"^{ws}+|{ws}+$", ""), f"{ws}+", " "))
+    return (table.select(*on, term.alias("term"), "plain")
             .where(F.col("term").rlike(f"^[{WORD_CHARS}](.*[{WORD_CHARS}])?$") & F.col("plain").isNotNull())
-            .groupBy("term").agg(F.min("plain").alias("plain")))
+            .groupBy(*on, "term").agg(F.min("plain").alias("plain")))
 
 
 def _segments(text: Column) -> Column:
@@ -146,30 +146,41 @@ def _candidates(segments: Column, max_words: int) -> Column:
     return let(segments, build)
 
 
+def _leftmost_longest(matches: DataFrame, id_cols: list[str]) -> DataFrame:
+    """``ids, _kept``: the matches that stand, in order. A text's matches fall into
+    runs that no match reaches across; a run is resolved by a fold of its own, so
+    the cost is linear where matches stand side by side."""
+    w = Window.partitionBy(*id_cols).orderBy("i", F.desc("e"))
+    reach = F.coalesce(F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = (matches.withColumn("_new", (F.col("i") > reach).cast("long"))
+            .withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    fold0 = F.struct(F.lit(0).alias("last"), F.array().cast(_MATCH).alias("kept"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", (-F.col("e")).alias("ne"), "e", "plain")))
+    kept = F.aggregate("ms", fold0, lambda acc, m: F.when(m["i"] > acc["last"], F.struct(
+        m["e"].alias("last"),
+        F.concat(acc["kept"], F.array(F.struct(m["i"].alias("i"), m["e"].alias("e"),
+                                               m["plain"].alias("plain")))).alias("kept")))
+        .otherwise(acc))["kept"]
+    return (runs.groupBy(*id_cols, "_run").agg(ordered.alias("ms"))
+            .select(*id_cols, kept.alias("kept"))
+            .groupBy(*id_cols).agg(F.array_sort(F.flatten(F.collect_list("kept"))).alias("_kept")))
+
+
 def rewrite_joined(df: DataFrame, id_cols: list[str], text_col: str, table: DataFrame,
-                   out: str) -> DataFrame:
+                   out: str, on: tuple[str, ...] = ()) -> DataFrame:
     """``rewrite`` for term tables of any size. Candidates (word runs x phrase
-    lengths) are joined to the table (a shuffle join on the phrase; AQE splits
-    a hot phrase); matches are grouped per text, resolved leftmost-longest by a
-    fold, and the text is rebuilt from its runs in one pass. Cost of the fold
-    grows with matches x kept matches of one text, so it suits sparse matches
-    (glossaries), not dense phrase tables."""
-    t = normalize_table(table)
+    lengths) are joined to the table on the phrase and the columns ``on`` that both
+    sides have (AQE splits a hot phrase); before that shuffle, candidates whose hash
+    no term has go, where the hashes are few enough to broadcast. Matches are
+    resolved per text, and the text is rebuilt from its runs in one pass."""
+    t = normalize_table(table, on)
     max_words = t.select(F.max(F.regexp_count("term", F.lit(f"[{WORD_CHARS}]+")))).first()[0] or 1
-    cands = df.select(*id_cols, F.explode(_candidates(_segments(F.col(text_col)), max_words)).alias("c"))
-    matches = (cands.join(t, F.col("c.p") == F.col("term"))
-               .select(*id_cols, F.col("c.i").alias("i"), F.col("c.e").alias("e"), "plain"))
-    fold0 = F.struct(F.lit(0).alias("last"), F.array().cast(_MATCH).alias("kept"))
-    ordered = F.array_sort(F.collect_list(F.struct(
-        F.col("i"), (-F.col("e")).alias("ne"), F.col("e"), F.col("plain"))))
-    kept = (matches.groupBy(*id_cols).agg(ordered.alias("ms"))
-            .select(*id_cols, F.aggregate(
-                "ms", fold0,
-                lambda acc, m: F.when(m["i"] > acc["last"], F.struct(
-                    m["e"].alias("last"),
-                    F.concat(acc["kept"], F.array(F.struct(m["i"].alias("i"), m["e"].alias("e"),
-                                                           m["plain"].alias("plain")))).alias("kept")))
-                .otherwise(acc))["kept"].alias("_kept")))
+    cands = df.select(*id_cols, *on, F.explode(_candidates(_segments(F.col(text_col)), max_words)).alias("c"))
+    cands = cands.select(*id_cols, *on, "c.i", "c.e", F.col("c.p").alias("term"))
+    hashes, small = broadcast_if_small(t.select(F.xxhash64("term").alias("_h")).distinct(), "term hashes")
+    if small:
+        cands = cands.join(hashes, F.xxhash64("term") == F.col("_h"), "left_semi")
+    kept = _leftmost_longest(cands.join(t, [*on, "term"]).select(*id_cols, "i", "e", "plain"), id_cols)
     joined = df.join(kept, id_cols, "left")
 
     def rebuild(b):
@@ -186,14 +197,3 @@ def rewrite_joined(df: DataFrame, id_cols: list[str], text_col: str, table: Data
                     F.coalesce(F.col("_kept"), F.array().cast(_MATCH)).alias("kept"))
     rebuilt = F.when(F.col(text_col).isNull(), F.lit(None).cast("string")).otherwise(let(both, rebuild))
     return joined.withColumn(out, rebuilt).drop("_kept")
-
-
-def rewrite_table(df: DataFrame, id_cols: list[str], text_col: str, table: DataFrame,
-                  out: str) -> DataFrame:
-    """Rewrite with a term table given as a DataFrame: compiled into one
-    expression when it has at most ``MAX_COMPILED_TERMS`` rows (checked by a
-    bounded collect), joined otherwise."""
-    rows = table.select("term", "plain").limit(MAX_COMPILED_TERMS + 1).collect()
-    if len(rows) <= MAX_COMPILED_TERMS:
-        return df.withColumn(out, rewrite(F.col(text_col), [(r[0], r[1]) for r in rows]))
-    return rewrite_joined(df, id_cols, text_col, table, out)

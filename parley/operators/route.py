@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import fixed_values as fv
 from parley.functions.text import is_nonblank, py_strip
-from parley.operators import classifier, infer, langs, rewrite
+from parley.operators import classifier, infer, langs, rewrite, translate
 from parley.session import cut_lineage
 
 EN = fv.HIGH_RESOURCE_LANG
@@ -35,7 +35,7 @@ def turn_requests(conversations: DataFrame, simplify_mode: str | None = "local",
          .where(is_nonblank(F.col("text")))
          .select("conv_id", "turn", speaker_of(F.col("role")).alias("speaker"), "text",
                  langs.patient_language(F.col("conv_id")).alias("lang_name")))
-    c = langs.lookup_codes(c, "lang_name")
+    c = langs.lookup_codes(c, "lang_name", strict=True)
     doctor = F.col("speaker") == "doctor"
     modes = F.array(F.lit("api"), F.lit("local"), F.lit("other"))
     sm = (F.lit(simplify_mode) if simplify_mode is not None
@@ -106,8 +106,11 @@ def apply_translate(df: DataFrame, mode: str = "local") -> DataFrame:
     """Translate the working text of rows whose earlier steps did not fail."""
     backend = infer.resolve_translate(mode)
     ok = df.withColumn("_tx", F.when(F.col("simplify_error").isNull(), F.col("working")))
-    out = infer.run_backend(ok, backend, "src_lang", "tgt_lang", "_tx",
-                            "translation", "translate_error")
+    if backend == "phrases":
+        out = translate.translated(ok, "src_lang", "tgt_lang", "_tx", "translation", "translate_error")
+    else:
+        out = infer.run_backend(ok, backend, "src_lang", "tgt_lang", "_tx",
+                                "translation", "translate_error")
     return (out.withColumn("error", F.coalesce("simplify_error", "translate_error"))
             .drop("_tx", "simplify_error", "translate_error"))
 

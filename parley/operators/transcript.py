@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from parley.functions import fixed_values as fv
 from parley.functions.text import is_nonblank, tag
 from parley.operators.route import speaker_of
-from parley.operators.sequence import row_number_blocked, running_count
+from parley.operators.sequence import reset_count
 
 
 def chat_events(conversations: DataFrame) -> DataFrame:
@@ -33,9 +33,8 @@ def number_turns(events: DataFrame) -> DataFrame:
     blank flag first, so the numbering shuffles only narrow rows."""
     narrow = events.select("conv_id", "turn", (F.col("kind") == "clear").alias("_clear"),
                            ((F.col("kind") == "turn") & is_nonblank(F.col("text"))).alias("_shown"))
-    e = running_count(narrow, ["conv_id"], "turn", "_clear", "epoch")
-    t = e.where(F.col("_shown")).select("conv_id", "turn", "epoch")
-    return row_number_blocked(t, ["conv_id", "epoch"], "turn", "turn_no")
+    n = reset_count(narrow, "conv_id", "turn", "_clear", "_shown", "epoch", "turn_no")
+    return n.where(F.col("_shown")).select("conv_id", "turn", "epoch", "turn_no")
 
 
 def current_epoch(numbered: DataFrame, events: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from parley.functions import fixed_values as fv
 from parley.functions import text as tx
 from parley.operators import (audit, classifier, corpus, evaluate, features, infer, langs,
-                              rewrite, route, sampling, transcript)
+                              rewrite, route, sampling, transcript, translate)
 from parley.session import cut_lineage
 from parley.sources import tables
 
@@ -274,8 +274,7 @@ def q_translate_turns(spark, sf):
 
 def _translated_documents(spark, sf):
     d = route.document_requests(tables.documents(spark, sf, spread_rows=True))
-    return infer.run_backend(d, infer.TaggingTranslator(), "src_lang", "tgt_lang", "text",
-                             "translation", "error")
+    return translate.translated(d, "src_lang", "tgt_lang", "text", "translation", "error")
 
 
 def q_translate_documents(spark, sf):
@@ -283,9 +282,21 @@ def q_translate_documents(spark, sf):
                                                    "translation", "error")
 
 
+def q_translate_documents_joined(spark, sf):
+    """The same by the join on (src, tgt, phrase), for phrase tables of any size."""
+    d = route.document_requests(tables.documents(spark, sf, spread_rows=True))
+    t = translate.translate_joined(d, ["doc_id"], "src_lang", "tgt_lang", "text", "translation", "error",
+                                   translate.phrase_table(spark))
+    return t.select("doc_id", "src_lang", "tgt_lang", "translation", "error")
+
+
 def q_turn_errors(spark, sf):
-    t = _translated_documents(spark, sf).where(F.col("error").isNotNull())
-    return t.select("doc_id", "src_lang", "tgt_lang", "error")
+    """Failing requests: documents sent to the language that their lang column
+    names, from a patient language that the model may not know."""
+    d = route.document_requests(tables.documents(spark, sf, spread_rows=True))
+    d = d.withColumn("tgt_lang", F.when(F.col("lang") == "en", F.col("tgt_lang")).otherwise(F.col("lang")))
+    t = translate.translated(d, "src_lang", "tgt_lang", "text", "translation", "error")
+    return t.where(F.col("error").isNotNull()).select("doc_id", "src_lang", "tgt_lang", "error")
 
 
 # -- 2.10 audits ----------------------------------------------------------------
@@ -444,6 +455,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "simplify_turns": q_simplify_turns,
         "translate_turns": q_translate_turns,
         "translate_documents": q_translate_documents,
+        "translate_documents_joined": q_translate_documents_joined,
         "turn_errors": q_turn_errors,
         # audits
         "audit_negation": q_audit_negation,

@@ -9,6 +9,8 @@ whole-word matching uses ``\\b`` (same result on the ASCII glossary terms).
 
 from __future__ import annotations
 
+import unicodedata
+
 from parley.functions import fixed_values as fv
 from parley.operators.features import MAX_FEATURES
 
@@ -102,18 +104,48 @@ def glossary_expr(x: str) -> str:
             f"lambda i: {piece}), ''), '') FROM (SELECT {found} AS f, {parts} AS p))")
 
 
-def translate_exprs(text: str, tgt: str) -> tuple[str, str]:
-    """(translation, error) of the offline tagging translator."""
-    codes = ", ".join(q(c) for c in fv.MODEL_CODES)
-    bad = f"({tgt} IS NULL OR {tgt} NOT IN ({codes}))"
-    tr = f"CASE WHEN {text} IS NULL OR {bad} THEN NULL ELSE '[' || {tgt} || '] ' || {text} END"
-    er = f"CASE WHEN {text} IS NOT NULL AND {bad} THEN 'unsupported language ' || coalesce({tgt}, 'null') END"
+CODES = ", ".join(q(c) for c in ("en_XX", "ps_AF", "xh_ZA", "ne_NP", "si_LK", "my_MM", "mn_MN", "es_XX", "fr_XX", "de_DE"))
+
+
+def mark_words(phrase: str) -> str:
+    """Each word (letters, marks, digits, underscore) between U+E000 and U+E001."""
+    out, inside = "", False
+    for c in phrase:
+        word = c == "_" or unicodedata.category(c)[0] in "LMN"
+        out += ("\ue000" if word and not inside else "\ue001" if inside and not word else "") + c
+        inside = word
+    return out + ("\ue001" if inside else "")
+
+
+def translate_exprs(text: str, src: str, tgt: str) -> tuple[str, str]:
+    """(translation, error) of the phrase table. Words are put between two private
+    characters, so that a phrase is found as whole words in any script."""
+    pairs: dict = {}
+    for s, t, phrase, plain in fv.phrase_rows():
+        known = pairs.setdefault((s, t), {})
+        known[phrase] = min(plain, known.get(phrase, plain))
+    words = f"regexp_replace({text}, '([\\p{{L}}\\p{{M}}\\p{{N}}_]+)', '\ue000\\1\ue001', 'g')"
+
+    branches = []
+    for (s, t), terms in sorted(pairs.items()):
+        keyed = {mark_words(k): v for k, v in terms.items()}
+        alts = "|".join(sorted(keyed, key=lambda k: (-len(k), k)))
+        pat = q(f"(?i)(?:{alts})")
+        cases = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in sorted(keyed.items()))
+        piece = f"(CASE lower(f[i]) {cases} ELSE f[i] END) || p[i + 1]"
+        value = (f"(SELECT p[1] || coalesce(array_to_string(list_transform(range(1, len(f) + 1), lambda i: {piece}), ''), '') "
+                 f"FROM (SELECT regexp_extract_all({words}, {pat}) AS f, regexp_split_to_array({words}, {pat}) AS p))")
+        branches.append(f"WHEN {src} = {q(s)} AND {tgt} = {q(t)} THEN regexp_replace({value}, '[\ue000\ue001]', '', 'g')")
+    er = (f"CASE WHEN {text} IS NULL THEN NULL "
+          f"WHEN {src} IS NULL OR {src} NOT IN ({CODES}) THEN 'unsupported language ' || coalesce({src}, 'null') "
+          f"WHEN {tgt} IS NULL OR {tgt} NOT IN ({CODES}) THEN 'unsupported language ' || coalesce({tgt}, 'null') END")
+    tr = f"CASE WHEN {er} IS NULL THEN CASE {' '.join(branches)} ELSE {text} END END"
     return tr, er
 
 
 def processed_ctes() -> str:
     """Full turn processing over conversations; defines ``proc``."""
-    tr, er = translate_exprs("working", "tgt_lang")
+    tr, er = translate_exprs("working", "src_lang", "tgt_lang")
     return f"""
 {langs_cte()}, {weights_cte()}, {requests_cte()},
 gated AS (SELECT * FROM req WHERE src_lang = 'en_XX'),
@@ -331,10 +363,14 @@ SELECT conv_id, turn, speaker, src_lang, tgt_lang, text AS original, medical,
     s["glossary_simplify_joined"] = f"SELECT doc_id, {gl} AS simplified FROM documents WHERE lang = 'en'"
     s["simplify_turns"] = f"WITH {PR} SELECT conv_id, turn, simplified FROM proc WHERE simplified IS NOT NULL"
     s["translate_turns"] = f"WITH {PR} SELECT conv_id, turn, src_lang, tgt_lang, translation, error FROM proc"
-    tr_, er_ = translate_exprs("text", "tgt_lang")
+    tr_, er_ = translate_exprs("text", "src_lang", "tgt_lang")
     D = f"{langs_cte()}, {doc_requests_cte()}, dtr AS (SELECT *, {tr_} AS translation, {er_} AS error FROM dreq)"
     s["translate_documents"] = f"WITH {D} SELECT doc_id, src_lang, tgt_lang, translation, error FROM dtr"
-    s["turn_errors"] = f"WITH {D} SELECT doc_id, src_lang, tgt_lang, error FROM dtr WHERE error IS NOT NULL"
+    s["translate_documents_joined"] = s["translate_documents"]
+    s["turn_errors"] = f"""WITH {langs_cte()}, {doc_requests_cte()},
+sent AS (SELECT doc_id, text, src_lang, CASE WHEN lang = 'en' THEN tgt_lang ELSE lang END AS tgt_lang FROM dreq),
+er AS (SELECT doc_id, src_lang, tgt_lang, {er_} AS error FROM sent)
+SELECT * FROM er WHERE error IS NOT NULL"""
     RW = f"rw AS (SELECT doc_id, text, {gl} AS simplified FROM documents WHERE lang = 'en')"
     negs = ", ".join(f"{neg_count('text', w)} AS {w}_src, {neg_count('simplified', w)} AS {w}_out"
                      for w in fv.NEGATION_WORDS)

@@ -25,6 +25,24 @@ def test_blocked_running_count_equals_window(spark):
     assert rows(a, "c", "t", "n") == rows(b, "c", "t", "n")
 
 
+def test_blocked_reset_count_equals_windows(spark):
+    import random
+    rnd = random.Random(4)
+    data = []
+    for c in range(6):
+        for t in rnd.sample(range(3000), 500):
+            clear = rnd.random() < (0.02 if c % 2 else 0.2)
+            data.append((c, t, clear, not clear and rnd.random() < 0.7))
+    df = spark.createDataFrame(data, "c long, t long, r boolean, f boolean")
+    w = Window.partitionBy("c").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumn("e", F.sum(F.col("r").cast("long")).over(w))
+    want = want.withColumn("n", F.sum(F.col("f").cast("long")).over(
+        Window.partitionBy("c", "e").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
+    for block in (16, 256, 4096):
+        got = sequence.reset_count(df, "c", "t", "r", "f", "e", "n", block)
+        assert rows(got, "c", "t", "e", "n") == rows(want, "c", "t", "e", "n")
+
+
 def test_clear_restarts_numbering(spark):
     conv = _conv(spark, [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "system", "clear"),
                          (1, 3, "user", "  "), (1, 4, "user", "c"), (2, 0, "system", "s"), (2, 1, "user", "d")])
