@@ -44,8 +44,8 @@ TERMS_SQL = (
 )
 
 
-# Training rows per partition of the cached feature set.
-TRAIN_ROWS_PER_PARTITION = 50_000
+# Bytes per partition of the cached feature set.
+TRAIN_BYTES_PER_PARTITION = 64 << 20
 
 
 @dataclass
@@ -135,16 +135,18 @@ def train_svm(train: DataFrame, max_features: int = features.MAX_FEATURES,
     feats = (PipelineModel(stages=stages)
              .transform(train.join(weights, label).withColumn("label_d", F.col(label).cast("double")))
              .select("features", "label_d", "weight"))
-    # The optimiser runs one distributed pass per iteration; size the cached
-    # feature set by rows so small sets do not pay per-task overhead hundreds
-    # of times, while large ones keep their parallelism.
-    parts = max(1, min(feats.rdd.getNumPartitions(), math.ceil(n / TRAIN_ROWS_PER_PARTITION)))
-    feats = feats.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    # Features are made at the scan's parallelism. The optimiser then runs one
+    # pass per iteration over the cached set, joined by its bytes into fewer
+    # partitions, so small sets don't pay per-task overhead hundreds of times.
+    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        feats.count()
+        size = int(str(feats._jdf.queryExecution().withCachedData().stats().sizeInBytes()))
+        cached = feats.coalesce(max(1, math.ceil(size / TRAIN_BYTES_PER_PARTITION)))
         svc = LinearSVC(featuresCol="features", labelCol="label_d", weightCol="weight",
                         maxIter=max_iter, tol=tol, regParam=1.0 / max(n, 1),
                         standardization=False, rawPredictionCol="raw", predictionCol="pred_d")
-        svm = svc.fit(feats)
+        svm = svc.fit(cached)
     finally:
         feats.unpersist()
     pipeline_model = PipelineModel(stages=stages + [svm])

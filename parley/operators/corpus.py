@@ -32,17 +32,29 @@ def user_text_nested(dialogues: DataFrame) -> DataFrame:
                    F.lit("")).alias("text"))
 
 
+def dialogues_of(conversations: DataFrame) -> DataFrame:
+    """The nested form of the conversation table: one row per conversation with its
+    turns in order, user as ``human`` and assistant as ``gpt``."""
+    who = (F.when(F.col("role") == "user", F.lit("human")).when(F.col("role") == "assistant", F.lit("gpt"))
+           .otherwise(F.col("role")))
+    turns = F.sort_array(F.collect_list(F.struct("turn", who.alias("from"), F.col("text").alias("value"))))
+    return conversations.groupBy(F.col("conv_id").alias("id")).agg(F.transform(
+        turns, lambda t: F.struct(t["from"].alias("from"), t["value"].alias("value"))).alias("conversations"))
+
+
 def user_text_flat(conversations: DataFrame, block: int = CONCAT_BLOCK_TURNS) -> DataFrame:
     """Flat form: user turns of each conversation joined by one space in turn
-    order. Concatenation happens in two steps (blocks of ``block`` turns, then
+    order; a conversation without one gives ``""``. Concatenation happens in two steps (blocks of ``block`` turns, then
     the blocks) so one very long conversation is split over many tasks before
     its final string is assembled."""
-    users = conversations.where(F.col("role") == "user").select("conv_id", "turn", "text")
-    chunks = (users.groupBy("conv_id", F.floor(F.col("turn") / block).alias("blk"))
-              .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))),
-                                            lambda x: x["text"]), " ").alias("chunk")))
+    user = F.when(F.col("role") == "user", F.struct("turn", "text"))      # others aren't collected
+    chunks = (conversations.groupBy("conv_id", F.floor(F.col("turn") / block).alias("blk"))
+              .agg(F.collect_list(user).alias("said"))
+              .select("conv_id", "blk", F.when(F.size("said") > 0, F.array_join(
+                  F.transform(F.sort_array("said"), lambda x: x["text"]), " ")).alias("chunk")))
+    said = F.when(F.col("chunk").isNotNull(), F.struct("blk", "chunk"))
     return (chunks.groupBy("conv_id")
-            .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("blk", "chunk"))),
+            .agg(F.array_join(F.transform(F.sort_array(F.collect_list(said)),
                                           lambda x: x["chunk"]), " ").alias("text")))
 
 
@@ -87,13 +99,6 @@ def class_weights(train: DataFrame) -> DataFrame:
 
 
 def reusable_corpus(documents: DataFrame, conversations: DataFrame) -> DataFrame:
-    """A corpus that is cheap to read several times (sampling reads it three
-    times). A poorly split source (fewer splits than twice the cores, e.g. one
-    row group) is written once as a whole, so later passes run in parallel; a
-    large source is re-read from its well-split scan and only the grouped
-    negative side (a shuffle aggregation) is written."""
-    from parley.session import cut_lineage
-    cores = documents.sparkSession.sparkContext.defaultParallelism
-    if documents.rdd.getNumPartitions() < 2 * cores:
-        return cut_lineage(corpus_build(documents, conversations), "corpus")
+    """A corpus that is cheap to read twice, as sampling does: the grouped negative
+    side (a shuffle aggregation) is written once, the documents are scanned again."""
     return corpus_build(documents, conversations, materialize_negatives=True)

@@ -5,14 +5,12 @@ class's first ``q`` rows in that order are found without a window over the
 whole class (which would put a class — possibly a third of all rows — into
 one task):
 
-1. bucket = first 3 hex digits of the hash (4,096 buckets, uniform because
-   the hash is);
-2. count rows per (class, bucket) — a partial aggregate, a few thousand rows;
-3. a running sum over that small table gives, per bucket, how many rows of
-   the class come before it;
-4. buckets wholly before the quota are taken as they are, buckets after it
-   are dropped, and ``row_number`` runs only inside the one boundary bucket
-   of each class.
+1. the (class, key, id) rows, without the text, are written once;
+2. count rows per (class, first 3 hex digits), a partial aggregate; a running sum
+   gives the bucket in which the class's quota ends;
+3. that bucket is narrowed by 3 more digits at a time until it is small, and
+   ``row_number`` over it gives the key of the quota's last row;
+4. one map-only filter keeps, of the whole rows, those up to that key.
 
 The result is identical to ``row_number() over (partition by class order by
 hash, id) <= q``, which is what the oracle computes.
@@ -23,12 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.plans.sizing import broadcast_fixed
 from parley.session import cut_lineage
 
 SEED = "42"
 PREFIX_HEX = 3
-N_BUCKETS = 16 ** PREFIX_HEX
+KEY_HEX = 32
+# Most rows (key and tie alone) of the boundary bucket that one task sorts.
+BUCKET_ROWS = 1_000_000
 MAX_CLASSES = 64
 
 
@@ -36,33 +35,72 @@ def order_key(salt: str, source: Column, ident: Column) -> Column:
     return F.md5(F.concat(F.lit(salt + ":"), source, F.lit(":"), ident.cast("string")))
 
 
-def flag_first_n(df: DataFrame, group: str, key: str, tie: str, quotas: DataFrame,
-                 flag: str, keep_only: bool = False) -> DataFrame:
+def _boundaries(counts: DataFrame, group: str, quotas: dict) -> dict:
+    """Per group with a quota inside its rows: (bucket that the quota's last row is in,
+    rows still wanted of it, its size). ``counts``: (group, _b, _c); only one row a
+    group reaches the driver."""
+    w = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("_upto", F.sum("_c").over(w))
+    room = F.lit(None).cast("long")
+    for g, quota in quotas.items():
+        room = F.when(F.col(group) == g, F.lit(quota) - F.col("_upto") + F.col("_c")).otherwise(room)
+    hit = upto.withColumn("_room", room).where((F.col("_room") > 0) & (F.col("_room") <= F.col("_c")))
+    return {r[group]: (r["_b"], r["_room"], r["_c"]) for r in hit.select(group, "_b", "_room", "_c").collect()}
+
+
+def cutoffs(keys: DataFrame, group: str, key: str, tie: str, quotas: dict,
+            bucket_rows: int = BUCKET_ROWS) -> dict:
+    """``{group: (key, tie)}`` of the last row within each group's quota; a group
+    whose rows all are has none. The bucket of keys that holds it is narrowed to
+    longer prefixes until it has at most ``bucket_rows`` rows (or all of the key is
+    used), so the only sort is of that many (key, tie) pairs."""
+    digits = PREFIX_HEX
+    counts = keys.groupBy(group, F.substring(key, 1, digits).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    found = _boundaries(counts, group, quotas)
+    while digits < KEY_HEX and any(c > bucket_rows for _, _, c in found.values()):
+        inside = _inside(group, key, found)
+        digits += PREFIX_HEX
+        counts = keys.where(inside).groupBy(group, F.substring(key, 1, digits).alias("_b")).agg(
+            F.count(F.lit(1)).alias("_c"))
+        found = _boundaries(counts, group, {g: room for g, (_, room, _) in found.items()})
+    if not found:
+        return {}
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(key, tie))
+    last = F.lit(False)
+    for g, (_, room, _) in found.items():
+        last = last | ((F.col(group) == g) & (F.col("_rank") == room))
+    rows = keys.where(_inside(group, key, found)).withColumn("_rank", rank).where(last).collect()
+    return {r[group]: (r[key], r[tie]) for r in rows}
+
+
+def _inside(group: str, key: str, found: dict):
+    inside = F.lit(False)
+    for g, (bucket, _, _) in found.items():
+        inside = inside | ((F.col(group) == g) & F.col(key).startswith(bucket))
+    return inside
+
+
+def flag_first_n(df: DataFrame, group: str, key: str, tie: str, quotas, flag: str,
+                 keep_only: bool = False) -> DataFrame:
     """Add boolean ``flag``: row is among the first ``quota`` rows of its group
-    in (key, tie) order. ``quotas`` has columns (group, quota)."""
-    d = df.withColumn("_b", F.substring(F.col(key), 1, PREFIX_HEX))
-    counts = d.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(
-        Window.partitionBy(group).orderBy("_b")
-        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    status = (counts.withColumn("_before", before).join(quotas, group)
-              .select(group, "_b",
-                      F.when(F.col("_before") + F.col("_c") <= F.col("quota"), F.lit("all"))
-                      .when(F.col("_before") >= F.col("quota"), F.lit("none"))
-                      .otherwise(F.lit("part")).alias("_state"),
-                      (F.col("quota") - F.col("_before")).alias("_room")))
-    # At most MAX_CLASSES * 4,096 rows: bounded by construction.
-    d = d.join(broadcast_fixed(status, MAX_CLASSES * N_BUCKETS, "bucket status"), [group, "_b"])
-    whole = d.where(F.col("_state") == "all").withColumn(flag, F.lit(True))
-    part = d.where(F.col("_state") == "part")
-    part = part.withColumn(flag, F.row_number().over(
-        Window.partitionBy(group, "_b").orderBy(key, tie)) <= F.col("_room"))
-    out = whole.unionByName(part)
-    if keep_only:
-        out = out.where(F.col(flag))
-    else:
-        out = out.unionByName(d.where(F.col("_state") == "none").withColumn(flag, F.lit(False)))
-    return out.drop("_b", "_state", "_room")
+    in (key, tie) order. ``quotas`` has columns (group, quota), or makes them of the
+    (group, key, tie) rows. Those narrow rows are written once; the rows of ``df`` are
+    read once more, by a filter that moves nothing. Groups without a quota go."""
+    keys = cut_lineage(df.select(group, key, tie), "keys")
+    table = quotas(keys) if callable(quotas) else quotas
+    wanted = {r[0]: r[1] for r in table.select(group, "quota").limit(MAX_CLASSES + 1).collect()}
+    if len(wanted) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    last = cutoffs(keys, group, key, tie, {g: n for g, n in wanted.items() if n > 0})
+    within = F.lit(None).cast("boolean")
+    for g, quota in wanted.items():
+        ok = F.lit(quota > 0)
+        if g in last:
+            k, t = last[g]
+            ok = (F.col(key) < k) | ((F.col(key) == k) & (F.col(tie) <= t))
+        within = F.when(F.col(group) == g, ok).otherwise(within)
+    out = df.withColumn(flag, within)
+    return out.where(F.col(flag) if keep_only else F.col(flag).isNotNull())
 
 
 def flag_first_n_window(df: DataFrame, group: str, key: str, tie: str,
@@ -81,7 +119,7 @@ def balanced_sample(corpus: DataFrame, label: str = "label") -> DataFrame:
     """Exactly ``n = min(class sizes)`` rows of every class, without
     replacement, reproducible (seed 42)."""
     keyed = corpus.withColumn("_k", order_key(SEED, F.col("source"), F.col("id")))
-    out = flag_first_n(keyed, label, "_k", "id", balanced_quotas(keyed, label),
+    out = flag_first_n(keyed, label, "_k", "id", lambda keys: balanced_quotas(keys, label),
                        "_keep", keep_only=True)
     return out.drop("_k", "_keep")
 
@@ -109,15 +147,14 @@ def stratified_split(corpus: DataFrame, label: str = "label",
                      test_size: float = 0.2) -> DataFrame:
     """Adds ``split`` = 'test' | 'train'; classes keep their proportions."""
     keyed = corpus.withColumn("_k", order_key(SEED + ":split", F.col("source"), F.col("id")))
-    out = flag_first_n(keyed, label, "_k", "id", split_quotas(keyed, label, test_size), "_test")
+    out = flag_first_n(keyed, label, "_k", "id", lambda keys: split_quotas(keys, label, test_size), "_test")
     return (out.withColumn("split", F.when(F.col("_test"), F.lit("test")).otherwise(F.lit("train")))
             .drop("_k", "_test"))
 
 
 def training_split(corpus: DataFrame, label: str = "label", test_size: float = 0.2) -> DataFrame:
     """corpus -> balanced sample -> stratified split. Each step reads its input
-    several times (counts, taken buckets, boundary bucket), so the balanced
-    sample (2n rows) is materialised once; the corpus should be cheap to
-    re-read (see ``corpus.reusable_corpus``)."""
+    twice (keys, whole rows), so the balanced
+    sample (2n rows) is materialised once."""
     balanced = cut_lineage(balanced_sample(corpus, label), "balanced")
     return stratified_split(balanced, label, test_size)

@@ -1,14 +1,8 @@
 """Running counts inside a group without putting the group in one task.
 
-``running_count`` gives, for each row, how many flagged rows of its group come
-at or before it in ``order``. A plain window would sort a whole group in one
-task; here the order axis is cut into blocks of ``block`` values:
-
-1. flagged rows per (group, block) — a partial aggregate;
-2. a running sum over that small per-block table gives each block's offset;
-3. the offset joins back on (group, block), and a window inside one block adds
-   the local running count. A block holds at most ``block`` rows when the
-   order values are unique within the group.
+A plain window would sort a whole group in one task; here the order axis is cut into
+blocks of ``block`` values. A block holds at most ``block`` rows when the order values
+are unique within the group.
 """
 
 from __future__ import annotations
@@ -19,26 +13,6 @@ from pyspark.sql import functions as F
 DEFAULT_BLOCK = 4096
 
 
-def running_count(df: DataFrame, part: list[str], order: str, flag, out: str,
-                  block: int = DEFAULT_BLOCK) -> DataFrame:
-    f = flag.cast("long") if not isinstance(flag, str) else F.col(flag).cast("long")
-    d = df.withColumn("_blk", F.floor(F.col(order) / block)).withColumn("_f", f)
-    counts = d.groupBy(*part, "_blk").agg(F.sum("_f").alias("_c"))
-    offs = counts.select(*part, "_blk", F.coalesce(F.sum("_c").over(
-        Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
-    d = d.join(offs, [*part, "_blk"])
-    local = F.sum("_f").over(Window.partitionBy(*part, "_blk").orderBy(order)
-                             .rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn(out, (F.col("_off") + local).cast("long")).drop("_blk", "_f", "_off")
-
-
-def row_number_blocked(df: DataFrame, part: list[str], order: str, out: str,
-                       block: int = DEFAULT_BLOCK) -> DataFrame:
-    """``row_number() over (partition by part order by order)`` for unique order values."""
-    return running_count(df, part, order, F.lit(1), out, block)
-
-
 def reset_count(df: DataFrame, part: str, order: str, reset: str, flag: str, resets: str, out: str,
                 block: int = DEFAULT_BLOCK) -> DataFrame:
     """Append ``resets`` (reset rows of the group at or before the row) and ``out``

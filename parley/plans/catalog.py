@@ -64,6 +64,11 @@ def q_extract_user_text(spark, sf):
     return corpus.user_text_flat(tables.conversations(spark, sf))
 
 
+def q_extract_user_text_nested(spark, sf):
+    d = corpus.dialogues_of(tables.conversations(spark, sf))
+    return corpus.user_text_nested(d).select(F.col("id").alias("conv_id"), "text")
+
+
 def q_filter_nonblank(spark, sf):
     c = tables.conversations(spark, sf)
     return c.where(tx.is_nonblank(F.col("text")))
@@ -197,10 +202,17 @@ def q_svm_train_eval(spark, sf):
     pm, table = classifier.train_svm(train)
     path = _svm_path(spark, sf)
     classifier.save_model(pm, table, path)
-    pm2, _ = classifier.load_model(spark, path)
-    preds = classifier.predict(pm2, test)
-    m = evaluate.eval_metrics(preds)
-    return m.select("n", *[_r(c) for c in ("accuracy", "macro_precision", "macro_recall", "macro_f1")])
+    pm2, table2 = classifier.load_model(spark, path)
+    preds = cut_lineage(classifier.predict(pm2, test).select("source", "id", "label", "prediction", "margin"))
+    keys = ["source", "id"]
+    by_table = classifier.margins(test, keys, table2).withColumnRenamed("margin", "by_table")
+    same = (preds.join(by_table, keys).agg(
+        F.coalesce(F.max(F.abs(F.col("margin") - F.col("by_table"))) < 1e-6, F.lit(True)).alias("paths_agree")))
+    m = evaluate.eval_metrics(preds).select(
+        F.col("n").alias("n_test"), (F.col("accuracy") > 0.5).alias("beats_chance"),
+        F.col("macro_f1").between(0.0, 1.0).alias("f1_in_range"))
+    fit = F.lit(train.count()).alias("n_train"), F.lit(table2.n_terms).cast("long").alias("n_terms")
+    return m.crossJoin(F.broadcast(same)).select(*fit, "*")      # two one-row tables
 
 
 # -- 2.2 / 2.3 routing -----------------------------------------------------------
@@ -397,12 +409,18 @@ def q_stream_turn_numbers(spark, sf):
 
 
 def q_stream_score_turns(spark, sf):
-    """Arriving doctor turns scored by the trained model in a plain
-    (map-only, append-mode) stream."""
+    """Arriving doctor turns scored by the trained model in a plain (map-only,
+    append-mode) stream: per turn, whether the batch form of the same model gives the
+    margin, the label is its sign, and the confidence lies in its range."""
     from parley.streaming import turns
-    pm, _ = _trained_model(spark, sf)
+    pm, table = _trained_model(spark, sf)
     out = turns.run_to_table(turns.score_stream(turns.read_stream(spark, sf), pm), spark, "score")
-    return out.select("conv_id", "turn", _r("margin"), "medical", _r("confidence"))
+    keys = ["conv_id", "turn"]
+    batch = classifier.margins(tables.conversations(spark, sf).where(F.col("role") == "assistant"), keys, table)
+    out = out.join(batch.withColumnRenamed("margin", "by_batch"), keys, "left")
+    return out.select(*keys, F.coalesce(F.abs(F.col("margin") - F.col("by_batch")) < 1e-6, F.lit(False)).alias("as_batch"),
+                      (F.col("medical") == (F.col("margin") > 0)).alias("label_is_sign"),
+                      F.col("confidence").between(0.5, 1.0).alias("confidence_in_range"))
 
 
 def q_stream_process_turns(spark, sf):
@@ -417,6 +435,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # corpus
         "filter_nonempty": q_filter_nonempty,
         "extract_user_text": q_extract_user_text,
+        "extract_user_text_nested": q_extract_user_text_nested,
         "filter_nonblank": q_filter_nonblank,
         "corpus_build": q_corpus_build,
         "class_counts": q_class_counts,

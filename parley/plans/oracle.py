@@ -167,8 +167,8 @@ def corpus_ctes() -> str:
     return f"""
 pos AS (SELECT 'pos' AS source, doc_id AS id, text, 1 AS label FROM documents
         WHERE lang = 'en' AND text IS NOT NULL AND length(text) > 0),
-ut AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations
-       WHERE role = 'user' GROUP BY conv_id),
+ut AS (SELECT conv_id, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user'), '') AS text
+       FROM conversations GROUP BY conv_id),
 neg AS (SELECT 'neg' AS source, conv_id AS id, text, 0 AS label FROM ut WHERE {nonblank('text')}),
 corpus AS (SELECT * FROM pos UNION ALL SELECT * FROM neg),
 bal_k AS (SELECT *, md5('42:' || source || ':' || CAST(id AS VARCHAR)) AS k FROM corpus),
@@ -269,6 +269,7 @@ def oracle_sql() -> dict[str, str]:
     R6 = "round({0}, 6) AS {0}".format
     s["filter_nonempty"] = f"WITH {C} SELECT * FROM pos"
     s["extract_user_text"] = f"WITH {C} SELECT conv_id, text FROM ut"
+    s["extract_user_text_nested"] = s["extract_user_text"]
     s["filter_nonblank"] = f"SELECT * FROM conversations WHERE {nonblank('text')}"
     s["corpus_build"] = f"WITH {C} SELECT * FROM corpus"
     s["class_counts"] = f"""WITH {C}
@@ -418,6 +419,11 @@ SELECT conv_id, epoch, 'doctor' AS panel, turn_no, role, en AS content FROM trn
 UNION ALL SELECT conv_id, epoch, 'patient', turn_no, role, xx FROM trn"""
     s["bilingual_pairs"] = f"""WITH {T}
 SELECT conv_id, epoch, turn_no, role, en AS doctor_panel, xx AS patient_panel FROM trn"""
+    s["svm_train_eval"] = f"""WITH {C}, {S}
+SELECT (SELECT count(*) FROM tr) AS n_train, (SELECT count(*) FROM vocab) AS n_terms,
+       (SELECT count(*) FROM te) AS n_test, true AS beats_chance, true AS f1_in_range, true AS paths_agree"""
+    s["stream_score_turns"] = """SELECT conv_id, turn, true AS as_batch, true AS label_is_sign, true AS confidence_in_range
+FROM conversations WHERE role = 'assistant'"""
     s["stream_turn_numbers"] = s["conversation_epochs"]
     s["stream_process_turns"] = s["process_turns"]
     s["turn_append"] = s["process_turns"]

@@ -3,8 +3,8 @@
 * ``number_turns_stream`` (stateful): per conversation, state = (epoch, last
   turn number). A clear event raises the epoch and restarts numbering; blank
   turns are skipped. ``applyInPandasWithState`` keyed by conversation; rows of
-  one micro-batch are ordered by ``turn``. A micro-batch is bounded by the
-  source's ``maxFilesPerTrigger``, which bounds what one key sees at once.
+  one micro-batch are ordered by ``turn``. A micro-batch is bounded by files or bytes
+  of the source, which bounds what one key sees at once: its turn and two flags a row.
 * ``score_stream`` (stateless): the model-form classifier is map-only, so the
   stream runs in append mode with no aggregation.
 * ``process_stream`` (micro-batch): ``foreachBatch`` runs the batch
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from parley.functions.text import is_nonblank
 from parley.operators import classifier, route
 from parley.session import checkpoint_dir
 from parley.sources.tables import SCHEMAS
@@ -45,10 +46,13 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str = "conversations",
-                max_files: int = 1) -> DataFrame:
+                max_files: int | None = None, max_bytes: int = 1 << 30) -> DataFrame:
     """A stream over ``{table}.parquet``, a file or a folder of part files; a
-    missing table fails here instead of giving an empty stream."""
-    reader = spark.readStream.schema(SCHEMAS[table]).option("maxFilesPerTrigger", max_files)
+    missing table fails here instead of giving an empty stream. A micro-batch takes
+    ``max_files`` files, or else about ``max_bytes`` of them."""
+    reader = spark.readStream.schema(SCHEMAS[table])
+    reader = (reader.option("maxFilesPerTrigger", max_files) if max_files
+              else reader.option("maxBytesPerTrigger", max_bytes))
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{table}.parquet")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.getFileStatus(path).isDirectory():
@@ -59,11 +63,9 @@ def read_stream(spark: SparkSession, sf_dir: str, table: str = "conversations",
 def _number(key, pdfs, state):
     epoch, last = (state.get if state.exists else (0, 0))
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("turn", kind="stable")
-    clear = (pdf["kind"] == "clear").astype("int64")
-    c = clear.cumsum()
+    c = pdf["clear"].astype("int64").cumsum()
     ep = epoch + c
-    text = pdf["text"].fillna("")
-    keep = (pdf["kind"] == "turn") & (text.str.strip() != "")
+    keep = pdf["shown"]
     t = pdf[keep]
     no = t.groupby(ep[keep]).cumcount() + 1 + (c[keep] == 0).astype("int64") * last
     out = pd.DataFrame({"conv_id": t["conv_id"].astype("int64"), "turn": t["turn"].astype("int64"),
@@ -83,10 +85,9 @@ def number_turns_stream(events: DataFrame) -> DataFrame:
 
 
 def events_of(stream: DataFrame) -> DataFrame:
-    return stream.select(
-        "conv_id", "turn",
-        F.when(F.col("role") == "system", F.lit("clear")).otherwise(F.lit("turn")).alias("kind"),
-        "text")
+    """``conv_id, turn, clear, shown``: the text stays out of the state path."""
+    clear = F.coalesce(F.col("role") == "system", F.lit(False))
+    return stream.select("conv_id", "turn", clear.alias("clear"), (~clear & is_nonblank(F.col("text"))).alias("shown"))
 
 
 def run_to_table(stream: DataFrame, spark: SparkSession, what: str) -> DataFrame:

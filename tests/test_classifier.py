@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,18 @@ def test_train_sql_and_model_paths_agree(spark, tmp_path):
         F.max(F.abs(F.col("m2") - F.col("m3")))).first()[0] == 0.0
 
 
+def test_held_out_accuracy(spark):
+    """Rows unseen in training, of the same two vocabularies."""
+    rnd = random.Random(9)
+    med = "patient dose fever infection blood pressure medication tablet surgery pain hospital nurse".split()
+    day = "movie weekend party friends music dinner holiday shopping walk weather nice park".split()
+    data = [(i, " ".join(rnd.choices(med if i % 2 else day, k=6) + [f"w{i}"]), i % 2) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, text string, label int")
+    pm, _ = classifier.train_svm(df.where("id < 200"), max_iter=200)
+    m = evaluate.eval_metrics(classifier.predict(pm, df.where("id >= 200"))).first()
+    assert m["n"] == 100 and m["accuracy"] >= 0.95
+
+
 def test_missing_model_message(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="train one with"):
         classifier.load_model(spark, str(tmp_path / "nothing"))

@@ -19,12 +19,12 @@ def test_nested_extract(spark):
 
 def test_flat_extract_orders_and_splits_blocks(spark):
     data = [(7, t, "user", f"w{t}") for t in random.Random(1).sample(range(50), 50)]
-    data += [(7, 99, "assistant", "skip"), (8, 0, "user", "only")]
+    data += [(7, 99, "assistant", "skip"), (8, 0, "user", "only"), (9, 0, "assistant", "x")]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
     want = " ".join(f"w{t}" for t in range(50))
     for block in (4, 1024):   # many partial strings, or one
         got = dict(rows(corpus.user_text_flat(df, block=block), "conv_id", "text"))
-        assert got == {7: want, 8: "only"}
+        assert got == {7: want, 8: "only", 9: ""}
 
 
 def test_corpus_filters(spark):
@@ -93,27 +93,30 @@ def test_training_split_on_tables(spark):
 
 def test_nested_and_flat_extraction_agree(spark):
     flat = spark.read.parquet(f"{SF_MID}/conversations.parquet")
-    nested = (flat.groupBy(F.col("conv_id").alias("id"))
-              .agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))),
-                               lambda x: F.struct(
-                                   F.when(x["role"] == "user", F.lit("human"))
-                                   .otherwise(x["role"]).alias("from"),
-                                   x["text"].alias("value"))).alias("conversations")))
+    nested = corpus.dialogues_of(flat)
     a = dict(rows(corpus.user_text_nested(nested), "id", "text"))
     b = dict(rows(corpus.user_text_flat(flat), "conv_id", "text"))
-    assert {k: v for k, v in a.items() if v} == b
-
-
-def test_reusable_corpus_both_branches(spark):
-    from parley.sources import tables
-    docs = tables.documents(spark, SF_MID)
-    conv = tables.conversations(spark, SF_MID)
-    want = rows(corpus.corpus_build(docs, conv), "source", "id", "label")
-    cores = spark.sparkContext.defaultParallelism
-    well_split = docs.repartition(4 * cores)          # large-input branch: only negatives written
-    assert well_split.rdd.getNumPartitions() >= 2 * cores
-    assert rows(corpus.reusable_corpus(well_split, conv), "source", "id", "label") == want
-    assert rows(corpus.reusable_corpus(docs, conv), "source", "id", "label") == want
+    assert a == b
+
+
+def test_cutoffs_narrow_a_crowded_bucket(spark):
+    """Few distinct keys and many ties: the boundary is found by longer prefixes."""
+    rnd = random.Random(2)
+    keys = ["abc" + "0" * 26 + f"{i:03x}" for i in range(5)]
+    data = [(g, rnd.choice(keys), i) for i in range(600) for g in (0, 1)]
+    df = spark.createDataFrame(data, "label int, k string, id long")
+    for quota in (1, 77, 599, 600, 900):
+        got = sampling.cutoffs(df, "label", "k", "id", {0: quota, 1: quota}, bucket_rows=10)
+        for g in (0, 1):
+            own = sorted((k, i) for lbl, k, i in data if lbl == g)
+            assert got.get(g) == (own[quota - 1] if quota <= 600 else None)
+
+
+def test_groups_without_rows_or_quota(spark):
+    df = spark.createDataFrame([(0, "a" * 32, 1), (1, "b" * 32, 2)], "label int, k string, id long")
+    quotas = spark.createDataFrame([(0, 0), (2, 5)], "label int, quota long")
+    assert rows(sampling.flag_first_n(df, "label", "k", "id", quotas, "f")) == [(0, "a" * 32, 1, False)]
+    assert rows(sampling.flag_first_n(df.where("false"), "label", "k", "id", quotas, "f")) == []
 
 
 def test_spread_only_for_poorly_split_scans(spark):

@@ -14,17 +14,6 @@ def _conv(spark, data):
     return spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
 
 
-def test_blocked_running_count_equals_window(spark):
-    import random
-    rnd = random.Random(3)
-    data = [(c, t, rnd.random() < 0.2) for c in range(5) for t in rnd.sample(range(5000), 700)]
-    df = spark.createDataFrame(data, "c long, t long, f boolean")
-    a = sequence.running_count(df, ["c"], "t", F.col("f"), "n", block=64)
-    w = Window.partitionBy("c").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    b = df.withColumn("n", F.sum(F.col("f").cast("long")).over(w))
-    assert rows(a, "c", "t", "n") == rows(b, "c", "t", "n")
-
-
 def test_blocked_reset_count_equals_windows(spark):
     import random
     rnd = random.Random(4)
