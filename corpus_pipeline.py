@@ -6,7 +6,8 @@ the next one's docs, so a lost executor repeats one stage's tasks at most. All b
 the last stage return all columns of ``documents``, whatever they are.
 
 1. ``quality``: documents the quality rules reject go.
-2. ``near_duplicates``: one document of each group stays, the least doc_id.
+2. ``near_duplicates``: one document of each group stays, the least doc_id. Texts
+   are near at a Jaccard similarity of 0.8 of their five-word shingles.
 3. ``decontaminate``: documents with a benchmark window go.
 4. ``personal_data``: spans of personal data are masked in the text.
 5. ``sentencepiece``: ids and decoded text of every document left.
@@ -25,13 +26,16 @@ from parley.llm.common import table
 from parley.llm.queries import tokenizer_file
 from parley.session import checkpoint_dir
 
+#: The general rule for near copies; op6's own contract says 85.
+NEAR_PERCENT = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.kept_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return hamming_dedup.first_of_groups(docs)
+    return hamming_dedup.first_of_groups(docs, NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,22 @@ def test_stages_keep_the_columns(spark):
         out = stage(spark, docs, SF_SMALL)
         assert out.columns == docs.columns, name
         assert stage(spark, docs.limit(0), SF_SMALL).count() == 0, name
+
+
+def test_near_copies_from_80_percent_go(spark):
+    base = [f"w{k}" for k in range(300)]
+    docs = [(0, " ".join(base), "en", 0, "p", 0)]
+    for wrong in range(4, 9):                             # similarity 0.87, 0.84, 0.82, 0.79, 0.76
+        words = list(base)
+        for k in range(wrong):
+            words[20 + 30 * k] = f"x{wrong}.{k}"
+        docs.append((wrong, " ".join(words), "en", 0, "p", 0))
+    for wrong, *row in docs[1:]:
+        got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame([docs[0], (wrong, *row)], R.SCHEMA), SF_SMALL)
+        assert {r["doc_id"] for r in got.collect()} == ({0} if wrong < 7 else {0, wrong})
+
+
+def test_near_duplicate_stage_equals_brute_force_at_80_percent(spark):
+    rows = duckdb.sql(f"select doc_id, text from '{SF_SMALL}/documents.parquet'").fetchall()
+    got = corpus_pipeline.near_duplicate_stage(spark, table(spark, SF_SMALL, "documents"), SF_SMALL)
+    assert {r["doc_id"] for r in got.collect()} == set(R.groups(rows, 80).values())
