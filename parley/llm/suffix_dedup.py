@@ -8,19 +8,25 @@ question, so the work is divided without loss:
    bytes names its least 25-byte substring by a hash, its anchor: equal windows
    have equal anchors in equal places. Neighbouring windows with the same anchor
    are one context, of 50 to 75 bytes.
-2. Blocks send (anchor, context hash, document) to shards by anchor. Where an
-   anchor is in one document alone, nothing repeats. Where all documents have the
+2. Blocks send (anchor, context hash, document) to shards by anchor, for each
+   context its least document of the block: the block's others drop it whole. Where
+   an anchor is in one document alone, nothing repeats. Where all documents have the
    same context, all but the least drop it whole: there are no two strings to
-   order. Other contexts wait for step 3.
+   order. Other contexts wait for step 3. An anchor with more than ``HOT_CONTEXTS``
+   contexts is divided first: each of its windows is a context by itself, under the
+   hash of its bytes, so they spread over the shards.
 3. One copy of every distinct waiting context goes to its shard. What all contexts
    of an anchor share around it becomes one symbol; then the suffixes of all
    contexts are put in order (``lyndon_sort``), and windows that agree over their
    whole length, next to each other in that order, form a class with a least
-   document. Each occurrence learns which of its windows have a smaller one.
+   document. Each occurrence learns which of its windows have a smaller one. An
+   anchor with more symbols than a sort takes is sorted in parts: its windows by
+   their place before the anchor and the hash of their bytes.
 4. Each block marks the bytes of its windows and hashes what is left.
 
-Blocks and shards hold a bounded number of bytes; an anchor that very many
-documents have sends an entry of 13 bytes for each, and one copy of each context.
+Blocks hold a bounded number of bytes, and shards as much on average. A string
+sends one entry of 13 bytes for each block it is in, however many documents have it;
+an anchor's contexts in one task are at most ``HOT_CONTEXTS`` and one for each block.
 Anchors are compared by 40 bits of their hash and, where contexts differ, by their
 bytes; contexts by 48 bits more.
 
@@ -33,6 +39,7 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +57,14 @@ BLOCK_BYTES = 3 << 20
 STEP = 1 << 21                        # windows worked on at a time
 SHARD_BYTES = 16 << 20                # text bytes a shard
 SORT_SYMBOLS = 150_000                # symbols of one suffix sort, whole anchors
+HOT_CONTEXTS = 20_000                 # contexts of one anchor that stay together
+LOCAL = np.iinfo(np.uint32).max       # shard of a context that its block decides
 NO_ID = np.iinfo(np.int64).max
 LAYOUT, CODES, WAITING, CONTEXTS, COPIES, MASKS = range(6)
 NOTHING, DROP, WAIT, WAIT_AND_SEND = range(4)
 
+_PLACES = np.random.default_rng(50).integers(0, 1 << 64, (2, LENGTH), np.uint64) | np.uint64(1)
+
 
 def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Contexts in text order: document, first byte, windows, anchor's place, hash of the anchor, hash of the context."""
@@ -98,6 +109,53 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _often(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors with several distinct contexts in a block, and how many."""
+    _, _, _, _, value, context = anchors(raw, offsets)
+    order = np.lexsort((context, value))
+    v, c = value[order], context[order]
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (c[1:] != c[:-1])
+    v = v[new]
+    first = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(v)))
+    return v[first][n > 1], n[n > 1]
+
+
+def _divided(raw: np.ndarray, found: tuple[np.ndarray, ...], hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, windows, anchor, context) with every window of a hot anchor as a context by itself."""
+    doc, begin, windows, _, value, context = found
+    if not len(hot) or not len(value):
+        return doc, windows, value, context
+    at = hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value
+    n = np.where(at, windows, 1)
+    of = np.repeat(np.arange(len(n)), n)
+    single = np.flatnonzero(at[of])
+    start = ragged(begin[at], windows[at])
+    value, context, windows = value[of], context[of], windows[of]
+    with np.errstate(over="ignore"):
+        for k in range(0, len(single), STEP):
+            one, two = np.zeros((2, len(single[k:k + STEP])), np.uint64)
+            for b in range(LENGTH):
+                byte = raw[start[k:k + STEP] + b].astype(np.uint64)
+                one += byte * _PLACES[0, b]
+                two += byte * _PLACES[1, b]
+            value[single[k:k + STEP]], context[single[k:k + STEP]] = mix(one), mix(two)
+    windows[single] = 1
+    return doc[of], windows, value, context
+
+
+def _least(doc: np.ndarray, value: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first occurrence in the least document of each occurrence's context, whether its own document is that one)."""
+    order = np.lexsort((doc, context, value))
+    v, c = value[order], context[order]
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (c[1:] != c[:-1])
+    rep = np.empty(len(v), np.int64)
+    rep[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(v) else order
+    return rep, doc == doc[rep]
+
+
 def _narrow(x: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).reshape(-1)
 
@@ -127,11 +185,12 @@ def _block_table(docs: DataFrame) -> tuple[DataFrame, int]:
                 part = big.slice(k, 60_000)
                 raw, off = flat(part)
                 ids, null = part.column(0).fill_null(0).to_numpy(), part.column(0).is_null().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_pydict({"block": pa.array([task << 32 | no], pa.int64()), "n_bytes": pa.array([len(raw)], pa.int64()), "head": [pack([ids.astype("<i8"), null.astype("u1"), np.diff(off).astype("<i8")])], "raw": pa.array([raw.tobytes()], pa.binary())})
+                hot, count = _often(raw, off)
+                yield pa.RecordBatch.from_pydict({"block": pa.array([task << 32 | no], pa.int64()), "often": [pack([hot.astype("<u8"), count.astype("<i8")])], "n_bytes": pa.array([len(raw)], pa.int64()), "head": [pack([ids.astype("<i8"), null.astype("u1"), np.diff(off).astype("<i8")])], "raw": pa.array([raw.tobytes()], pa.binary())})
                 no += 1
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"parley_blocks_{uuid.uuid4().hex}"
-    (docs.mapInArrow(tidy(to_blocks), "block long, n_bytes long, head binary, raw binary").write.format("parquet").option("compression", "zstd")
+    (docs.mapInArrow(tidy(to_blocks), "block long, often binary, n_bytes long, head binary, raw binary").write.format("parquet").option("compression", "zstd")
      .option("path", f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}").bucketBy(buckets, "block").saveAsTable(name))
     return spark.table(name), buckets
 
@@ -140,17 +199,33 @@ def _head(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(unpack(data, ["<i8", "u1", "<i8"]))
 
 
-def _send(shards: int):
+def _hot_anchors(blocks: DataFrame) -> np.ndarray:
+    """Sorted anchors with more than HOT_CONTEXTS contexts: at most one for as many contexts of the corpus."""
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                anchor, count = unpack(data, ["<u8", "<i8"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view("<i8")), pa.array(count)], names=["anchor", "n"])
+    counts = blocks.select("often").mapInArrow(tidy(run), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") > HOT_CONTEXTS).select("anchor").collect()
+    return np.sort(np.array([r["anchor"] for r in rows], np.int64).view(np.uint64))
+
+
+def _send(shards: int, hot: np.ndarray):
     """Blocks to (anchor, context, document) entries by shard, and the block's layout."""
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 ids, null, sizes = _head(r["head"])
                 off = np.concatenate([[0], np.cumsum(sizes)])
-                doc, _, windows, _, value, context = anchors(np.frombuffer(r["raw"], np.uint8), off)
-                shard = (value % np.uint64(shards)).astype(np.int64)
-                yield _row(shard=r["block"] % shards, block=r["block"], kind=LAYOUT, data=pack([windows.astype("u1"), shard.astype("<u4")]))
+                raw = np.frombuffer(r["raw"], np.uint8)
+                doc, windows, value, context = _divided(raw, anchors(raw, off), hot)
                 known = np.where(null.astype(bool), NO_ID, ids)
+                rep, least = _least(known[doc], value, context)
+                sent = rep == np.arange(len(rep))
+                again = np.flatnonzero(least & ~sent)       # the same document has the context again
+                shard = np.where(sent, (value % np.uint64(shards)).astype(np.int64), LOCAL)
+                yield _row(shard=r["block"] % shards, block=r["block"], kind=LAYOUT, data=pack([windows.astype("u1"), shard.astype("<u4"), again.astype("<u4"), rep[again].astype("<u4")]))
                 order = np.argsort(shard, kind="stable")
                 cut = np.searchsorted(shard[order], np.arange(shards + 1))
                 for s in np.flatnonzero(np.diff(cut)).tolist():
@@ -224,13 +299,15 @@ def _grouped(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "data")).alias("answers"))
 
 
-def _codes(answers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict]:
-    """(windows, code and shard of each context, number of each waiting one, answers by kind and shard)."""
+def _codes(answers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict, np.ndarray, np.ndarray]:
+    """(windows, code and shard of each context, number of each waiting one, answers by kind and shard,
+    contexts the same document has again, where it has them first)."""
     by = {(x["kind"], x["shard"]): x["data"] for x in answers if x["kind"] != LAYOUT}
-    windows, shard = unpack(next(x["data"] for x in answers if x["kind"] == LAYOUT), ["u1", "<u4"])
-    code, number = np.zeros(len(windows), np.uint8), np.zeros(len(windows), np.int64)
+    windows, shard, again, first = unpack(next(x["data"] for x in answers if x["kind"] == LAYOUT), ["u1", "<u4", "<u4", "<u4"])
+    code, number = np.full(len(windows), DROP, np.uint8), np.zeros(len(windows), np.int64)
     order = np.argsort(shard, kind="stable")
-    sides = np.flatnonzero(np.append(np.diff(shard[order].astype(np.int64)), 1)) + 1 if len(shard) else []
+    order = order[:np.count_nonzero(shard != LOCAL)]
+    sides = np.flatnonzero(np.append(np.diff(shard[order].astype(np.int64)), 1)) + 1 if len(order) else []
     at = 0
     for end in sides:
         mine = order[at:end]
@@ -238,7 +315,8 @@ def _codes(answers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dic
         code[mine] = got
         number[mine[got >= WAIT]] = numbers
         at = end
-    return windows.astype(np.int64), code, shard, number, by
+    code[again] = np.minimum(code[first], WAIT)
+    return windows.astype(np.int64), code, shard, number, by, again, first
 
 
 def _starts(windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -257,7 +335,7 @@ def _copies(batches):
         for r in batch.to_pylist():
             if not r["answers"]:
                 continue
-            windows, code, shard, number, _ = _codes(r["answers"])
+            windows, code, shard, number, *_ = _codes(r["answers"])
             want = np.flatnonzero(code == WAIT_AND_SEND)
             if not len(want):
                 continue
@@ -316,6 +394,25 @@ def classes(contexts: list[list[tuple[bytes, int]]]) -> list[list[np.ndarray]]:
     return np.split(out, np.cumsum(windows)[:-1])
 
 
+def _parts(groups: list[list[int]], text: list[bytes], place: list[int]):
+    """(context, first byte, end) lists whose windows are compared with one another, and
+    the symbols a sort takes for each: an anchor's contexts, or where these are more than
+    a sort holds, its windows by their place before the anchor and the hash of their bytes."""
+    for ns in groups:
+        size = sum(len(text[n]) for n in ns)
+        if size <= SORT_SYMBOLS:
+            yield [(n, 0, len(text[n])) for n in ns], size
+            continue
+        for before in range(SPREAD):
+            same: dict[int, list[tuple[int, int, int]]] = {}
+            for n in ns:
+                a = place[n] - before
+                if 0 <= a <= len(text[n]) - LENGTH:
+                    same.setdefault(zlib.crc32(text[n][a:a + LENGTH]), []).append((n, a, a + LENGTH))
+            for part in same.values():
+                yield part, 2 * len(part)                  # what all share is one symbol
+
+
 def _order(shard, rows):
     """Masks of the windows that go, for the waiting occurrences of each block."""
     info = next(r for r in rows if r["kind"] == CONTEXTS)
@@ -333,21 +430,25 @@ def _order(shard, rows):
     for n, (g, t, p) in enumerate(zip(group.tolist(), text, place)):
         by.setdefault((g, t[p:p + ANCHOR]), []).append(n)
     goes = np.zeros((len(group), SPREAD), np.int64)        # least document of each window's class
-    turn: list[list[int]] = []
+    turn: list[list[tuple[int, int, int]]] = []            # groups of contexts, or of parts of them
     total = 0
 
     def flush():
-        flatten = [n for ns in turn for n in ns]
-        found = classes([[(text[n], place[n]) for n in ns] for ns in turn])
+        flatten = [x for part in turn for x in part]
+        found = classes([[(text[n][a:b], place[n] - a) for n, a, b in part] for part in turn])
         size = np.array([len(f) for f in found])
-        every, owner = np.concatenate(found), np.repeat(least[flatten], size)
+        every, owner = np.concatenate(found), np.repeat(least[[n for n, _, _ in flatten]], size)
         best = np.full(int(every.max()) + 1, NO_ID, np.int64)
         np.minimum.at(best, every, owner)
-        for n, f in zip(flatten, found):
-            goes[n, :len(f)] = best[f]
-    for ns in by.values():
-        turn.append(ns)
-        total += sum(len(text[n]) for n in ns)
+        for (n, a, _), f in zip(flatten, found):
+            goes[n, a:a + len(f)] = best[f]
+    for part, symbols in _parts(list(by.values()), text, place):
+        if len(part) == 1:                                 # nothing to compare with
+            n, a, b = part[0]
+            goes[n, a:b - LENGTH + 1] = least[n]
+            continue
+        turn.append(part)
+        total += symbols
         if total >= SORT_SYMBOLS:
             flush()
             turn, total = [], 0
@@ -380,16 +481,19 @@ def _finish(batches):
             off = np.concatenate([[0], np.cumsum(sizes)])
             covered = np.zeros(len(raw) + 1, np.int32)
             if r["answers"]:
-                windows, code, shard, number, by = _codes(r["answers"])
+                windows, code, shard, number, by, again, rep = _codes(r["answers"])
                 goes = np.repeat(code == DROP, windows)
                 wait = np.flatnonzero(code >= WAIT)
                 if len(wait):
                     first = np.cumsum(windows) - windows
-                    wait = wait[np.argsort(shard[wait], kind="stable")]
-                    mask = np.concatenate([unpack(by[MASKS, int(s)], ["<u4"])[0] for s in np.unique(shard[wait])])
+                    mask = np.zeros(len(code), np.uint32)
+                    asked = wait[shard[wait] != LOCAL]
+                    asked = asked[np.argsort(shard[asked], kind="stable")]
+                    mask[asked] = np.concatenate([unpack(by[MASKS, int(s)], ["<u4"])[0] for s in np.unique(shard[asked])])
+                    mask[again] = mask[rep]
                     n = windows[wait]
                     bit = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    goes[ragged(first[wait], n)] = (np.repeat(mask, n) >> bit.astype(np.uint32)) & 1 == 1
+                    goes[ragged(first[wait], n)] = (np.repeat(mask[wait], n) >> bit.astype(np.uint32)) & 1 == 1
                 # windows to bytes
                 start = np.flatnonzero(goes)
                 per = np.maximum(sizes - LENGTH + 1, 0)
@@ -416,7 +520,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks, buckets = _block_table(text_rows(docs, id_col, text_col))
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    entries = blocks.select("block", "head", "raw").mapInArrow(tidy(_send(shards)), _ROWS)
+    entries = blocks.select("block", "head", "raw").mapInArrow(tidy(_send(shards, _hot_anchors(blocks))), _ROWS)
     decided = cut_lineage(entries.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(tidy(_by_shard(_decide, LAYOUT)), _ROWS), "repeats")
     codes = decided.where(F.col("kind").isin(LAYOUT, CODES))
     copies = blocks.select("block", "head", "raw").join(_grouped(codes, buckets), "block").select("head", "raw", "block", "answers").mapInArrow(tidy(_copies), _ROWS)

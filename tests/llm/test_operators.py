@@ -48,6 +48,46 @@ def test_repeated_bytes(docs, empty, monkeypatch, block, shard, sort):
     assert suffix_dedup.repeated_bytes(empty).collect() == []
 
 
+@pytest.mark.parametrize("hot,sort", [(20_000, 400), (10, 150_000), (10, 400)])
+def test_a_passage_after_different_texts_is_divided(spark, monkeypatch, hot, sort):
+    rng = np.random.default_rng(8)
+    foot = " ".join(f"foot{k}" for k in range(20))
+    rows = [(k if k % 9 else None, "".join(rng.choice(list("abcd "), rng.integers(1, 90))) + foot + "xyz"[:k % 4] + foot * (k % 5 == 0), "en", 0, "p", 0) for k in range(120)]
+    most = [0, 0]
+    sort_of, decide = suffix_dedup.suffix_array, suffix_dedup._decide
+
+    def sorted_(symbols):
+        most[0] = max(most[0], len(symbols))
+        return sort_of(symbols)
+
+    def decided(shard, held):
+        for r in held:
+            anchor = suffix_dedup._wide(suffix_dedup.unpack(r["data"], ["u1", "u1", "<u2", "<i8"])[0], 5)
+            most[1] = max(most[1], int(np.unique(anchor, return_counts=True)[1].max()))
+        return decide(shard, held)
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
+    monkeypatch.setattr(suffix_dedup, "SORT_SYMBOLS", sort)
+    assert collected(suffix_dedup.repeated_bytes(spark.createDataFrame(rows, R.SCHEMA).repartition(3))) == sorted(R.repeated(rows), key=KEY)
+    # the same steps in this process, to see what a task holds
+    monkeypatch.setattr(suffix_dedup, "suffix_array", sorted_)
+    raw = "".join(r[1] for r in rows).encode()
+    off = np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])])
+    anchor, count = suffix_dedup._often(np.frombuffer(raw, np.uint8), off)
+    hots = np.sort(anchor[count > hot])
+    assert len(hots) or hot > 10
+    block = {"block": 0, "raw": raw, "head": suffix_dedup.pack([np.arange(120, dtype="<i8"), np.zeros(120, "u1"), np.diff(off).astype("<i8")])}
+    import pyarrow as pa
+    sent = [r for b in suffix_dedup._send(1, hots)([pa.RecordBatch.from_pylist([block])]) for r in b.to_pylist()]
+    held = [r for b in decided(0, [r for r in sent if r["kind"] == suffix_dedup.CODES]) for r in b.to_pylist()]
+    assert most[1] <= (10 if hot == 10 else 200)
+    wait = [r for r in held if r["kind"] in (suffix_dedup.WAITING, suffix_dedup.CONTEXTS)]
+    lay = [r for r in sent if r["kind"] == suffix_dedup.LAYOUT] + [r for r in held if r["kind"] == suffix_dedup.CODES]
+    copies = [r for b in suffix_dedup._copies([pa.RecordBatch.from_pylist([block | {"answers": lay}])]) for r in b.to_pylist()]
+    if wait:
+        list(suffix_dedup._order(0, wait + copies))
+    assert most[0] <= 2 * sort + 200
+
+
 def test_quality_counts_and_verdicts(spark, docs, empty):
     labels = spark.createDataFrame([(k, 1, 0) for k in range(40)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     got = collected(quality.quality_rules(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))
