@@ -144,8 +144,10 @@ def choose(counts, rules: int, strata: int, risk: float, doubt: float) -> list[t
             good, bad = int(above[0, step]), int(above[1, step])
             if bad + good == 0 or steps[:, step].sum() == 0:
                 continue
-            if good > bad or good > risk / rules * above[0, 0]:
+            if good > risk / rules * above[0, 0]:
                 break                                     # stricter cutoffs lose more
+            if good > bad:
+                continue                                  # no candidate; a stricter cutoff may be one
             if n_good == 0 or tail(int(above[2, step]), n_good, risk / rules) > doubt / (rules * strata):
                 break
             best = step

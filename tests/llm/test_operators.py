@@ -109,6 +109,16 @@ def test_cutoffs_hold_their_risk():
     assert quality.tail(2, 10, 0.3) == pytest.approx(sum(math.comb(10, k) * 0.3 ** k * 0.7 ** (10 - k) for k in range(3)))
 
 
+def test_a_good_outlier_does_not_end_the_search():
+    import pandas as pd
+    names = ["rule", "step", "pick_good", "pick_bad", "hold_good", "hold_bad"]
+    rows = [("r", s, 100, 0, 100, 0) for s in range(10)] + [("r", s, 0, 30, 0, 30) for s in range(20, 30)]
+    assert quality.choose(pd.DataFrame([*rows, ("r", 250, 1, 0, 0, 0)], columns=names), 4, 3, 0.05, 0.05) == [("r", 20)]
+    # a failed risk bound or test still ends it
+    assert quality.choose(pd.DataFrame([*rows, ("r", 250, 50, 0, 0, 0)], columns=names), 4, 3, 0.05, 0.05) == []
+    assert quality.choose(pd.DataFrame([*rows, ("r", 250, 1, 2, 60, 0)], columns=names), 4, 3, 0.05, 0.05) == []
+
+
 def test_risk_is_kept_on_new_documents():
     import pandas as pd
     rng, lost = np.random.default_rng(5), 0
