@@ -32,7 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from parley.llm.binomial import tail
 from parley.llm.common import flat, map_batches, ragged, text_rows, tidy
@@ -103,16 +103,21 @@ def key_plan(threshold: int) -> list[tuple[int, ...]]:
     return out
 
 
+def _digests(sets: list[np.ndarray]) -> dict:
+    """n, d1, d2 of each set."""
+    with np.errstate(over="ignore"):
+        one = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
+        two = [int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
+    return {"n": pa.array([len(s) for s in sets], pa.int64()), "d1": pa.array(one, pa.int64()), "d2": pa.array(two, pa.int64())}
+
+
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, digest of the set, signature."""
     def make():
         def work(batch: pa.RecordBatch) -> dict:
             sets = shingles(batch)
-            with np.errstate(over="ignore"):
-                one = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-                two = [int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-                sig = [signature(s).tobytes() if len(s) else None for s in sets]
-            return {"doc_id": batch.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "d1": pa.array(one, pa.int64()), "d2": pa.array(two, pa.int64()), "sig": pa.array(sig, pa.binary())}
+            sig = [signature(s).tobytes() if len(s) else None for s in sets]
+            return {"doc_id": batch.column(0)} | _digests(sets) | {"sig": pa.array(sig, pa.binary())}
         return work
     return map_batches(text_rows(docs, id_col, text_col), "doc_id long, n long, d1 long, d2 long, sig binary", make)
 
@@ -217,8 +222,8 @@ def _exploded(batch: pa.RecordBatch) -> dict:
     return {"rep": batch.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "shingle": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept."""
+def _labelled(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """((doc_id, n, d1, d2) of each row, (d1, d2, rep, component) of each class)."""
     rows = text_rows(docs, id_col, text_col)
     found = cut_lineage(signed(docs, id_col, text_col), "signatures")
     whole = found.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
@@ -252,7 +257,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
         more = cut_lineage(_confirmed(cross, cut_lineage(_sets(rows, used), "sets"), percent), "links")
         if not more.isEmpty():
             comp = components(links.unionByName(more))
-    label = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("component"))
+    label = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "rep", F.coalesce("label", "rep").alias("component"))
+    return found.drop("sig"), label
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept."""
+    return _verdicts(*_labelled(docs, percent, id_col, text_col))
+
+
+def _verdicts(found: DataFrame, label: DataFrame) -> DataFrame:
     # every class of a set has one row here; documents without words have none
     out = found.join(label, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
@@ -260,8 +274,30 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
 
 def first_of_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: one of each group, and those without an id that stand alone."""
-    gone = near_duplicates(docs, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
-    gone = cut_lineage(gone, "gone")
-    small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs``, all columns, that stay: one of each group.
+
+    Rows whose doc_id is null or not theirs alone are judged one by one, by the
+    digest of their set: of a class that stays, one row does. Different texts of a
+    repeated doc_id that stays all stay, and so do rows without words."""
+    found, label = _labelled(docs, percent)
+    gone = _verdicts(found, label).where("not kept and doc_id is not null").select("doc_id").distinct()
+    several = cut_lineage(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "several")
+    gone = cut_lineage(gone.unionByName(several.where("doc_id is not null")).distinct(), "gone")
+    sent = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    alone = docs.join(sent(gone), "doc_id", "left_anti").select(docs.columns)
+    if several.isEmpty():
+        return alone
+    odd = docs.join(sent(several), docs["doc_id"].eqNullSafe(several["doc_id"]), "left_semi")
+    odd = odd.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("text"))
+
+    def make():
+        return lambda batch: {"row": batch.column(0), "id": batch.column(1)} | _digests(shingles(batch))
+    schema = T.StructType([odd.schema["row"], *(T.StructField(c, T.LongType()) for c in ("id", "n", "d1", "d2"))])
+    judged = map_batches(odd, schema, make)
+    judged = cut_lineage(judged, "repeated-ids")
+    stays = label.where("rep is null or rep = component")
+    # one row of a class, picked in each task before the shuffle
+    one = (judged.where("n > 0").join(stays, ["d1", "d2"]).where(F.col("id").eqNullSafe(F.col("rep")))
+           .groupBy("d1", "d2").agg(F.first("row").alias("row")).select("row.*"))
+    alone = alone.where("doc_id is not null")
+    return alone.unionByName(one).unionByName(judged.where("n = 0").select("row.*"))

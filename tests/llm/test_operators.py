@@ -224,6 +224,18 @@ def test_near_duplicates(docs, empty, monkeypatch, cap):
     assert {r["doc_id"] for r in stays.collect()} - {None} == set(least.values())
 
 
+def test_one_row_of_each_group_stays(spark):
+    text = lambda k: " ".join(f"w{k}.{j}" for j in range(40))
+    rows = [(1, text(1)), (None, text(1)), (None, text(1)), (2, text(2)), (2, text(2)), (None, text(3)), (None, text(3)),
+            (4, text(4)), (5, text(4)), (5, text(4)), (6, text(6)), (6, text(7)), (None, None), (None, ""), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", k, "p", -1) for k, (i, t) in enumerate(rows)], R.SCHEMA).repartition(4)
+    stays = hamming_dedup.first_of_groups(docs)
+    assert stays.columns == docs.columns
+    got = sorted([(r["doc_id"], r["text"]) for r in stays.collect()], key=lambda r: (r[0] or 0, r[1] or ""))
+    want = [(1, text(1)), (2, text(2)), (None, text(3)), (4, text(4)), (6, text(6)), (6, text(7)), (None, None), (None, ""), (8, ""), (8, "")]
+    assert got == sorted(want, key=lambda r: (r[0] or 0, r[1] or ""))
+
+
 def test_hamming_keys_meet_every_pair_within_the_threshold():
     t = hamming_dedup.distance_threshold()
     plan, rng = hamming_dedup.key_plan(t), np.random.default_rng(4)
