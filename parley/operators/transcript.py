@@ -41,7 +41,9 @@ def current_epoch(numbered: DataFrame, events: DataFrame) -> DataFrame:
     """The numbered turns since their conversation's last clear event; a clear
     with nothing after it leaves none. Only (conv_id, count) is joined."""
     last = events.groupBy("conv_id").agg(F.sum((F.col("kind") == "clear").cast("long")).alias("epoch"))
-    return numbered.select("conv_id", "turn", "epoch", "turn_no").join(last, ["conv_id", "epoch"], "left_semi")
+    last = last.select(F.col("conv_id").alias("_conv"), F.col("epoch").alias("_epoch"))
+    return (numbered.select("conv_id", "turn", "epoch", "turn_no")
+            .join(last, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("epoch") == F.col("_epoch")), "left_semi"))
 
 
 def transcript(processed: DataFrame, events: DataFrame) -> DataFrame:

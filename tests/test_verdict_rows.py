@@ -93,3 +93,13 @@ def test_views_show_the_current_epoch_alone(spark):
     got = sorted((r["conv_id"], r["epoch"], r["turn_no"], r["own"]) for r in tr.select("*", own.alias("own")).collect())
     assert got == [(1, 1, 1, "b"), (1, 1, 2, "c"), (3, 0, 1, "e")]
     assert transcript.panel_history(tr).count() == 6
+
+
+def test_null_conversations_and_turns_are_numbered(spark):
+    rows = [(None, 1, "user", "a"), (None, 2, "system", "s"), (None, 5000, "user", "b"), (None, 5001, "user", "c"),
+            (7, 1, "user", "a"), (7, 9000, "user", "b"), (7, None, "user", "c")]
+    events = transcript.chat_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    numbered = transcript.number_turns(events)
+    got = {tuple(r) for r in numbered.collect()}
+    assert got == {(None, 1, 0, 1), (None, 5000, 1, 1), (None, 5001, 1, 2), (7, 1, 0, 1), (7, 9000, 0, 2), (7, None, 0, 3)}
+    assert {tuple(r) for r in transcript.current_epoch(numbered, events).collect()} == got - {(None, 1, 0, 1)}
