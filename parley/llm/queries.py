@@ -69,6 +69,11 @@ def q_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def q_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.merkle_manifest import verification
+    return verification(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_repeated_bytes": q_repeated_bytes,
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": q_toxicity,
         "op9_personal_data": q_personal_data,
         "op10_decontaminate": q_decontaminate,
+        "op11_merkle_manifest": q_manifest,
     }
 
 
