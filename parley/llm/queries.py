@@ -74,6 +74,16 @@ def q_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verification(table(spark, sf_dir, "documents"))
 
 
+def q_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.phrase_mining import collocations
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def q_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.warc_bundles import warc_records
+    return warc_records(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_repeated_bytes": q_repeated_bytes,
@@ -87,8 +97,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_personal_data": q_personal_data,
         "op10_decontaminate": q_decontaminate,
         "op11_merkle_manifest": q_manifest,
+        "op12_collocations": q_collocations,
+        "op13_warc_bundles": q_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from parley.llm import oracle
+    return oracle.oracle_sql()
