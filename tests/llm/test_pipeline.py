@@ -18,7 +18,7 @@ def test_pipeline_equals_brute_force(spark):
     docs = {i: t for i, t in rows if counts[i][0] >= 50 and 100 * counts[i][4] <= 50 * counts[i][0]}
     found = quality.quality_rules(table(spark, SF_SMALL, "documents"), table(spark, SF_SMALL, "labels"))
     docs = {i: docs[i] for i in docs if i in {r["doc_id"] for r in found.where("kept").collect()}}
-    least = R.groups(list(docs.items()))
+    least = R.groups(list(docs.items()), corpus_pipeline.NEAR_PERCENT)
     docs = {i: t for i, t in docs.items() if least[i] == i}
     hit = R.contaminated(list(docs.values()), items)
     docs = {i: t for (i, t), (_, n, _) in zip(docs.items(), hit) if not n}
