@@ -37,8 +37,8 @@ from parley.plans.sizing import broadcast_if_small
 from parley.session import cut_lineage
 
 WORDS = 4
-BLOCK_BYTES = 8 << 20
-SHARD_TOKENS = 1 << 19
+BLOCK_BYTES = 12 << 20
+SHARD_TOKENS = 1 << 20
 #: Words with more occurrences than this, and than a millionth of all, are hot: their
 #: number is below a million whatever the input.
 HOT_TOKENS, HOT_WORDS = 1 << 18, 1_000_000
@@ -51,7 +51,8 @@ PIECE[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 BREAK = PIECE.copy()
 BREAK[[0x20, 0x09]] = True
 END = -1
-BLOB = ["<u4", "u1", "<u4", "<u8"]
+MAX_PARTS = 20_000
+BLOB = ["u1", "u1", "<u2", "u1", "<u4", "<u8"]
 
 
 def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -113,12 +114,12 @@ def _hashes(symbols: list[bytes]) -> np.ndarray:
 
 def suffixes(number: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct suffixes (rows of up to ``WORDS`` numbers, then END) in order, and counts."""
-    rows = np.full((len(number), WORDS), END, np.int64)
+    rows = np.full((len(number), WORDS), END, np.int32)
     for k in range(WORDS):
         m = len(number) - k
         if m > 0:
             rows[:m, k] = np.where(piece[k:] == piece[:m], number[k:], END)
-    keys = [rows[:, k] + 1 << 32 | rows[:, k + 1] + 1 for k in range(0, WORDS, 2)]
+    keys = [(rows[:, k].astype(np.int64) + 1) << 32 | (rows[:, k + 1] + 1) for k in range(0, WORDS, 2)]
     order = np.lexsort(keys[::-1])
     rows = rows[order]
     new = np.ones(len(rows), bool)
@@ -184,17 +185,34 @@ def quicksort(symbols: np.ndarray, weight: np.ndarray, least: int, hot_from: int
         depth = np.concatenate([depth[aside[0]], depth[deeper] + 1, depth[aside[1]]])
 
 
+def _packed(rows: np.ndarray, counts: np.ndarray, symbols: list[bytes]) -> bytes:
+    """Suffixes with the symbols they use. Places in these lie column by column, their
+    low and high bytes apart, as sorted columns pack well; counts of 1 are left out."""
+    used, local = np.unique(rows, return_inverse=True)
+    own = [symbols[u] for u in used[int(used[0] == END):].tolist()]
+    local = (local.reshape(rows.shape).T + int(used[0] != END)).astype("<u4")
+    often = np.flatnonzero(counts > 1)
+    return pack([np.frombuffer(b"\n".join(x.replace(b"\\", b"\\b").replace(b"\n", b"\\n") for x in own), np.uint8), (local & 255).astype("u1"),
+                 (local >> 8 & 65535).astype("<u2"), (local >> 24).astype("u1"), often.astype("<u4"), counts[often].astype("<u8")])
+
+
+def _unpacked(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(symbols, rows of places in them from 1 on, 0 for END; counts) of a blob."""
+    own, low, middle, high, often, many = unpack(blob, BLOB)
+    names = [x.replace(b"\\n", b"\n").replace(b"\\b", b"\\") for x in own.tobytes().split(b"\n")]
+    rows = (low | middle.astype(np.int64) << 8 | high.astype(np.int64) << 24).reshape(WORDS, -1).T
+    counts = np.ones(len(rows))
+    counts[often] = many
+    return names, rows, counts
+
+
 def _blobs(rows: np.ndarray, counts: np.ndarray, shard: np.ndarray, symbols: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """(shard, its suffixes with the symbols they use)."""
+    """(shard, its suffixes)."""
     order = np.argsort(shard, kind="stable")
     rows, counts, shard = rows[order], counts[order], shard[order]
     cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        used, local = np.unique(rows[a:b], return_inverse=True)
-        skip = int(used[0] == END)
-        own = [symbols[u] for u in used[skip:].tolist()]
-        yield int(shard[a]), pack([np.fromiter(map(len, own), "<u4", len(own)), np.frombuffer(b"".join(own), np.uint8),
-                                   (local.reshape(-1) + (1 - skip)).astype("<u4"), counts[a:b].astype("<u8")])
+        yield int(shard[a]), _packed(rows[a:b], counts[a:b], symbols)
 
 
 def phrase_counts(docs: DataFrame, total: int, hot: np.ndarray, least: int) -> DataFrame:
@@ -222,18 +240,18 @@ def phrase_counts(docs: DataFrame, total: int, hot: np.ndarray, least: int) -> D
                 yield _batch(held)
 
     def count(table: pa.Table) -> pa.Table:
-        parts = [unpack(x, BLOB) for x in table.column("data").to_pylist()]
-        coded = _binary(np.concatenate([p[1] for p in parts]), np.concatenate([p[0] for p in parts])).dictionary_encode()
+        parts = [_unpacked(x) for x in table.column("data").to_pylist()]
+        coded = pa.array([x for p in parts for x in p[0]], pa.large_binary()).dictionary_encode()
         names = coded.dictionary.to_pylist()
         warm = np.isin(_hashes(names), shared.value)
         place = np.empty(len(names), np.int64)              # hot symbols get the last numbers
         place[np.argsort(warm, kind="stable")] = np.arange(len(names))
         code, at, numbers = place[coded.indices.to_numpy()], 0, []
-        for p in parts:
-            mine = np.concatenate([[END], code[at:at + len(p[0])]])
-            at += len(p[0])
-            numbers.append(mine[p[2]])
-        symbols, weight = np.concatenate(numbers), np.concatenate([p[3] for p in parts]).astype(np.float64)
+        for own, rows, _ in parts:
+            mine = np.concatenate([[END], code[at:at + len(own)]])
+            at += len(own)
+            numbers.append(mine[rows].reshape(-1))
+        symbols, weight = np.concatenate(numbers), np.concatenate([p[2] for p in parts])
         named = dict(zip(place.tolist(), names))
         lang, phrase, sizes, f = [], [], [], []
         for first, weights, size in quicksort(symbols, weight, least, len(names) - int(warm.sum())):
@@ -246,7 +264,7 @@ def phrase_counts(docs: DataFrame, total: int, hot: np.ndarray, least: int) -> D
         return pa.table({"lang": pa.array(lang, pa.string()), "phrase": pa.array(phrase, pa.string()),
                          "size": pa.array(sizes, pa.int32()), "f": pa.array(f, pa.int64())})
     sent = _rows(docs).mapInArrow(tidy(send), "shard long, data binary")
-    counted = sent.groupBy("shard").applyInArrow(count, "lang string, phrase string, size int, f long")
+    counted = sent.repartition(min(shards, MAX_PARTS), "shard").groupBy("shard").applyInArrow(count, "lang string, phrase string, size int, f long")
     return counted.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
