@@ -2,27 +2,25 @@
 
 Two equivalent ways to score:
 
-* table form — explode terms, broadcast-join the weight table ``(term, idf,
-  coef)`` (bounded by the vocabulary size), sum per text. Oracle-checkable,
-  works for any weight table.
-* model form — a ``PipelineModel`` (SQL tokeniser -> CountVectorizerModel ->
-  IDF scaling -> L2 Normalizer -> LinearSVC). Map-only, so it also runs inside
-  a plain streaming query.
-
-Training fits vocabulary and IDF with aggregations, then ``LinearSVC`` with
-balanced class weights.
+* model form — a ``PipelineModel`` (SQL tokeniser -> CountVectorizerModel -> IDF
+  scaling -> L2 Normalizer -> linear model). Map-only: every row is scored from its own
+  terms, whatever its keys, so it also runs inside a plain streaming query.
+* table form — explode terms, join the weight table ``(term, idf, coef)``, sum per row;
+  for weight tables of any size.
+
+Training fits vocabulary and IDF with aggregations, then a squared-hinge SVM with
+balanced class weights and a penalised intercept (``parley.operators.svm``).
 """
 
 from __future__ import annotations
 
-import math
 import os
+import uuid
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LinearSVC
+from pyspark.ml.classification import LinearSVCModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -32,8 +30,10 @@ from pyspark.errors import AnalysisException
 
 from parley.functions import fixed_values as fv
 from parley.functions.text import confidence, is_positive
-from parley.operators import features
+from parley.operators import features, svm
 from parley.operators.corpus import class_weights
+from parley.plans.sizing import DEFAULT_BROADCAST_ROWS
+from parley.session import cut_lineage
 
 # Same tokeniser as ``parley.functions.text.terms``, as SQL for SQLTransformer.
 TERMS_SQL = (
@@ -44,10 +44,6 @@ TERMS_SQL = (
 )
 
 
-# Bytes per partition of the cached feature set.
-TRAIN_BYTES_PER_PARTITION = 64 << 20
-
-
 @dataclass
 class LinearTextModel:
     """Weight table ``(term, idf, coef)`` plus intercept; ``n_terms`` bounds the
@@ -56,63 +52,75 @@ class LinearTextModel:
     intercept: float
     n_terms: int
 
+    def pipeline(self) -> PipelineModel:
+        """The model form; at most ``n_terms`` rows of weights reach the driver."""
+        if not hasattr(self, "_pipeline"):
+            if self.n_terms > DEFAULT_BROADCAST_ROWS:
+                raise ValueError(f"{self.n_terms} terms don't fit one vector; use margins_joined")
+            w = self.weights.select("term", "idf", "coef").orderBy("term").collect()
+            self._pipeline = pipeline_of([r["term"] for r in w], [r["idf"] for r in w], [r["coef"] for r in w], self.intercept)
+        return self._pipeline
+
 
 def demo_model(spark: SparkSession) -> LinearTextModel:
     w = spark.createDataFrame(fv.DEMO_WEIGHTS, "term string, idf double, coef double")
     return LinearTextModel(w, fv.DEMO_INTERCEPT, len(fv.DEMO_WEIGHTS))
 
 
-def _sums(df: DataFrame, id_cols: list[str], model: LinearTextModel, text_col: str) -> DataFrame:
-    tc = features.term_counts(df, id_cols, text_col, model.weights, model.n_terms)
-    x = F.col("tf") * F.col("idf")
-    return tc.groupBy(*id_cols).agg(F.sum(x * F.col("coef")).alias("_dot"),
-                                    F.sum(x * x).alias("_sq"))
-
-
-def _margin(model: LinearTextModel):
-    return (F.coalesce(F.col("_dot") / F.sqrt(F.col("_sq")), F.lit(0.0))
-            + F.lit(float(model.intercept)))
-
-
-def score(df: DataFrame, id_cols: list[str], model: LinearTextModel,
-          text_col: str = "text", out: str = "margin") -> DataFrame:
-    """Append the signed margin ``sum(tf*idf*coef)/||tf*idf|| + b`` to every row
-    (norm over in-vocabulary terms; no known term -> margin = b).
-
-    Terms are counted per (row, term) map-side, so only in-vocabulary pair
-    counts and one partial sum per row are shuffled; the rows themselves cross
-    the network once, for the join back on their key. (Hash-partitioning the
-    rows first and reusing that partitioning would shuffle the text twice:
-    column pruning gives the two join sides different columns, so the
-    exchange cannot be reused.)"""
-    return (df.join(_sums(df, id_cols, model, text_col), id_cols, "left")
-            .withColumn(out, _margin(model)).drop("_dot", "_sq"))
+def score(df: DataFrame, model: LinearTextModel, text_col: str = "text", out: str = "margin") -> DataFrame:
+    """Append the signed margin ``sum(tf*idf*coef)/||tf*idf|| + b`` to every row (norm
+    over in-vocabulary terms; no known term, also no text -> margin = b). Map-only."""
+    row = df.select(F.struct("*").alias("_row"), F.col(text_col).alias("text"))
+    raw = vector_to_array(F.col("raw"))[1]
+    return model.pipeline().transform(row).select("_row.*", raw.alias(out))
 
 
 def margins(df: DataFrame, id_cols: list[str], model: LinearTextModel,
             text_col: str = "text", out: str = "margin") -> DataFrame:
-    """``ids, margin`` only. No exchange of the text: terms are counted per
-    (text, term) map-side, so only in-vocabulary pair counts and one partial
-    sum per text cross the network; the ids join back for texts without any
-    known term."""
-    ids = df.select(*id_cols)
-    return (ids.join(_sums(df, id_cols, model, text_col), id_cols, "left")
-            .select(*id_cols, _margin(model).alias(out)))
+    """``ids, margin`` of every row."""
+    return score(df.select(*id_cols, F.col(text_col).alias("_text")), model, "_text", out).drop("_text")
+
+
+def margins_joined(df: DataFrame, id_cols: list[str], model: LinearTextModel,
+                   text_col: str = "text", out: str = "margin") -> DataFrame:
+    """The same by a join of the terms with the weight table, for tables beyond one
+    vector. Rows get a number in a written table (ids may repeat or be null); only
+    in-vocabulary pair counts and one sum per row are shuffled."""
+    rows = cut_lineage(df.select(*id_cols, F.col(text_col).alias("_text"))
+                       .withColumn("_row", F.monotonically_increasing_id()), "scored-rows")
+    tc = features.term_counts(rows, ["_row"], "_text", model.weights, model.n_terms)
+    x = F.col("tf") * F.col("idf")
+    sums = tc.groupBy("_row").agg(F.sum(x * F.col("coef")).alias("_dot"), F.sum(x * x).alias("_sq"))
+    margin = F.coalesce(F.col("_dot") / F.sqrt(F.col("_sq")), F.lit(0.0)) + F.lit(float(model.intercept))
+    return rows.drop("_text").join(sums, "_row", "left").select(*id_cols, margin.alias(out))
 
 
-def classify(df: DataFrame, id_cols: list[str], model: LinearTextModel,
-             text_col: str = "text") -> DataFrame:
+def classify(df: DataFrame, model: LinearTextModel, text_col: str = "text") -> DataFrame:
     """Margin, predicted label (margin > 0) and confidence in [0.5, 1]."""
-    s = score(df, id_cols, model, text_col)
+    s = score(df, model, text_col)
     return s.withColumn("medical", is_positive(F.col("margin"))).withColumn(
         "confidence", confidence(F.col("margin")))
 
 
+def linear_stage(coefs: list[float], intercept: float) -> LinearSVCModel:
+    """The linear model of given coefficients as a pipeline stage."""
+    spark = SparkSession.active()
+    made = spark._jvm.org.apache.spark.ml.classification.LinearSVCModel(
+        f"linear_{uuid.uuid4().hex[:12]}", _py2java(spark.sparkContext, Vectors.dense(coefs)), float(intercept))
+    return (LinearSVCModel(made).setFeaturesCol("features").setRawPredictionCol("raw").setPredictionCol("pred_d"))
+
+
+def pipeline_of(vocab: list[str], idf: list[float], coefs: list[float], intercept: float) -> PipelineModel:
+    # a vectorizer needs one term at least; no text has this one
+    vocab, idf, coefs = (vocab, idf, coefs) if vocab else ([""], [1.0], [0.0])
+    return PipelineModel(stages=feature_stages(vocab, idf) + [linear_stage(coefs, intercept)])
+
+
 # -- training ---------------------------------------------------------------
 
 def feature_stages(vocab: list[str], idf: list[float], text_col: str = "text") -> list:
     return [
-        SQLTransformer(statement=f"SELECT *, {TERMS_SQL.format(col=text_col)} AS terms FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, {TERMS_SQL.format(col=f"coalesce({text_col}, '')")} AS terms FROM __THIS__"),
         CountVectorizerModel.from_vocabulary(vocab, inputCol="terms", outputCol="tf"),
         ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="tfidf"),
         Normalizer(p=2.0, inputCol="tfidf", outputCol="features"),
@@ -122,37 +130,20 @@ def feature_stages(vocab: list[str], idf: list[float], text_col: str = "text") -
 def train_svm(train: DataFrame, max_features: int = features.MAX_FEATURES,
               max_iter: int = 2000, tol: float = 1e-4, text_col: str = "text",
               label: str = "label"):
-    """Fit vocabulary + IDF on ``train`` and a linear SVM with balanced class
-    weights ``N/(k*n_c)`` and ``regParam = 1/N`` (C = 1 with weights summing to
-    N), stopping at ``tol`` = 1e-4 (the classic LinearSVC default). Returns
+    """Fit vocabulary + IDF on ``train`` and a squared-hinge SVM with C = 1 times the
+    balanced class weights ``N/(k*n_c)`` and a penalised intercept. Returns
     ``(PipelineModel, LinearTextModel)``."""
     spark = train.sparkSession
     n = train.count()
     vocab, idf = features.fit_vocabulary(train, max_features, text_col, n_docs=n)
     # Two rows (one per class): broadcast is bounded by the number of labels.
     weights = F.broadcast(class_weights(train).select(label, "weight"))
-    stages = feature_stages(vocab, idf, text_col)
-    feats = (PipelineModel(stages=stages)
-             .transform(train.join(weights, label).withColumn("label_d", F.col(label).cast("double")))
-             .select("features", "label_d", "weight"))
-    # Features are made at the scan's parallelism. The optimiser then runs one
-    # pass per iteration over the cached set, joined by its bytes into fewer
-    # partitions, so small sets don't pay per-task overhead hundreds of times.
-    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        feats.count()
-        size = int(str(feats._jdf.queryExecution().withCachedData().stats().sizeInBytes()))
-        cached = feats.coalesce(max(1, math.ceil(size / TRAIN_BYTES_PER_PARTITION)))
-        svc = LinearSVC(featuresCol="features", labelCol="label_d", weightCol="weight",
-                        maxIter=max_iter, tol=tol, regParam=1.0 / max(n, 1),
-                        standardization=False, rawPredictionCol="raw", predictionCol="pred_d")
-        svm = svc.fit(cached)
-    finally:
-        feats.unpersist()
-    pipeline_model = PipelineModel(stages=stages + [svm])
-    coefs = svm.coefficients.toArray().tolist()
-    table = spark.createDataFrame(list(zip(vocab, idf, coefs)), "term string, idf double, coef double")
-    return pipeline_model, LinearTextModel(table, float(svm.intercept), len(vocab))
+    table = svm.blocks(train.join(weights, label), vocab, idf, text_col, label)
+    coefs, intercept, _ = svm.fit(table, len(vocab), max_iter, tol)
+    coefs = coefs.tolist()
+    weights = spark.createDataFrame(list(zip(vocab, idf, coefs)), "term string, idf double, coef double")
+    model = LinearTextModel(weights, intercept, len(vocab))
+    return pipeline_of(vocab, idf, coefs, intercept), model
 
 
 def predict(pipeline_model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -69,17 +69,12 @@ def gate(df: DataFrame) -> DataFrame:
     return df.withColumn("gated", F.coalesce(F.col("src_lang") == F.lit(EN), F.lit(False)))
 
 
-def classify_gated(reqs: DataFrame, model: classifier.LinearTextModel,
-                   id_cols=("conv_id", "turn")) -> DataFrame:
-    """Score only gated rows (the filter sits before the scoring exchange);
-    other rows carry null margin / medical / confidence."""
+def classify_gated(reqs: DataFrame, model: classifier.LinearTextModel) -> DataFrame:
+    """Score the gated rows; other rows carry null margin / medical / confidence.
+    One map over all rows, so no row depends on its keys."""
     g = gate(reqs)
-    scored = classifier.classify(g.where(F.col("gated")), list(id_cols), model)
-    rest = (g.where(~F.col("gated"))
-            .withColumn("margin", F.lit(None).cast("double"))
-            .withColumn("medical", F.lit(None).cast("boolean"))
-            .withColumn("confidence", F.lit(None).cast("double")))
-    return scored.unionByName(rest)
+    scored = classifier.classify(g.withColumn("_gated_text", F.when(F.col("gated"), F.col("text"))), model, "_gated_text")
+    return scored.select(*g.columns, *[F.when(F.col("gated"), F.col(c)).alias(c) for c in ("margin", "medical", "confidence")])
 
 
 def apply_simplify(df: DataFrame, mode: str = "local") -> DataFrame:
@@ -151,7 +146,7 @@ def process_turns(reqs: DataFrame, model: classifier.LinearTextModel,
     for backend in [infer.resolve_simplify(m) for m in s_modes] + [infer.resolve_translate(m) for m in t_modes]:
         if isinstance(backend, infer.Backend):
             backend.check()
-    df = classify_gated(reqs, model, id_cols)
+    df = classify_gated(reqs, model)
     df = _per_mode(df, s_modes, infer.simplify_backend_name(F.col("simplify_mode")), apply_simplify)
     df = _per_mode(df, t_modes, infer.translate_backend_name(F.col("translate_mode")), apply_translate)
     return df.select(*id_cols, *[c for c in ("speaker",) if c in df.columns],

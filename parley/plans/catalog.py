@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from parley.functions import fixed_values as fv
 from parley.functions import text as tx
 from parley.operators import (audit, classifier, corpus, evaluate, features, infer, langs,
-                              rewrite, route, sampling, transcript, translate)
+                              rewrite, route, sampling, svm, transcript, translate)
 from parley.session import cut_lineage
 from parley.sources import tables
 
@@ -45,7 +45,7 @@ def _processed(spark, sf) -> DataFrame:
 
 def _demo_predictions(spark, sf) -> DataFrame:
     test = _split(spark, sf).where(F.col("split") == "test")
-    s = classifier.classify(test, ["source", "id"], classifier.demo_model(spark))
+    s = classifier.classify(test, classifier.demo_model(spark))
     return s.withColumn("prediction", F.col("medical").cast("int"))
 
 
@@ -168,7 +168,7 @@ def q_svm_score(spark, sf):
 
 def q_classify_turns(spark, sf):
     reqs = route.gate(_requests(spark, sf)).where(F.col("gated"))
-    c = classifier.classify(reqs, ["conv_id", "turn"], classifier.demo_model(spark))
+    c = classifier.classify(reqs, classifier.demo_model(spark))
     return c.select("conv_id", "turn", _r("margin"), "medical", _r("confidence"))
 
 
@@ -205,7 +205,7 @@ def q_svm_train_eval(spark, sf):
     pm2, table2 = classifier.load_model(spark, path)
     preds = cut_lineage(classifier.predict(pm2, test).select("source", "id", "label", "prediction", "margin"))
     keys = ["source", "id"]
-    by_table = classifier.margins(test, keys, table2).withColumnRenamed("margin", "by_table")
+    by_table = classifier.margins_joined(test, keys, table2).withColumnRenamed("margin", "by_table")
     same = (preds.join(by_table, keys).agg(
         F.coalesce(F.max(F.abs(F.col("margin") - F.col("by_table"))) < 1e-6, F.lit(True)).alias("paths_agree")))
     m = evaluate.eval_metrics(preds).select(
@@ -215,6 +215,18 @@ def q_svm_train_eval(spark, sf):
     return m.crossJoin(F.broadcast(same)).select(*fit, "*")      # two one-row tables
 
 
+def q_svm_gradient(spark, sf):
+    """The solver's first pass over the training split: per vocabulary term the loss's
+    gradient and the Hessian's diagonal where all weights are 0."""
+    train = cut_lineage(_train(spark, sf))
+    vocab, idf = features.fit_vocabulary(train, n_docs=train.count())
+    weights = F.broadcast(corpus.class_weights(train).select("label", "weight"))     # a row for each class
+    gradient, diagonal = svm.first_pass(svm.blocks(train.join(weights, "label"), vocab, idf), len(vocab))
+    rows = zip(vocab, gradient.tolist(), diagonal.tolist())
+    return spark.createDataFrame(list(rows), "term string, gradient double, curvature double").select(
+        "term", _r("gradient"), _r("curvature"))
+
+
 # -- 2.2 / 2.3 routing -----------------------------------------------------------
 
 def q_direction_gate(spark, sf):
@@ -416,7 +428,7 @@ def q_stream_score_turns(spark, sf):
     pm, table = _trained_model(spark, sf)
     out = turns.run_to_table(turns.score_stream(turns.read_stream(spark, sf), pm), spark, "score")
     keys = ["conv_id", "turn"]
-    batch = classifier.margins(tables.conversations(spark, sf).where(F.col("role") == "assistant"), keys, table)
+    batch = classifier.margins_joined(tables.conversations(spark, sf).where(F.col("role") == "assistant"), keys, table)
     out = out.join(batch.withColumnRenamed("margin", "by_batch"), keys, "left")
     return out.select(*keys, F.coalesce(F.abs(F.col("margin") - F.col("by_batch")) < 1e-6, F.lit(False)).alias("as_batch"),
                       (F.col("medical") == (F.col("margin") > 0)).alias("label_is_sign"),
@@ -459,6 +471,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "eval_metrics": q_eval_metrics,
         "confusion": q_confusion,
         "misclassified": q_misclassified,
+        "svm_gradient": q_svm_gradient,
         "svm_train_eval": q_svm_train_eval,
         # routing
         "direction_gate": q_direction_gate,

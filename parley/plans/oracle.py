@@ -304,6 +304,15 @@ te_c AS (SELECT source, id, te_t.term, count(*) * any_value(idf.idf) AS x
          FROM te_t JOIN idf ON te_t.term = idf.term GROUP BY ALL),
 te_n AS (SELECT source, id, sqrt(sum(x * x)) AS norm FROM te_c GROUP BY ALL)
 SELECT source, id, term, round(x / norm, 6) AS weight FROM te_c JOIN te_n USING (source, id)"""
+    s["svm_gradient"] = f"""WITH {C}, {S},
+tr_r AS (SELECT row_number() OVER () AS r, label, {tokens('text')} AS u FROM tr),
+tr_x AS (SELECT r, label, o.term, count(*) * any_value(idf.idf) AS x
+         FROM (SELECT r, label, unnest({with_bigrams('u')}) AS term FROM tr_r) o JOIN idf ON o.term = idf.term GROUP BY ALL),
+tr_n AS (SELECT r, sqrt(sum(x * x)) AS norm FROM tr_x GROUP BY r),
+cost AS (SELECT label, sum(n_class) OVER () / (count(*) OVER () * n_class) AS c
+         FROM (SELECT label, count(*) AS n_class FROM tr GROUP BY label))
+SELECT term, round(sum(-2 * c * (2 * label - 1) * x / norm), 6) AS gradient, round(1 + sum(2 * c * x * x / (norm * norm)), 6) AS curvature
+FROM tr_x JOIN tr_n USING (r) JOIN cost USING (label) GROUP BY term"""
     s["svm_score"] = f"""WITH {weights_cte()}, {score_ctes('documents', 'doc_id')}
 SELECT doc_id, {R6('margin')} FROM scored"""
     s["classify_turns"] = f"""WITH {langs_cte()}, {weights_cte()}, {requests_cte()},

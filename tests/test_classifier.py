@@ -18,7 +18,7 @@ DEMO = [
 
 def test_demo_sentences(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(DEMO)], "id long, text string")
-    got = rows(classifier.classify(df, ["id"], classifier.demo_model(spark)), "id", "medical", "confidence")
+    got = rows(classifier.classify(df, classifier.demo_model(spark)), "id", "medical", "confidence")
     assert [m for _, m, _ in got] == [e for _, e in DEMO]
     assert all(0.5 <= c <= 1.0 for _, _, c in got)
 
@@ -26,9 +26,10 @@ def test_demo_sentences(spark):
 def test_unknown_terms_give_intercept(spark):
     m = classifier.demo_model(spark)
     df = spark.createDataFrame([(1, "zzz qqq"), (2, "")], "id long, text string")
-    got = rows(classifier.score(df, ["id"], m), "id", "margin")
+    got = rows(classifier.score(df, m), "id", "margin")
     assert got == [(1, m.intercept), (2, m.intercept)]
     assert rows(classifier.margins(df, ["id"], m), "id", "margin") == got
+    assert rows(classifier.margins_joined(df, ["id"], m), "id", "margin") == got
 
 
 def test_margin_formula_by_hand(spark):
@@ -37,7 +38,7 @@ def test_margin_formula_by_hand(spark):
     df = spark.createDataFrame([(1, "pain pain movie other")], "id long, text string")
     x_pain, x_movie = 2 * 2.0, 1 * 3.0
     want = (x_pain * 1.5 + x_movie * -1.0) / math.sqrt(x_pain ** 2 + x_movie ** 2) + 0.1
-    assert math.isclose(classifier.score(df, ["id"], m).first()["margin"], want)
+    assert math.isclose(classifier.score(df, m).first()["margin"], want)
 
 
 def _separable(spark, n=40):
@@ -54,7 +55,7 @@ def test_train_sql_and_model_paths_agree(spark, tmp_path):
     preds = classifier.predict(pm, train)
     m = evaluate.eval_metrics(preds).first()
     assert m["accuracy"] == 1.0 and m["macro_f1"] == 1.0
-    sql = classifier.score(train, ["source", "id"], table).select("source", "id", F.col("margin").alias("m1"))
+    sql = classifier.margins_joined(train, ["source", "id"], table).select("source", "id", F.col("margin").alias("m1"))
     both = sql.join(preds.select("source", "id", F.col("margin").alias("m2")), ["source", "id"])
     diff = both.select(F.max(F.abs(F.col("m1") - F.col("m2")))).first()[0]
     assert diff < 1e-9
