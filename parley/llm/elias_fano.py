@@ -63,8 +63,9 @@ class EliasFano:
         high = np.searchsorted(self.first(), at, "right") - 1
         return high.astype(np.uint64) << np.uint64(self.low_bits) | self.low_of(at)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of each value, by its successor in its bucket; -1 where it is not in the sequence."""
+    def find(self, values: np.ndarray, start: np.ndarray | None = None, stop: np.ndarray | None = None) -> np.ndarray:
+        """Index of each value, by its successor in its bucket, from ``start`` to before
+        ``stop`` where these are given; -1 where it is not there."""
         values = values.astype(np.uint64)
         out = np.full(len(values), -1, np.int64)
         bucket = (values >> np.uint64(self.low_bits)).astype(np.int64)
@@ -72,6 +73,8 @@ class EliasFano:
         first = self.first()
         at = np.where(inside, first[np.minimum(bucket, self.buckets - 1)], 0)
         end = np.where(inside, first[np.minimum(bucket, self.buckets - 1) + 1], 0)
+        if start is not None:
+            at, end = np.maximum(at, start), np.minimum(end, stop)
         want = values & np.uint64((1 << self.low_bits) - 1)
         todo = np.flatnonzero(at < end)
         at, end, want = at[todo], end[todo], want[todo]

@@ -13,11 +13,11 @@ it needs, and neither counts nor texts ever meet in one place:
    pairs with their training counts and the documents of their tokens;
 3. a shard sums the counts, builds its trie (words; pointers; contexts relative to
    their word; quantised log probabilities), memory-maps it, looks all pairs up and
-   returns sums per document;
+   returns sums per document; a distinct pair is looked up once, between its word's pointers;
 4. the sums of a document are added up.
 
 A word with many tokens is dealt over shards by its contexts, its count sent along;
-pairs with many tokens are scored in the blocks, their counts sent to all tasks.
+pairs with many tokens are scored in the blocks, by a trie of theirs sent to all tasks.
 Both lists are bounded by the number of shards, which grows with the input.
 
 Words are 64-bit hashes, contexts under a word 40-bit ones. Capitals A-Z are folded.
@@ -27,7 +27,7 @@ remainder of an empty text.
 
 from __future__ import annotations
 
-import tempfile
+import mmap
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,7 @@ FOLDS, HELD_OUT = 7, 2
 MU = 1000.0
 BLOCK_BYTES = 8 << 20
 SHARD_TOKENS = 1_500_000
+MAX_PARTS = 20_000
 END, BEGIN = np.uint64(0x3C2F733E3C2F733E), np.uint64(0x3C733E3C733E3C73)
 CONTEXT = np.uint64((1 << 40) - 1)
 
@@ -129,14 +130,19 @@ class Trie:
         """Words sorted; pairs sorted by word and context."""
         names = np.unique(context)
         pointers = np.concatenate([[0], np.cumsum(np.bincount(word_of_pair, minlength=len(words)))])
-        relative = word_of_pair.astype(np.uint64) * np.uint64(max(len(names), 1)) + np.searchsorted(names, context).astype(np.uint64)
+        # a word's contexts rise from one above the last context of the words before it
+        name = np.searchsorted(names, context).astype(np.int64)
+        filled = np.flatnonzero(np.diff(pointers))
+        step_up = np.zeros(len(words) + 1, np.int64)
+        step_up[filled + 1] = name[pointers[filled + 1] - 1] + 1
+        relative = np.cumsum(step_up)[word_of_pair] + name
         share = MU * (word_counts + 1) / (n + v + 1)
         value = np.concatenate([np.log10(counts + share[word_of_pair]), np.log10(share)])
         low = float(value.min()) if len(value) else 0.0
         step = (float(value.max()) - low) / 65535 or 1.0 if len(value) else 1.0
         code = np.rint((value - low) / step).astype("<u2")
         parts = [EliasFano.build(words, 1 << 64), EliasFano.build(pointers, int(pointers[-1]) + 1), EliasFano.build(names, 1 << 40),
-                 EliasFano.build(relative, max(1, len(words) * max(len(names), 1))), code.tobytes(), word_counts.astype("<i8").tobytes()]
+                 EliasFano.build(relative, int(relative[-1]) + 1 if len(relative) else 1), code.tobytes(), word_counts.astype("<i8").tobytes()]
         sizes = [-(-len(p) // 8) * 8 for p in parts]
         head = np.array([len(words), len(relative), *np.cumsum(sizes) - sizes], "<i8").tobytes() + np.array([low, step], "<f8").tobytes()
         return head + b"".join(p.ljust(s, b"\0") for p, s in zip(parts, sizes))
@@ -149,23 +155,35 @@ class Trie:
         self.code = body[at[4]:at[4] + 2 * (n_pairs + n_words)].view("<u2")
         self.counts = body[at[5]:at[5] + 8 * n_words].view("<i8")
         self.n_pairs = n_pairs
-
-    def lookup(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """log10(count(c, w) + MU p(w)) of each pair; ``word`` is a place in the words."""
+        pointer = self.pointers.get(np.arange(n_words + 1)).astype(np.int64)
+        self.start, self.end = pointer[:-1], pointer[1:]
+        self.base = np.zeros(n_words, np.uint64)              # one above the contexts of the words before
+        after = self.start > 0
+        self.base[after] = self.contexts.get(self.start[after] - 1) + np.uint64(1)
+
+    def places(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Place of each pair's context between its word's pointers, -1 where it isn't
+        there: the successor of the context relative to its word."""
         name = self.names.find(context)
         at = np.full(len(word), -1, np.int64)
         some = np.flatnonzero(name >= 0)
-        # a context's place under its word: relative to the word, found by its successor
-        at[some] = self.contexts.find(word[some].astype(np.uint64) * np.uint64(max(self.names.n, 1)) + name[some].astype(np.uint64))
+        w = word[some]
+        at[some] = self.contexts.find(self.base[w] + name[some].astype(np.uint64), self.start[w], self.end[w])
+        return at
+
+    def value(self, at: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """log10(count(c, w) + MU p(w)) of pairs at these places."""
         return self.low + self.step * self.code[np.where(at >= 0, at, self.n_pairs + word)].astype(np.float64)
 
+    def lookup(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        return self.value(self.places(word, context), word)
+
     @classmethod
     def mapped(cls, raw: bytes) -> Trie:
-        """The trie in a file of the task's temporary folder, mapped and at once unlinked."""
-        with tempfile.TemporaryFile() as f:
-            f.write(raw)
-            f.flush()
-            return cls(np.memmap(f, np.uint8, "r"))
+        """The trie in anonymous mapped memory, given back when the trie goes."""
+        held = mmap.mmap(-1, len(raw))
+        held.write(raw)
+        return cls(np.frombuffer(held, np.uint8))
 
 
 PAIRS = ["<u8", "<u4", "u1", "<u4", "<u4", "<u2"]  # words; pairs of each; contexts (5 bytes each); counts; tokens of each; documents
@@ -195,15 +213,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot_words = {unsigned(r["w"]): r["n"] for r in often.where("not pair").select("w", "n").collect()} if shards > 1 else {}
     hot_pairs = {(unsigned(r["w"]), unsigned(r["c"])): r["n"] for r in often.where("pair").select("w", "c", "n").collect()} if shards > 1 else {}
     hot_pairs = _pair_counts(rows, {p: k for p, k in hot_pairs.items() if p[0] in hot_words}) if hot_pairs else {}
-    # hot pairs are scored in the blocks: key, log10(count + MU p), by key
-    p_keys = pair_key(np.array([w for w, _ in hot_pairs], np.uint64), np.array([c for _, c in hot_pairs], np.uint64))
-    p_value = np.array([np.log10(k + MU * (hot_words[w] + 1) / (n + v + 1)) for (w, _), k in hot_pairs.items()])
-    order = np.argsort(p_keys)
+    # hot pairs are scored in the blocks, by a trie of their own
     w_keys = np.array(sorted(hot_words), np.uint64)
-    shared = spark.sparkContext.broadcast((p_keys[order], p_value[order], w_keys, np.array([hot_words[int(w)] for w in w_keys], np.int64), n, v, shards))
+    w_counts = np.array([hot_words[int(w)] for w in w_keys], np.int64)
+    pairs = sorted(hot_pairs.items())
+    hot_trie = Trie.build(w_keys, np.searchsorted(w_keys, np.array([w for (w, _), _ in pairs], np.uint64)), np.array([c for (_, c), _ in pairs], np.uint64),
+                          np.array([k for _, k in pairs], np.int64), w_counts, n, v)
+    shared = spark.sparkContext.broadcast((hot_trie, w_keys, w_counts, n, v, shards))
 
     def send(batches):
-        p_keys, p_value, w_keys, w_counts, n, v, shards = shared.value
+        hot_trie, w_keys, w_counts, n, v, shards = shared.value
+        hot_trie = Trie.mapped(hot_trie)
         task, no = TaskContext.get().partitionId(), 0
         names = ["shard", "block", "kind", "data"]
         row = lambda shard, block, kind, data: pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int64()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], names=names)
@@ -222,16 +242,18 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 at_w = np.minimum(np.searchsorted(w_keys, word), max(len(w_keys) - 1, 0))
                 if len(w_keys):
                     hot = w_keys[at_w] == word
-                key = pair_key(word, context)
-                if len(p_keys):
-                    at = np.minimum(np.searchsorted(p_keys, key), len(p_keys) - 1)
-                    here = p_keys[at] == key
+                if hot.any():
+                    at = np.flatnonzero(hot)
+                    place = hot_trie.places(at_w[at], context[at])
+                    here, place = at[place >= 0], place[place >= 0]
                     count = w_counts[at_w[here]]
                     as_context = np.where(word[here] == END, 0.0, -np.log10(count + MU))
-                    if here.any():
-                        yield row(block % shards, block, 2, _sums(doc[here], p_value[at[here]] + as_context, np.log10(count + 1.0), (count > 0).astype(float), len(held)))
-                    rest = ~here
-                    word, context, doc, hot, key = word[rest], context[rest], doc[rest], hot[rest], key[rest]
+                    if len(here):
+                        yield row(block % shards, block, 2, _sums(doc[here], hot_trie.value(place, at_w[here]) + as_context, np.log10(count + 1.0), (count > 0).astype(float), len(held)))
+                    rest = np.ones(len(word), bool)
+                    rest[here] = False
+                    word, context, doc, hot = word[rest], context[rest], doc[rest], hot[rest]
+                key = pair_key(word, context)
                 shard = (np.where(hot, key, mix(word)) % np.uint64(shards)).astype(np.int64)
                 # pairs by shard, word, context, each by its leading bits: a pair of which
                 # others come between is sent twice, and the shard adds its counts up
@@ -260,7 +282,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                                 count[a:b].astype("<u4"), size[a:b].astype("<u4"), doc[token_at[a]:token_at[b]].astype("<u2")]))
 
     def answer(batches):
-        p_keys, p_value, w_keys, w_counts, n, v, shards = shared.value
+        _, w_keys, w_counts, n, v, shards = shared.value
 
         def solve(held: list[tuple[int, bytes]]):
             parts = [unpack(d, PAIRS) for _, d in held]
@@ -271,31 +293,33 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 wide = np.zeros((len(p[3]), 8), np.uint8)
                 wide[:, :5] = p[2].reshape(-1, 5)
                 contexts.append(wide.reshape(-1).view("<u8"))
-            seen = [p[3] > 0 for p in parts]
-            pw = np.concatenate([x[k] for x, k in zip(place, seen)])
-            pc = np.concatenate([x[k] for x, k in zip(contexts, seen)])
-            pn = np.concatenate([p[3][k] for p, k in zip(parts, seen)]).astype(np.int64)
+            pw, pc = np.concatenate(place), np.concatenate(contexts)
             order = np.lexsort((pc, pw)) if len(words) >= 1 << 24 else np.argsort(pw.astype(np.uint64) << np.uint64(40) | pc)
-            pw, pc, pn = pw[order], pc[order], pn[order]
-            new = np.ones(len(pw), bool)
-            new[1:] = (pw[1:] != pw[:-1]) | (pc[1:] != pc[:-1])
+            w, c = pw[order], pc[order]
+            new = np.ones(len(w), bool)
+            new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
             first = np.flatnonzero(new)
-            pn = np.add.reduceat(pn, first) if len(first) else pn
-            pw, pc = pw[first], pc[first]
+            number = np.empty(len(w), np.int64)              # each entry's distinct pair
+            number[order] = np.cumsum(new) - 1
+            pn = np.add.reduceat(np.concatenate([p[3] for p in parts])[order].astype(np.int64), first)
+            pw, pc = w[first], c[first]
+            seen = pn > 0
             counts = np.rint(np.bincount(pw, pn, minlength=len(words))).astype(np.int64)
             if len(w_keys):                                  # hot words lie in many shards: their counts are known
                 at = np.minimum(np.searchsorted(w_keys, words), len(w_keys) - 1)
                 counts = np.where(w_keys[at] == words, w_counts[at], counts)
-            trie = Trie.mapped(Trie.build(words, pw, pc, pn, counts, n, v))
-            count_of = np.asarray(trie.counts)
+            trie = Trie.mapped(Trie.build(words, pw[seen], pc[seen], pn[seen], counts, n, v))
+            found = trie.words.find(words)
+            count_of = np.asarray(trie.counts)[found]
             as_context = np.where(words == END, 0.0, -np.log10(count_of + MU))
-            base = np.log10(count_of + 1.0)
-            for (block, _), p, w, c in zip(held, parts, place, contexts):
-                word = trie.words.find(p[0])                 # the words' places, by the trie
-                w = np.repeat(word, p[1])
-                value = trie.lookup(w, c) + as_context[w]
-                doc = p[5].astype(np.int64)
-                yield block, 2, _sums(doc, np.repeat(value, p[4]), np.repeat(base[w], p[4]), np.repeat((count_of[w] > 0).astype(float), p[4]), int(doc.max()) + 1)
+            base, known = np.log10(count_of + 1.0), (count_of > 0).astype(float)
+            value = trie.lookup(found[pw], pc) + as_context[pw]   # each distinct pair once
+            end = 0
+            for (block, _), p, w in zip(held, parts, place):
+                mine = number[end:end + len(w)]
+                end += len(w)
+                doc, w = p[5].astype(np.int64), np.repeat(w, p[4])
+                yield block, 2, _sums(doc, np.repeat(value[mine], p[4]), base[w], known[w], int(doc.max()) + 1)
 
         def out(rows):
             block, kind, data = zip(*rows)
@@ -318,7 +342,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def total_up(batches):
         """Rows of a block lie together, its documents (kind 0) first."""
-        n, v = shared.value[4:6]
+        n, v = shared.value[3:5]
         now, meta, score, base, known = None, None, None, None, None
 
         def done():
@@ -343,6 +367,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if meta is not None:
             yield done()
     sent = rows.mapInArrow(tidy(send), "shard int, block long, kind int, data binary")
-    answers = sent.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(tidy(answer), "block long, kind int, data binary")
-    return (answers.repartition(shards, "block").sortWithinPartitions("block", "kind")
+    parts = min(shards, MAX_PARTS)              # a task solves its shards one after another
+    answers = sent.repartitionById(parts, (F.col("shard") % parts).cast("int")).sortWithinPartitions("shard").mapInArrow(tidy(answer), "block long, kind int, data binary")
+    return (answers.repartition(parts, "block").sortWithinPartitions("block", "kind")
             .mapInArrow(tidy(total_up), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))

@@ -152,9 +152,10 @@ def test_elias_fano():
         assert (e.get(np.arange(len(v))) == v).all()
 
 
-@pytest.mark.parametrize("shard", [1_500_000, 300])
-def test_language_model(docs, empty, monkeypatch, shard):
+@pytest.mark.parametrize("shard,parts", [(1_500_000, 20_000), (300, 20_000), (300, 3)])
+def test_language_model(docs, empty, monkeypatch, shard, parts):
     monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", shard)
+    monkeypatch.setattr(ngram_lm, "MAX_PARTS", parts)
     texts = [(i, R.WORD.findall(R.low(t)) + [None], zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2) for i, t, *_ in ROWS]
     one, two = Counter(), Counter()
     for _, w, held in texts:
@@ -173,6 +174,29 @@ def test_language_model(docs, empty, monkeypatch, shard):
     assert ngram_lm.score_documents(empty).collect() == []
 
 
+def test_trie_looks_between_its_pointers():
+    rng = np.random.default_rng(11)
+    words = np.unique(rng.integers(0, 1 << 64, 50, np.uint64))
+    pairs = np.unique(np.stack([rng.integers(0, len(words) - 3, 400), rng.integers(0, 60, 400)], axis=1), axis=0)
+    pw, pc = pairs[:, 0], pairs[:, 1].astype(np.uint64) << np.uint64(30)
+    n = rng.integers(1, 50, len(pw))
+    raw = ngram_lm.Trie.build(words, pw, pc, n, np.bincount(pw, n, minlength=len(words)).astype(np.int64), 5000, len(words))
+    trie = ngram_lm.Trie.mapped(raw)
+    place = {p: k for k, p in enumerate(zip(pw.tolist(), pc.tolist()))}
+    ask = [(w, c << 30) for w in range(len(words)) for c in range(62)]
+    w, c = np.array([x for x, _ in ask]), np.array([x for _, x in ask], np.uint64)
+    want = [place.get(x, -1) for x in ask]
+    assert trie.places(w, c).tolist() == want
+    trie.start, trie.end = np.roll(trie.start, 1), np.roll(trie.end, 1)     # pointers that are wrong are noticed
+    assert trie.places(w, c).tolist() != want
+    moved = ngram_lm.Trie.__new__(ngram_lm.Trie)
+    with pytest.MonkeyPatch.context() as m:
+        get = EliasFano.get
+        m.setattr(EliasFano, "get", lambda self, at: np.maximum(get(self, at).astype(np.int64) - (len(at) == len(words) + 1), 0).astype(np.uint64))
+        moved.__init__(np.frombuffer(raw, np.uint8))
+    assert moved.places(w, c).tolist() != want
+
+
 def test_rans_blocks_round_trip_and_find_damage():
     rng = np.random.default_rng(3)
     for n in (1, 7, rans_store.LANES, 300_000):
