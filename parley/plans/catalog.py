@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import fixed_values as fv
 from parley.functions import text as tx
-from parley.operators import (audit, classifier, corpus, evaluate, features, infer, langs,
+from parley.operators import (audit, classifier, corpus, evaluate, features, infer, langs, lattice,
                               rewrite, route, sampling, svm, transcript, translate)
 from parley.session import cut_lineage
 from parley.sources import tables
@@ -314,6 +314,16 @@ def q_translate_documents_joined(spark, sf):
     return t.select("doc_id", "src_lang", "tgt_lang", "translation", "error")
 
 
+def q_translate_lattice(spark, sf):
+    """Turn requests by the best path of their phrase lattice; the English bigrams are
+    those of the English documents."""
+    english = tables.documents(spark, sf, spread_rows=True).where(F.col("lang") == "en")
+    bigrams = cut_lineage(lattice.bigram_scores(english, fv.HIGH_RESOURCE_LANG), "bigrams")
+    out = lattice.translated(_requests(spark, sf), "src_lang", "tgt_lang", "text",
+                             lattice.entries(translate.phrase_table(spark)), bigrams)
+    return out.select("conv_id", "turn", "src_lang", "tgt_lang", "translation", "path_score", "truncated", "error")
+
+
 def q_turn_errors(spark, sf):
     """Failing requests: documents sent to the language that their lang column
     names, from a patient language that the model may not know."""
@@ -488,6 +498,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "translate_turns": q_translate_turns,
         "translate_documents": q_translate_documents,
         "translate_documents_joined": q_translate_documents_joined,
+        "translate_lattice": q_translate_lattice,
         "turn_errors": q_turn_errors,
         # audits
         "audit_negation": q_audit_negation,

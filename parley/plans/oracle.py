@@ -162,6 +162,56 @@ work AS (SELECT *, CASE WHEN medical THEN simplified ELSE text END AS working FR
 proc AS (SELECT *, {tr} AS translation, {er} AS error FROM work)"""
 
 
+def lattice_sql() -> str:
+    """The best path of every turn's lattice: states of all turns move on one place a step."""
+    table = ", ".join(f"({q(s)}, {q(t)}, {q(p)}, {q(o)})" for s, t, p, o in fv.phrase_rows())
+    blank = "[ \\t\\n\\r\\f]"
+    pattern = q(blank + "*(?:[\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_ \\t\\n\\r\\f])")
+    toks = lambda x: f"list_transform(regexp_extract_all({x}, {pattern}), lambda v: regexp_replace(v, {q('^' + blank + '+')}, ' '))"
+    word = lambda x: f"lower(ltrim({x}, ' '))"
+    key = lambda x: word(f"array_to_string({x}, '')")
+    _, er = translate_exprs("text", "src_lang", "tgt_lang")
+    return f"""WITH RECURSIVE {langs_cte()}, {requests_cte()},
+doc AS (SELECT list_concat([''], list_transform({toks('text')}, lambda v: {word('v')}), ['']) AS w FROM documents WHERE lang = 'en' AND text IS NOT NULL),
+big AS (SELECT p, n, count(*) AS c FROM (SELECT unnest(w[:-2]) AS p, unnest(w[2:]) AS n FROM doc) GROUP BY ALL),
+lm AS MATERIALIZED (SELECT p, n, round(ln(c / sum(c) OVER (PARTITION BY p)) * 1000)::BIGINT AS lm FROM big),
+raw AS (SELECT DISTINCT * FROM (VALUES {table}) v(src, tgt, phrase, outs)),
+ent AS (SELECT src, tgt, {key(toks('phrase'))} AS k, len({toks('phrase')}) AS size, outs, string_split(lower(outs), ' ') AS w,
+        round(ln(1 / count(*) OVER (PARTITION BY src, tgt, phrase)) * 1000)::BIGINT AS score FROM raw),
+inside AS (SELECT src, tgt, k, outs, sum(CASE WHEN e.tgt = 'en_XX' THEN coalesce(lm, -12000) ELSE -12000 END)::BIGINT AS lm
+  FROM (SELECT src, tgt, k, outs, unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM ent) e LEFT JOIN lm ON lm.p = a AND lm.n = b GROUP BY ALL),
+entry AS MATERIALIZED (SELECT e.src, e.tgt, e.k, e.size, e.outs, w[1] AS first, w[-1] AS last, e.score + coalesce(i.lm, 0) AS score
+  FROM ent e LEFT JOIN inside i ON i.src = e.src AND i.tgt = e.tgt AND i.k = e.k AND i.outs = e.outs),
+row_t AS MATERIALIZED (SELECT row_number() OVER () AS r, conv_id, turn, src_lang, tgt_lang, text, {er} AS error, {toks('text')} AS t FROM req),
+spot AS (SELECT r, src_lang, tgt_lang, t, unnest(range(1, len(t) + 1)) AS i FROM row_t WHERE error IS NULL),
+edge AS MATERIALIZED (
+  SELECT r, i - 1 AS i, 1 AS size, ltrim(t[i], ' ') AS outs, {word('t[i]')} AS first, {word('t[i]')} AS last, -8000 AS score, t[i][1] = ' ' AS blank FROM spot
+  UNION ALL SELECT r, i - 1, e.size, e.outs, e.first, e.last, e.score, t[i][1] = ' '
+  FROM spot, range(1, 5) m(m) JOIN entry e ON e.src = src_lang AND e.tgt = tgt_lang AND e.size = m AND e.k = {key('t[i:i + m - 1]')} AND i + m - 1 <= len(t)),
+pair AS MATERIALIZED (
+  SELECT DISTINCT r, tgt_lang, a.last AS p, b.first AS n FROM (SELECT r, i + size AS j, last FROM edge UNION SELECT r, 0, '' FROM row_t) a
+  JOIN (SELECT r, i AS j, first FROM edge UNION SELECT r, len(t), '' FROM row_t) b USING (r, j) JOIN row_t USING (r)),
+step_lm AS MATERIALIZED (SELECT r, p, n, CASE WHEN tgt_lang = 'en_XX' THEN coalesce(lm, -12000) ELSE -12000 END AS lm FROM pair LEFT JOIN lm USING (p, n)),
+path AS (
+  SELECT r, 0 AS k, 0::BIGINT AS pos, len(t) AS n, '' AS last, 0::BIGINT AS score, 0 AS edges, ''::VARCHAR AS before, 0::BIGINT AS size, ['']::VARCHAR[] AS outs, []::VARCHAR[] AS words, ''::VARCHAR AS line
+  FROM row_t WHERE error IS NULL
+  UNION ALL
+  SELECT r, k + 1, pos, n, last, score, edges, before, size, outs, words, line FROM (
+    SELECT r, k, pos, n, last, score, edges, before, size, outs, words, line FROM path WHERE k < n AND pos > k
+    UNION ALL
+    SELECT p.r, p.k, p.pos + e.size, p.n, e.last, p.score + e.score + s.lm, p.edges + 1, p.last, e.size, string_split(e.outs, ' '),
+      list_concat(p.words, string_split(e.outs, ' ')),
+      CASE WHEN len(p.words) >= {fv.TRANSLATE_MAX_LENGTH} THEN p.line ELSE p.line || CASE WHEN e.blank AND p.line <> '' THEN ' ' ELSE '' END
+        || array_to_string(string_split(e.outs, ' ')[1:{fv.TRANSLATE_MAX_LENGTH} - len(p.words)], ' ') END
+    FROM path p JOIN edge e ON e.r = p.r AND e.i = p.pos JOIN step_lm s ON s.r = p.r AND s.p = p.last AND s.n = e.first WHERE p.k < p.n AND p.pos = p.k)
+  QUALIFY row_number() OVER (PARTITION BY r, pos, last ORDER BY score DESC, edges, before, size, outs) = 1),
+ends AS (SELECT path.r, line, words, score + lm AS score FROM path JOIN step_lm s ON s.r = path.r AND s.p = last AND s.n = ''
+  WHERE pos = path.n AND k = path.n
+  QUALIFY row_number() OVER (PARTITION BY path.r ORDER BY score + lm DESC, edges, last) = 1)
+SELECT conv_id, turn, src_lang, tgt_lang, line AS translation, score AS path_score, len(words) > {fv.TRANSLATE_MAX_LENGTH} AS truncated, error
+FROM row_t LEFT JOIN ends USING (r)"""
+
+
 def corpus_ctes() -> str:
     """Corpus, balanced sample and stratified split; defines corpus, bal, split."""
     return f"""
@@ -377,6 +427,7 @@ SELECT conv_id, turn, speaker, src_lang, tgt_lang, text AS original, medical,
     D = f"{langs_cte()}, {doc_requests_cte()}, dtr AS (SELECT *, {tr_} AS translation, {er_} AS error FROM dreq)"
     s["translate_documents"] = f"WITH {D} SELECT doc_id, src_lang, tgt_lang, translation, error FROM dtr"
     s["translate_documents_joined"] = s["translate_documents"]
+    s["translate_lattice"] = lattice_sql()
     s["turn_errors"] = f"""WITH {langs_cte()}, {doc_requests_cte()},
 sent AS (SELECT doc_id, text, src_lang, CASE WHEN lang = 'en' THEN tgt_lang ELSE lang END AS tgt_lang FROM dreq),
 er AS (SELECT doc_id, src_lang, tgt_lang, {er_} AS error FROM sent)
