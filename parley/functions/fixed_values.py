@@ -88,6 +88,16 @@ PLACEHOLDER_PATIENT_FAILED = "⚠️ (translation error)"    # doctor panel, pat
 # FIXED VALUES — output audits
 # ---------------------------------------------------------------------------
 NEGATION_WORDS = ["no", "not", "without"]
+# What ends the clause that a negation stands in.
+CLAUSE_ENDS = [".", ",", ";", ":", "!", "?", "and", "but", "or", "because", "if", "when", "while", "unless"]
+# English words that carry no content of their own.
+FUNCTION_WORDS = [
+    "a", "an", "the", "this", "that", "these", "those", "it", "its", "he", "she", "they", "we", "you", "i", "his",
+    "her", "their", "our", "your", "my", "him", "them", "us", "me", "who", "which", "what", "of", "in", "on", "at",
+    "to", "for", "from", "by", "with", "as", "into", "than", "then", "so", "and", "or", "but", "if", "when", "while",
+    "because", "unless", "is", "are", "was", "were", "be", "been", "being", "am", "do", "does", "did", "has", "have",
+    "had", "will", "would", "can", "could", "shall", "should", "may", "might", "must", "there", "here", "very", "also",
+]
 # A number (with decimals) and the letters or % glued to it or after blanks: 500mg, 2.5 ml, 10%.
 NUMBER_PATTERN = r"[0-9]+(?:[.,][0-9]+)*[ \t\x{A0}]*[\p{L}%]*"
 # Words that count as the number's unit when blanks stand between them.

@@ -48,10 +48,9 @@ def numbers(text: Column) -> Column:
 
 
 def number_check(df: DataFrame, src: str, out: str) -> DataFrame:
-    a, b = numbers(F.col(src)), numbers(F.col(out))
-    return df.select("*", F.size(a).cast("long").alias("numbers_src"),
-                     F.size(b).cast("long").alias("numbers_out"),
-                     (a == b).alias("numbers_kept"))
+    found = let(F.struct(numbers(F.col(src)).alias("a"), numbers(F.col(out)).alias("b")), lambda n: F.struct(
+        F.size(n["a"]).cast("long").alias("numbers_src"), F.size(n["b"]).cast("long").alias("numbers_out"), (n["a"] == n["b"]).alias("numbers_kept")))
+    return df.select("*", found.alias("_n")).select(*df.columns, "_n.*")
 
 
 def script_share(df: DataFrame, out: str, script_col: str) -> DataFrame:
@@ -68,8 +67,8 @@ def script_share(df: DataFrame, out: str, script_col: str) -> DataFrame:
 
 
 def length_check(df: DataFrame, src: str, out: str, cap: int) -> DataFrame:
-    a, b = word_count(F.col(src)), word_count(F.col(out))
-    return df.select("*", a.alias("words_src"), b.alias("words_out"),
-                     F.when(a > 0, b / a).alias("length_ratio"),
-                     (~F.coalesce(is_nonblank(F.col(out)), F.lit(False))).alias("empty_output"),
-                     (b >= cap).alias("at_cap"))
+    # each count is bound once: as a projected column it would be computed where it is used
+    counts = let(F.struct(word_count(F.col(src)).alias("a"), word_count(F.col(out)).alias("b")), lambda n: F.struct(
+        n["a"].alias("words_src"), n["b"].alias("words_out"), F.when(n["a"] > 0, n["b"] / n["a"]).alias("length_ratio"), (n["b"] >= cap).alias("at_cap")))
+    done = df.select("*", counts.alias("_n"), (~F.coalesce(is_nonblank(F.col(out)), F.lit(False))).alias("empty_output"))
+    return done.select(*df.columns, "_n.words_src", "_n.words_out", "_n.length_ratio", "empty_output", "_n.at_cap")

@@ -26,7 +26,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from parley.functions import fixed_values as fv
 from parley.functions.text import confidence, is_positive
@@ -34,6 +33,7 @@ from parley.operators import features, svm
 from parley.operators.corpus import class_weights
 from parley.plans.sizing import DEFAULT_BROADCAST_ROWS
 from parley.session import cut_lineage
+from parley.sources import commits
 
 # Same tokeniser as ``parley.functions.text.terms``, as SQL for SQLTransformer.
 TERMS_SQL = (
@@ -160,28 +160,29 @@ def predict(pipeline_model: PipelineModel, df: DataFrame) -> DataFrame:
 # -- model sink / load ------------------------------------------------------
 
 def save_model(pipeline_model: PipelineModel, table: LinearTextModel, path: str) -> None:
-    """Model directory: the Spark pipeline plus the weight table as parquet
-    (intercept as a row with a null term). Overwrites."""
-    pipeline_model.write().overwrite().save(f"{path}/pipeline")
+    """Add a version to a model folder: the Spark pipeline plus the weight table
+    (intercept as a row with a null term), and last the commit that readers go by. A
+    load during a save gets the version before, whole."""
     spark = table.weights.sparkSession
+    folder = commits.new_folder(path)
+    pipeline_model.write().save(f"{folder}/pipeline")
     icpt = spark.createDataFrame([(None, 0.0, table.intercept)], "term string, idf double, coef double")
-    table.weights.unionByName(icpt).write.mode("overwrite").parquet(f"{path}/weights")
+    table.weights.unionByName(icpt).write.parquet(f"{folder}/weights")
+    commits.publish(spark, path, folder)
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, LinearTextModel]:
-    """Load a model directory; a missing one fails with a message telling how
-    to train it."""
-    try:
-        w = spark.read.parquet(f"{path}/weights")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    """Load a model folder's last version; a missing one fails with a message telling
+    how to train it."""
+    versions = commits.folders(spark, path)
+    if not versions:
         raise FileNotFoundError(
             f"no trained model at {path}; train one with "
-            "parley.operators.classifier.train_svm(...) and save_model(...)") from e
+            "parley.operators.classifier.train_svm(...) and save_model(...)")
+    w = spark.read.parquet(f"{versions[-1]}/weights")
     icpt = w.where(F.col("term").isNull()).select("coef").first()
     weights = w.where(F.col("term").isNotNull())
-    return (PipelineModel.load(f"{path}/pipeline"),
+    return (PipelineModel.load(f"{versions[-1]}/pipeline"),
             LinearTextModel(weights, float(icpt[0]), weights.count()))
 
 

@@ -24,7 +24,9 @@ expensive model loads once and is reused across batches.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import uuid
 from typing import Iterator
 
 import pandas as pd
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.plans.skew import HOT_KEY_ROWS, salted_join_back
+from parley.sources import commits
 
 _WORKER_BACKENDS: dict = {}
 
@@ -41,6 +44,8 @@ class Backend:
     """Base class. Subclasses override ``predict`` (and ``check`` if they need
     credentials)."""
     name = "base"
+    #: Words of a call, at most (a longer text is alone in its call); None: a whole Arrow batch.
+    token_budget: int | None = None
 
     def check(self) -> None:
         """Validated on the driver before any plan is built."""
@@ -99,11 +104,32 @@ def _call(backend: Backend, texts: list[str], src: str, tgt: str):
         return left[0] + right[0], left[1] + right[1]
 
 
+def _batches(backend: Backend, texts: list[str]) -> Iterator[list[str]]:
+    """Texts in batches of at most ``backend.token_budget`` words; a longer text is alone."""
+    if backend.token_budget is None:
+        yield texts
+        return
+    held, size = [], 0
+    for text in texts:
+        words = len(text.split())
+        if held and size + words > backend.token_budget:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += words
+    if held:
+        yield held
+
+
 def run_backend(reqs: DataFrame, backend: Backend, src: str, tgt: str, text: str,
                 out: str, err: str, materialize: bool = True,
-                hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+                hot_rows: int = HOT_KEY_ROWS, store: str | None = None) -> DataFrame:
     """Append ``out`` (model output) and ``err`` (error text) to every request;
-    a request without a text has neither."""
+    a request without a text has neither.
+
+    ``store`` names a folder that keeps the answers under their requests' digests, a
+    table of commits for each backend: a job that starts again, or any other, asks only
+    for what it lacks. Failed requests aren't kept, so they are asked again."""
     backend.check()
     # a digest of the request: JSON leaves a null language out, so null and "" differ
     request = F.to_json(F.struct(F.col(src).alias("s"), F.col(tgt).alias("t"), F.col(text).alias("x")))
@@ -128,21 +154,42 @@ def run_backend(reqs: DataFrame, backend: Backend, src: str, tgt: str, text: str
             pieces = []
             for (s, t), g in pdf.groupby([src, tgt], sort=False, dropna=False):
                 s, t = (None if pd.isna(x) else x for x in (s, t))
-                outs, errs = _call(b, g[text].tolist(), s, t)
+                done = [_call(b, part, s, t) for part in _batches(b, g[text].tolist())]
+                outs, errs = ([x for d in done for x in d[k]] for k in (0, 1))
                 g = g[["_key", "_mult"]].copy()
                 g[out] = outs
                 g[err] = errs
                 pieces.append(g)
             yield pd.concat(pieces, ignore_index=True)
 
-    results = distinct.mapInPandas(fn, schema)
-    if materialize:
-        from parley.session import cut_lineage
-        results = cut_lineage(results, "inference")
+    if store is None:
+        results = distinct.mapInPandas(fn, schema)
+        if materialize:
+            from parley.session import cut_lineage
+            results = cut_lineage(results, "inference")
+    else:
+        results = _with_store(reqs.sparkSession, distinct, lambda d: d.sortWithinPartitions(src, tgt).mapInPandas(fn, schema), out, err,
+                              f"{store}/{hashlib.sha256(repr(backend.key()).encode()).hexdigest()[:16]}")
     joined = salted_join_back(reqs, results, "_key", "_mult", hot_rows)
     return joined.select(*columns, out, err)
 
 
+def _with_store(spark, distinct: DataFrame, ask, out: str, err: str, path: str) -> DataFrame:
+    """(_key, _mult, out, err) of the requests, from the store and, for the rest, by ``ask``."""
+    from parley.session import cut_lineage
+    held = commits.read(spark, path, "digest string, answer string")
+    # two jobs may have asked the same at once: one answer each
+    held = held.groupBy("digest").agg(F.min("answer").alias("answer"))
+    new = cut_lineage(ask(distinct.join(held, F.col("_key") == F.col("digest"), "left_anti")), "inference")
+    known = distinct.select("_key", "_mult").join(held, F.col("_key") == F.col("digest")).select(
+        "_key", "_mult", F.col("answer").alias(out), F.lit(None).cast("string").alias(err))
+    known = cut_lineage(known, "stored-answers")
+    fresh = new.where(F.col(err).isNull()).select(F.col("_key").alias("digest"), F.col(out).alias("answer"))
+    if not fresh.isEmpty():
+        commits.commit(fresh, path, uuid.uuid4().hex)
+    return new.unionByName(known)
+
+
 # -- backend choice -----------------------------------------------------------
 
 def simplify_backend_name(mode) -> F.Column:

@@ -32,7 +32,9 @@ MAX_CLASSES = 64
 
 
 def order_key(salt: str, source: Column, ident: Column) -> Column:
-    return F.md5(F.concat(F.lit(salt + ":"), source, F.lit(":"), ident.cast("string")))
+    """A row's place in the order of its class; a null counts as empty."""
+    part = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.md5(F.concat(F.lit(salt + ":"), part(source), F.lit(":"), part(ident)))
 
 
 def _boundaries(counts: DataFrame, group: str, quotas: dict) -> dict:
@@ -50,8 +52,9 @@ def _boundaries(counts: DataFrame, group: str, quotas: dict) -> dict:
 
 def cutoffs(keys: DataFrame, group: str, key: str, tie: str, quotas: dict,
             bucket_rows: int = BUCKET_ROWS) -> dict:
-    """``{group: (key, tie)}`` of the last row within each group's quota; a group
-    whose rows all are has none. The bucket of keys that holds it is narrowed to
+    """``{group: (key, tie, wanted, all)}`` of the last row within each group's quota,
+    how many rows of that key and tie are wanted, and how many there are; a group
+    whose rows all are wanted has none. The bucket of keys that holds it is narrowed to
     longer prefixes until it has at most ``bucket_rows`` rows (or all of the key is
     used), so the only sort is of that many (key, tie) pairs."""
     digits = PREFIX_HEX
@@ -65,12 +68,14 @@ def cutoffs(keys: DataFrame, group: str, key: str, tie: str, quotas: dict,
         found = _boundaries(counts, group, {g: room for g, (_, room, _) in found.items()})
     if not found:
         return {}
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(key, tie))
+    # equal rows are counted, not sorted one by one: their number has no bound
+    equal = keys.where(_inside(group, key, found)).groupBy(group, key, tie).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(group).orderBy(key, tie).rowsBetween(Window.unboundedPreceding, 0)
     last = F.lit(False)
     for g, (_, room, _) in found.items():
-        last = last | ((F.col(group) == g) & (F.col("_rank") == room))
-    rows = keys.where(_inside(group, key, found)).withColumn("_rank", rank).where(last).collect()
-    return {r[group]: (r[key], r[tie]) for r in rows}
+        last = last | ((F.col(group) == g) & (F.col("_upto") >= room) & (F.col("_upto") - F.col("_n") < room))
+    rows = equal.withColumn("_upto", F.sum("_n").over(order)).where(last).collect()
+    return {r[group]: (r[key], r[tie], found[r[group]][1] - r["_upto"] + r["_n"], r["_n"]) for r in rows}
 
 
 def _inside(group: str, key: str, found: dict):
@@ -92,14 +97,25 @@ def flag_first_n(df: DataFrame, group: str, key: str, tie: str, quotas, flag: st
     if len(wanted) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
     last = cutoffs(keys, group, key, tie, {g: n for g, n in wanted.items() if n > 0})
-    within = F.lit(None).cast("boolean")
+    within, at_cut, split = F.lit(None).cast("boolean"), F.lit(False), {}
     for g, quota in wanted.items():
         ok = F.lit(quota > 0)
         if g in last:
-            k, t = last[g]
-            ok = (F.col(key) < k) | ((F.col(key) == k) & (F.col(tie) <= t))
+            k, t, some, every = last[g]
+            before = F.col(tie).isNull() if t is None else F.col(tie).isNull() | (F.col(tie) <= t)
+            ok = (F.col(key) < k) | ((F.col(key) == k) & before)
+            if some < every:
+                split[g] = some
+                at_cut = at_cut | ((F.col(group) == g) & (F.col(key) == k) & F.col(tie).eqNullSafe(F.lit(t)))
         within = F.when(F.col(group) == g, ok).otherwise(within)
     out = df.withColumn(flag, within)
+    if split:
+        # the quota ends among rows of one key and tie: they alone get numbers, which order them
+        ties = cut_lineage(df.where(at_cut).withColumn("_no", F.monotonically_increasing_id()), "ties").withColumn(
+            "_no_key", F.md5(F.col("_no").cast("string")))
+        table = df.sparkSession.createDataFrame(list(split.items()), table.select(group, "quota").schema)
+        flagged = flag_first_n(ties, group, "_no_key", "_no", table, flag).drop("_no", "_no_key")
+        out = out.where(~at_cut).unionByName(flagged.select(out.columns))
     return out.where(F.col(flag) if keep_only else F.col(flag).isNotNull())
 
 

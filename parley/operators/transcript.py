@@ -26,15 +26,16 @@ def chat_events(conversations: DataFrame) -> DataFrame:
         speaker_of(F.col("role")).alias("speaker"), "text")
 
 
-def number_turns(events: DataFrame) -> DataFrame:
+def number_turns(events: DataFrame, digest: bool = False) -> DataFrame:
     """``conv_id, turn, epoch, turn_no``: ``epoch`` = clear events at or
     before the row; ``turn_no`` = 1, 2, ... over the non-blank turns of the
     epoch. Clear rows and blank turns are dropped. The text is reduced to a
-    blank flag first, so the numbering shuffles only narrow rows."""
+    blank flag first, so the numbering shuffles only narrow rows (and to ``digest``, if asked)."""
     narrow = events.select("conv_id", "turn", (F.col("kind") == "clear").alias("_clear"),
-                           ((F.col("kind") == "turn") & is_nonblank(F.col("text"))).alias("_shown"))
+                           ((F.col("kind") == "turn") & is_nonblank(F.col("text"))).alias("_shown"),
+                           *([F.xxhash64("text").alias("digest")] if digest else []))
     n = reset_count(narrow, "conv_id", "turn", "_clear", "_shown", "epoch", "turn_no")
-    return n.where(F.col("_shown")).select("conv_id", "turn", "epoch", "turn_no")
+    return n.where(F.col("_shown")).select("conv_id", "turn", "epoch", "turn_no", *(["digest"] if digest else []))
 
 
 def current_epoch(numbered: DataFrame, events: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def current_epoch(numbered: DataFrame, events: DataFrame) -> DataFrame:
     with nothing after it leaves none. Only (conv_id, count) is joined."""
     last = events.groupBy("conv_id").agg(F.sum((F.col("kind") == "clear").cast("long")).alias("epoch"))
     last = last.select(F.col("conv_id").alias("_conv"), F.col("epoch").alias("_epoch"))
-    return (numbered.select("conv_id", "turn", "epoch", "turn_no")
+    return (numbered
             .join(last, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("epoch") == F.col("_epoch")), "left_semi"))
 
 
@@ -50,9 +51,12 @@ def transcript(processed: DataFrame, events: DataFrame) -> DataFrame:
     """One row per shown turn of the current epoch: ``conv_id, epoch, turn_no, speaker, role, en,
     xx, tag, simplified, error``. A failed turn shows its message on its own
     side and a placeholder on the other; a failed doctor turn has no tag; the
-    rewrite is shown only when non-empty."""
-    numbered = current_epoch(number_turns(events), events)
-    p = processed.join(numbered, ["conv_id", "turn"])
+    rewrite is shown only when non-empty. A null conversation or turn number is a key
+    like any other; turns of one key are told apart by their texts."""
+    numbered = current_epoch(number_turns(events, digest=True), events).select(
+        F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("digest").alias("_digest"), "epoch", "turn_no")
+    p = processed.join(numbered, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_turn"))
+                       & (F.xxhash64("original") == F.col("_digest")))
     doctor = F.col("speaker") == "doctor"
     failed = F.col("error").isNotNull()
     en = F.when(doctor, F.col("original")).otherwise(

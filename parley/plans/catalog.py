@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import fixed_values as fv
 from parley.functions import text as tx
-from parley.operators import (audit, classifier, corpus, evaluate, features, infer, langs, lattice,
+from parley.operators import (alignment, audit, classifier, corpus, evaluate, features, heavy, infer, langs, lattice,
                               rewrite, route, sampling, svm, transcript, translate)
 from parley.session import cut_lineage
 from parley.sources import tables
@@ -69,6 +69,16 @@ def q_extract_user_text_nested(spark, sf):
     return corpus.user_text_nested(d).select(F.col("id").alias("conv_id"), "text")
 
 
+def q_extract_user_text_jsonl(spark, sf):
+    """The same from nested JSON-lines files, which Spark writes first."""
+    import uuid
+    from parley.session import checkpoint_dir
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/dialogues-{uuid.uuid4().hex}"
+    corpus.dialogues_of(tables.conversations(spark, sf)).write.json(path)
+    good, _ = tables.read_dialogues(spark, path)
+    return corpus.user_text_nested(good).select(F.col("id").alias("conv_id"), "text")
+
+
 def q_filter_nonblank(spark, sf):
     c = tables.conversations(spark, sf)
     return c.where(tx.is_nonblank(F.col("text")))
@@ -144,6 +154,11 @@ def q_vocab_topk(spark, sf):
     return features.vocab_topk(features.term_stats(_train(spark, sf)))
 
 
+def q_vocab_topk_two_pass(spark, sf):
+    """The same vocabulary by summaries first: only terms that may be in it are shuffled."""
+    return heavy.vocab_topk(cut_lineage(_train(spark, sf)))
+
+
 def q_idf_table(spark, sf):
     train = cut_lineage(_train(spark, sf))
     idf = features.idf_table(features.vocab_topk(features.term_stats(train)), train.count())
@@ -350,6 +365,20 @@ def q_audit_numbers(spark, sf):
     return a.drop("text", "simplified")
 
 
+def q_audit_alignment(spark, sf):
+    """What each negation governs, and words that nothing licenses, in the rewrites."""
+    a = alignment.audit(_doc_rewrites(spark, sf), "text", "simplified")
+    return a.select("doc_id", "negations", "negations_lost", "negations_moved", "added_words")
+
+
+def q_audit_alignment_cut(spark, sf):
+    """The same where an output lost the second half of its source's sentences."""
+    d = tables.documents(spark, sf, spread_rows=True).where(F.col("lang") == "en")
+    parts = F.split("text", r"[.]")
+    d = d.withColumn("cut", F.array_join(F.slice(parts, 1, F.ceil(F.size(parts) / 2).cast("int")), "."))
+    return alignment.audit(d, "text", "cut").select("doc_id", "negations", "negations_lost", "negations_moved", "added_words")
+
+
 def q_audit_script(spark, sf):
     t = _processed(spark, sf).select("conv_id", "turn", "tgt_lang", "translation")
     lt = langs.lang_table(spark).select(F.col("lang_code").alias("tgt_lang"), "script")
@@ -403,8 +432,8 @@ def q_turn_append(spark, sf):
     from parley.sources import sinks
     p = _processed(spark, sf)
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/turns-{uuid.uuid4().hex}"
-    sinks.append_turns(p.where(F.col("speaker") == "doctor"), path)
-    sinks.append_turns(p.where(F.col("speaker") != "doctor"), path)
+    for speaker in ("doctor", "patient", "doctor"):           # the third is a replay and adds nothing
+        sinks.append_turns(p.where(F.col("speaker") == speaker), path, commit_id=speaker)
     out = sinks.read_turns(p, path)
     return out.select("conv_id", "turn", "speaker", "src_lang", "tgt_lang", "original",
                       "medical", _r("confidence"), "simplified", "translation", "error")
@@ -445,6 +474,27 @@ def q_stream_score_turns(spark, sf):
                       F.col("confidence").between(0.5, 1.0).alias("confidence_in_range"))
 
 
+def q_stream_turn_numbers_after_batch(spark, sf):
+    """The first half of every conversation numbered as a batch, the rest by a stream that
+    starts from its state; together they are the numbers of the whole."""
+    from parley.streaming import turns
+    conv = tables.conversations(spark, sf)
+    half = F.expr("turn IS NOT NULL AND turn < 3")
+    before = transcript.chat_events(conv.where(half))
+    events = turns.events_of(turns.read_stream(spark, sf).where(~half))
+    streamed = turns.run_to_table(turns.number_turns_stream(events, after=before), spark, "turn-numbers")
+    names = ["conv_id", "turn", "epoch", "turn_no"]
+    return transcript.number_turns(before).select(*names).unionByName(streamed.select(*names))
+
+
+def q_stream_panels(spark, sf):
+    """The panel views kept up to date by a stream of turns."""
+    from parley.streaming import panels, turns
+    path = turns.scratch(spark, "panels")
+    turns.panel_stream(turns.read_stream(spark, sf), classifier.demo_model(spark), path, buckets=16)
+    return panels.history(spark, path)
+
+
 def q_stream_process_turns(spark, sf):
     from parley.streaming import turns
     out = turns.process_stream(spark, sf, classifier.demo_model(spark))
@@ -452,12 +502,17 @@ def q_stream_process_turns(spark, sf):
                       "medical", _r("confidence"), "simplified", "translation", "error")
 
 
+#: Queries that SQL can't express, and what tests hold them against.
+NO_SQL = {"audit_alignment": "a full edit table in tests/test_alignment.py"}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # corpus
         "filter_nonempty": q_filter_nonempty,
         "extract_user_text": q_extract_user_text,
         "extract_user_text_nested": q_extract_user_text_nested,
+        "extract_user_text_jsonl": q_extract_user_text_jsonl,
         "filter_nonblank": q_filter_nonblank,
         "corpus_build": q_corpus_build,
         "class_counts": q_class_counts,
@@ -473,6 +528,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # features
         "term_stats": q_term_stats,
         "vocab_topk": q_vocab_topk,
+        "vocab_topk_two_pass": q_vocab_topk_two_pass,
         "idf_table": q_idf_table,
         "tfidf": q_tfidf,
         # scoring / evaluation
@@ -503,6 +559,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # audits
         "audit_negation": q_audit_negation,
         "audit_numbers": q_audit_numbers,
+        "audit_alignment": q_audit_alignment,
+        "audit_alignment_cut": q_audit_alignment_cut,
         "audit_script": q_audit_script,
         "audit_length": q_audit_length,
         "audit_length_rewrite": q_audit_length_rewrite,
@@ -514,6 +572,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bilingual_pairs": q_bilingual_pairs,
         # streaming
         "stream_turn_numbers": q_stream_turn_numbers,
+        "stream_turn_numbers_after_batch": q_stream_turn_numbers_after_batch,
+        "stream_panels": q_stream_panels,
         "stream_process_turns": q_stream_process_turns,
         "stream_score_turns": q_stream_score_turns,
         # sinks

@@ -456,6 +456,13 @@ sc AS (SELECT p.conv_id, p.turn, p.tgt_lang, l.script,
        FROM proc p LEFT JOIN langs l ON l.lang_code = p.tgt_lang)
 SELECT conv_id, turn, tgt_lang, script, letters, in_script,
        round(CASE WHEN letters > 0 THEN in_script / letters END, 6) AS script_share FROM sc"""
+    # an output that is a prefix: its tokens align, what follows in the source doesn't
+    toks = "list_transform(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_ \\t\\n\\r\\f]'), lambda v: v)"
+    negations = lambda x: f"len(list_filter({x}, lambda v: v IN ('no', 'not', 'without')))"
+    s["audit_alignment_cut"] = f"""WITH parts AS (
+  SELECT doc_id, text, string_split(text, '.') AS p FROM documents WHERE lang = 'en'),
+halves AS (SELECT doc_id, {toks.format('text')} AS a, {toks.format("array_to_string(p[1:ceil(len(p) / 2)::INT], '.')")} AS b FROM parts)
+SELECT doc_id, {negations('a')} AS negations, {negations('a')} - {negations('b')} AS negations_lost, 0 AS negations_moved, 0 AS added_words FROM halves"""
     s["audit_length"] = f"""WITH {PR},
 ln AS (SELECT conv_id, turn, {ws_count('text')} AS words_src, {ws_count('translation')} AS words_out,
               translation FROM proc)
@@ -485,6 +492,10 @@ SELECT (SELECT count(*) FROM tr) AS n_train, (SELECT count(*) FROM vocab) AS n_t
     s["stream_score_turns"] = """SELECT conv_id, turn, true AS as_batch, true AS label_is_sign, true AS confidence_in_range
 FROM conversations WHERE role = 'assistant'"""
     s["stream_turn_numbers"] = s["conversation_epochs"]
+    s["stream_turn_numbers_after_batch"] = s["conversation_epochs"]
+    s["stream_panels"] = s["panel_history"]
+    s["extract_user_text_jsonl"] = s["extract_user_text_nested"]
+    s["vocab_topk_two_pass"] = s["vocab_topk"]
     s["stream_process_turns"] = s["process_turns"]
     s["turn_append"] = s["process_turns"]
     return s

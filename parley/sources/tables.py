@@ -8,8 +8,11 @@ columns and push filters into the parquet scan (``ReadSchema`` /
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.session import cut_lineage
+
 SCHEMAS = {
     "conversations": T.StructType([
         T.StructField("conv_id", T.LongType()),
@@ -45,6 +48,17 @@ NESTED_DIALOGUE = T.StructType([
 ])
 
 
+def read_dialogues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nested dialogues of JSON-lines files, by the declared schema: (the dialogues; the
+    lines that aren't one, as ``file, line``). A line that isn't JSON, or has a field of
+    another type, is bad; a missing field is null; blank lines don't count."""
+    schema = T.StructType([*NESTED_DIALOGUE.fields, T.StructField("_bad", T.StringType())])
+    lines = (spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+             .withColumn("_file", F.col("_metadata.file_path")))
+    lines = cut_lineage(lines, "dialogues")             # both halves come from one reading
+    return lines.where("_bad IS NULL").drop("_bad", "_file"), lines.where("_bad IS NOT NULL").select(F.col("_file").alias("file"), F.col("_bad").alias("line"))
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 

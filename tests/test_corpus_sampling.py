@@ -109,7 +109,24 @@ def test_cutoffs_narrow_a_crowded_bucket(spark):
         got = sampling.cutoffs(df, "label", "k", "id", {0: quota, 1: quota}, bucket_rows=10)
         for g in (0, 1):
             own = sorted((k, i) for lbl, k, i in data if lbl == g)
-            assert got.get(g) == (own[quota - 1] if quota <= 600 else None)
+            assert got.get(g) == ((*own[quota - 1], 1, 1) if quota <= 600 else None)
+
+
+def test_repeated_and_null_ids_give_exact_counts(spark):
+    schema = "source string, id long, text string, label int"
+    data = [("s", 2, "same", 1)] * 3 + [("s", None, f"t{k}", 1) for k in range(4)] + [("s", 2, f"u{k}", 0) for k in range(5)] + [(None, None, "x", 0)] * 6
+    df = spark.createDataFrame(data, schema).repartition(4)
+    assert rows(sampling.balanced_sample(df).groupBy("label").count()) == [(0, 7), (1, 7)]
+    for quota in range(1, 9):
+        keyed = df.withColumn("_k", sampling.order_key("z", F.col("source"), F.col("id")))
+        quotas = spark.createDataFrame([(0, quota), (1, quota)], "label int, quota long")
+        got = sampling.flag_first_n(keyed, "label", "_k", "id", quotas, "f")
+        assert got.count() == len(data)
+        kept = got.where("f").select("label", "_k", "id").collect()
+        want = sampling.flag_first_n_window(keyed, "label", "_k", "id", quotas, "f").where("f").select("label", "_k", "id").collect()
+        assert sorted(map(str, kept)) == sorted(map(str, want))
+    split = sampling.stratified_split(df.unionByName(df))
+    assert rows(split.groupBy("label", "split").count()) == [(0, "test", 5), (0, "train", 17), (1, "test", 3), (1, "train", 11)]
 
 
 def test_groups_without_rows_or_quota(spark):
