@@ -30,6 +30,7 @@ from parley.functions import fixed_values as fv
 from parley.functions.fixed_values import GLOSSARY, PY_WHITESPACE_CLASS
 from parley.functions.text import let
 from parley.plans.sizing import broadcast_if_small
+from parley.session import cut_lineage
 
 # A combining mark belongs to the word it stands in.
 WORD_CHARS = fv.WORD_CHARS + r"\p{M}"
@@ -85,19 +86,22 @@ def compile_terms(table: list[tuple[str, str]]):
 
 
 def rewrite_counted(text: Column, table: list[tuple[str, str]] = GLOSSARY) -> Column:
-    """Struct ``(text, n)``: the rewritten text and the number of replaced
-    terms. The text is scanned twice (split, extract), each once."""
+    """Struct ``(text, n)``: the rewritten text and the number of replaced terms."""
     pattern, mapping = compile_terms(table)
+    return replaced(text, F.lit(pattern), mapping)
 
+
+def replaced(text: Column, pattern: Column, mapping: Column) -> Column:
+    """Struct ``(text, n)`` by a compiled pattern and its map, both columns. The text is
+    scanned twice (split, extract), each once."""
     def build(b):
         parts, found = b["parts"], b["found"]
-        plain = F.transform(found, lambda m: F.coalesce(F.element_at(mapping, F.lower(m)), m))
+        plain = F.transform(found, lambda m: F.coalesce(F.try_element_at(mapping, F.lower(m)), m))
         rest = F.zip_with(plain, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
                           lambda a, c: F.concat(a, c))
         return F.struct(F.concat(F.element_at(parts, 1), F.array_join(rest, "")).alias("text"),
                         F.size(found).cast("long").alias("n"))
-    both = F.struct(F.split(text, pattern, -1).alias("parts"),
-                    F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"))
+    both = F.struct(F.split(text, pattern, -1).alias("parts"), F.regexp_extract_all(text, pattern, 0).alias("found"))
     return let(both, build)
 
 
@@ -146,11 +150,11 @@ def _candidates(segments: Column, max_words: int) -> Column:
     return let(segments, build)
 
 
-def _leftmost_longest(matches: DataFrame, id_cols: list[str]) -> DataFrame:
-    """``ids, _kept``: the matches that stand, in order. A text's matches fall into
+def _leftmost_longest(matches: DataFrame) -> DataFrame:
+    """``_row, _kept``: the matches that stand, in order. A text's matches fall into
     runs that no match reaches across; a run is resolved by a fold of its own, so
     the cost is linear where matches stand side by side."""
-    w = Window.partitionBy(*id_cols).orderBy("i", F.desc("e"))
+    w = Window.partitionBy("_row").orderBy("i", F.desc("e"))
     reach = F.coalesce(F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = (matches.withColumn("_new", (F.col("i") > reach).cast("long"))
             .withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))))
@@ -161,27 +165,28 @@ def _leftmost_longest(matches: DataFrame, id_cols: list[str]) -> DataFrame:
         F.concat(acc["kept"], F.array(F.struct(m["i"].alias("i"), m["e"].alias("e"),
                                                m["plain"].alias("plain")))).alias("kept")))
         .otherwise(acc))["kept"]
-    return (runs.groupBy(*id_cols, "_run").agg(ordered.alias("ms"))
-            .select(*id_cols, kept.alias("kept"))
-            .groupBy(*id_cols).agg(F.array_sort(F.flatten(F.collect_list("kept"))).alias("_kept")))
+    return (runs.groupBy("_row", "_run").agg(ordered.alias("ms"))
+            .select("_row", kept.alias("kept"))
+            .groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("kept"))).alias("_kept")))
 
 
-def rewrite_joined(df: DataFrame, id_cols: list[str], text_col: str, table: DataFrame,
-                   out: str, on: tuple[str, ...] = ()) -> DataFrame:
-    """``rewrite`` for term tables of any size. Candidates (word runs x phrase
+def rewrite_joined(df: DataFrame, text_col: str, table: DataFrame, out: str, on: tuple[str, ...] = ()) -> DataFrame:
+    """``rewrite`` for term tables of any size. The rows get numbers in a written table,
+    so their own keys may repeat or be null. Candidates (word runs x phrase
     lengths) are joined to the table on the phrase and the columns ``on`` that both
     sides have (AQE splits a hot phrase); before that shuffle, candidates whose hash
     no term has go, where the hashes are few enough to broadcast. Matches are
     resolved per text, and the text is rebuilt from its runs in one pass."""
     t = normalize_table(table, on)
     max_words = t.select(F.max(F.regexp_count("term", F.lit(f"[{WORD_CHARS}]+")))).first()[0] or 1
-    cands = df.select(*id_cols, *on, F.explode(_candidates(_segments(F.col(text_col)), max_words)).alias("c"))
-    cands = cands.select(*id_cols, *on, "c.i", "c.e", F.col("c.p").alias("term"))
+    rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()), "rewrite-rows")
+    cands = rows.select("_row", *on, F.explode(_candidates(_segments(F.col(text_col)), max_words)).alias("c"))
+    cands = cands.select("_row", *on, "c.i", "c.e", F.col("c.p").alias("term"))
     hashes, small = broadcast_if_small(t.select(F.xxhash64("term").alias("_h")).distinct(), "term hashes")
     if small:
         cands = cands.join(hashes, F.xxhash64("term") == F.col("_h"), "left_semi")
-    kept = _leftmost_longest(cands.join(t, [*on, "term"]).select(*id_cols, "i", "e", "plain"), id_cols)
-    joined = df.join(kept, id_cols, "left")
+    kept = _leftmost_longest(cands.join(t, [*on, "term"]).select("_row", "i", "e", "plain"))
+    joined = rows.join(kept, "_row", "left")
 
     def rebuild(b):
         segs, ks = b["segs"], b["kept"]
@@ -196,4 +201,4 @@ def rewrite_joined(df: DataFrame, id_cols: list[str], text_col: str, table: Data
     both = F.struct(_segments(F.col(text_col)).alias("segs"),
                     F.coalesce(F.col("_kept"), F.array().cast(_MATCH)).alias("kept"))
     rebuilt = F.when(F.col(text_col).isNull(), F.lit(None).cast("string")).otherwise(let(both, rebuild))
-    return joined.withColumn(out, rebuilt).drop("_kept")
+    return joined.withColumn(out, rebuilt).drop("_kept", "_row")

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import fixed_values as fv
+from parley.functions.text import let
 from parley.operators import rewrite
 
 
@@ -46,16 +47,22 @@ def translated(df: DataFrame, src: str, tgt: str, text: str, out: str, err: str,
     pairs: dict = {}
     for s, t, phrase, plain in fv.phrase_rows() if table is None else table:
         pairs.setdefault((s, t), []).append((phrase, plain))
-    value = F.col(text)
-    for (s, t), terms in sorted(pairs.items()):
-        value = F.when((F.col(src) == s) & (F.col(tgt) == t), rewrite.rewrite(F.col(text), terms)).otherwise(value)
+    # one look-up of the row's pair, so the plan's size doesn't follow the number of pairs
+    compiled = {pair: rewrite.compile_terms(terms) for pair, terms in sorted(pairs.items())}
+    if not compiled:
+        return _checked(df, src, tgt, text, out, err, F.col(text))
+    pair = F.struct(F.col(src).alias("s"), F.col(tgt).alias("t"))
+    key = lambda s, t: F.struct(F.lit(s).alias("s"), F.lit(t).alias("t"))
+    patterns = F.create_map(*[x for (s, t), (p, _) in compiled.items() for x in (key(s, t), F.lit(p))])
+    maps = F.create_map(*[x for (s, t), (_, m) in compiled.items() for x in (key(s, t), m)])
+    row = F.struct(F.try_element_at(patterns, pair).alias("p"), F.try_element_at(maps, pair).alias("m"))
+    value = F.coalesce(let(row, lambda r: rewrite.replaced(F.col(text), r["p"], r["m"])["text"]), F.col(text))
     return _checked(df, src, tgt, text, out, err, value)
 
 
-def translate_joined(df: DataFrame, id_cols: list[str], src: str, tgt: str, text: str, out: str, err: str,
-                     table: DataFrame) -> DataFrame:
-    """The same by a join on (src, tgt, phrase); ``id_cols`` are unique in ``df``."""
+def translate_joined(df: DataFrame, src: str, tgt: str, text: str, out: str, err: str, table: DataFrame) -> DataFrame:
+    """The same by a join on (src, tgt, phrase)."""
     terms = table.select(F.col("src").alias(src), F.col("tgt").alias(tgt),
                          F.col("phrase").alias("term"), F.col("translation").alias("plain"))
-    done = rewrite.rewrite_joined(df, id_cols, text, terms, "_value", on=(src, tgt))
+    done = rewrite.rewrite_joined(df, text, terms, "_value", on=(src, tgt))
     return _checked(done, src, tgt, text, out, err, F.col("_value")).drop("_value")

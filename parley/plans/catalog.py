@@ -298,7 +298,7 @@ def q_glossary_simplify_joined(spark, sf):
     bound (the glossary given as a table)."""
     d = tables.documents(spark, sf, spread_rows=True).where(F.col("lang") == "en").select("doc_id", "text")
     table = spark.createDataFrame(fv.GLOSSARY, "term string, plain string")
-    return rewrite.rewrite_joined(d, ["doc_id"], "text", table, "simplified").select("doc_id", "simplified")
+    return rewrite.rewrite_joined(d, "text", table, "simplified").select("doc_id", "simplified")
 
 
 def q_simplify_turns(spark, sf):
@@ -324,7 +324,7 @@ def q_translate_documents(spark, sf):
 def q_translate_documents_joined(spark, sf):
     """The same by the join on (src, tgt, phrase), for phrase tables of any size."""
     d = route.document_requests(tables.documents(spark, sf, spread_rows=True))
-    t = translate.translate_joined(d, ["doc_id"], "src_lang", "tgt_lang", "text", "translation", "error",
+    t = translate.translate_joined(d, "src_lang", "tgt_lang", "text", "translation", "error",
                                    translate.phrase_table(spark))
     return t.select("doc_id", "src_lang", "tgt_lang", "translation", "error")
 

@@ -65,7 +65,7 @@ def test_joined_rewrite_equals_brute_force(spark):
     texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 10))) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     table = spark.createDataFrame(TABLE, "term string, plain string")
-    got = dict(rows(rewrite.rewrite_joined(df, ["id"], "text", table, "o"), "id", "o"))
+    got = dict(rows(rewrite.rewrite_joined(df, "text", table, "o"), "id", "o"))
     assert got == {i: brute_rewrite(t, TABLE) for i, t in enumerate(texts)}
 
 
@@ -77,7 +77,7 @@ def test_joined_rewrite_glossary_on_documents(spark):
         [(-1, "Acute myocardial infarction with edema, no hypertension."), (-2, None), (-3, "")],
         "doc_id long, text string"))
     table = spark.createDataFrame(fv.GLOSSARY, "term string, plain string")
-    a = rewrite.rewrite_joined(d, ["doc_id"], "text", table, "o")
+    a = rewrite.rewrite_joined(d, "text", table, "o")
     b = d.withColumn("o", rewrite.rewrite(F.col("text")))
     assert rows(a, "doc_id", "o") == rows(b, "doc_id", "o")
     assert dict(rows(a, "doc_id", "o"))[-1] == "sudden heart attack with swelling caused by fluid, no high blood pressure."
@@ -219,3 +219,12 @@ def test_only_gated_domain_rows_reach_the_rewrite_backend(spark):
     assert all(r["error"] is None for r in got.values())
     assert got[0]["simplified"] == "administer 500mg of paracetamol twice daily."
     assert got[1]["simplified"] is None and got[2]["simplified"] is None
+
+
+def test_joined_rewrite_scores_each_row_by_itself(spark):
+    data = [(None, "edema and hypertension"), (2, "edema"), (2, "hypertension"), (None, "nothing"), (2, None), (2, "edema")]
+    df = spark.createDataFrame(data, "id long, text string").repartition(3)
+    table = spark.createDataFrame(fv.GLOSSARY, "term string, plain string")
+    got = rewrite.rewrite_joined(df, "text", table, "o").collect()
+    want = df.select("id", "text", rewrite.rewrite(F.col("text")).alias("o")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == len(data)

@@ -44,7 +44,7 @@ def test_both_forms_equal_brute_force(spark):
     table = spark.createDataFrame(TABLE, "src string, tgt string, phrase string, translation string")
     want = sorted((i, brute(x, s, t), None) for i, s, t, x in data)
     assert rows(translate.translated(df, "s", "t", "x", "o", "e", TABLE), "id", "o", "e") == want
-    assert rows(translate.translate_joined(df, ["id"], "s", "t", "x", "o", "e", table), "id", "o", "e") == want
+    assert rows(translate.translate_joined(df, "s", "t", "x", "o", "e", table), "id", "o", "e") == want
 
 
 def test_errors_nulls_and_long_texts(spark):
@@ -54,7 +54,7 @@ def test_errors_nulls_and_long_texts(spark):
     df = spark.createDataFrame(data, "id long, s string, t string, x string")
     table = translate.phrase_table(spark)
     one = {r["id"]: (r["o"], r["e"]) for r in translate.translated(df, "s", "t", "x", "o", "e").collect()}
-    two = {r["id"]: (r["o"], r["e"]) for r in translate.translate_joined(df, ["id"], "s", "t", "x", "o", "e", table).collect()}
+    two = {r["id"]: (r["o"], r["e"]) for r in translate.translate_joined(df, "s", "t", "x", "o", "e", table).collect()}
     assert one == two
     assert one[1] == ("intlungu " * 30_000, None) and one[5] == (None, None) == one[6] and one[7] == ("", None)
     assert one[2] == (None, "unsupported language null") == one[4] and one[3] == (None, "unsupported language tlh_XX")
@@ -63,7 +63,7 @@ def test_errors_nulls_and_long_texts(spark):
 def test_empty_phrase_table_leaves_texts_as_they_are(spark):
     df = spark.createDataFrame([(1, "en_XX", "xh_ZA", "pain")], "id long, s string, t string, x string")
     empty = translate.phrase_table(spark).limit(0)
-    assert rows(translate.translate_joined(df, ["id"], "s", "t", "x", "o", "e", empty), "o") == [("pain",)]
+    assert rows(translate.translate_joined(df, "s", "t", "x", "o", "e", empty), "o") == [("pain",)]
     assert rows(translate.translated(df, "s", "t", "x", "o", "e", []), "o") == [("pain",)]
 
 

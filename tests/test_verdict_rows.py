@@ -76,7 +76,7 @@ def test_both_rewrites_read_a_term_table_alike(spark):
     terms = spark.createDataFrame(table, "term string, plain string")
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     one = {r["id"]: r["o"] for r in df.select("id", rewrite.rewrite(F.col("text"), table).alias("o")).collect()}
-    two = {r["id"]: r["o"] for r in rewrite.rewrite_joined(df, ["id"], "text", terms, "o").collect()}
+    two = {r["id"]: r["o"] for r in rewrite.rewrite_joined(df, "text", terms, "o").collect()}
     assert one == two
     assert one[0] == "An picture of the bones, an picture of the bones and axx-ray"
     assert one[1] == "swelling; sudden pain, acute  ache" and one[2] == texts[2] and one[4] == "b-12: ache" and one[6] is None
