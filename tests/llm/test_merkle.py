@@ -76,7 +76,7 @@ def got(df):
     return sorted((tuple(r[:7]) for r in M.verification(df).collect()), key=key)
 
 
-@pytest.mark.parametrize("n,langs", [(1, ["en"]), (1, [None]), (2, ["en"]), (3, ["a", "b"]), (17, ["en"]), (300, ["en", "de", None, ""]), (40, [f"l{k}é" for k in range(30)])])
+@pytest.mark.parametrize("n,langs", [(1, [None]), (3, ["a", "b"]), (300, ["en", "de", None, ""]), (40, [f"l{k}é" for k in range(30)])])
 def test_manifest(spark, n, langs):
     data = rows(n, langs)
     found = got(spark.createDataFrame(data, SCHEMA).repartition(5))
