@@ -37,6 +37,8 @@ WORD_CHARS = fv.WORD_CHARS + r"\p{M}"
 
 # Largest term table compiled into a single expression (regex + map literal).
 MAX_COMPILED_TERMS = 5_000
+# Hashes of terms that candidates are tested against before they become rows.
+MAX_BIT_TERMS = 20_000
 
 _END = f"(?![{WORD_CHARS}])"
 _START = f"(?<![{WORD_CHARS}])"
@@ -130,7 +132,24 @@ def _segments(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"[{WORD_CHARS}]+|[^{WORD_CHARS}]+"), 0)
 
 
-def _candidates(segments: Column, max_words: int) -> Column:
+def _bit_test(hashes: list[int]):
+    """A test whether a phrase's hash may be one of these: a bit map of 16 bits or more a
+    hash, as one constant."""
+    size = max(64, 1 << (16 * max(len(hashes), 1) - 1).bit_length())
+    words = [0] * (size // 64)
+    for h in hashes:
+        at = h & (size - 1)
+        words[at >> 6] |= 1 << (at & 63)
+    signed = ",".join(str(w - (1 << 64) if w >> 63 else w) for w in words)
+    bits = F.split(F.lit(signed), ",").cast("array<bigint>")
+
+    def test(phrase: Column) -> Column:
+        at = F.xxhash64(phrase).bitwiseAND(F.lit(size - 1).cast("long"))
+        return F.bit_get(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+    return test
+
+
+def _candidates(segments: Column, max_words: int, may_match=None) -> Column:
     """For every word run i and k = 1..max_words: (i, end run, lower-cased
     phrase of k words with their separators). The run array is bound once
     (``let``) — referring to the expression inside the lambdas would redo the
@@ -146,7 +165,8 @@ def _candidates(segments: Column, max_words: int) -> Column:
                 F.filter(words, lambda i: i + span - 1 <= n),
                 lambda i: F.struct(i.alias("i"), (i + span - 1).alias("e"),
                                    F.lower(F.array_join(F.slice(segs, i, span), "")).alias("p")))
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), for_k))
+        found = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), for_k))
+        return F.filter(found, lambda c: may_match(c["p"])) if may_match else found
     return let(segments, build)
 
 
@@ -175,15 +195,19 @@ def rewrite_joined(df: DataFrame, text_col: str, table: DataFrame, out: str, on:
     so their own keys may repeat or be null. Candidates (word runs x phrase
     lengths) are joined to the table on the phrase and the columns ``on`` that both
     sides have (AQE splits a hot phrase); before that shuffle, candidates whose hash
-    no term has go, where the hashes are few enough to broadcast. Matches are
+    no term has go: inside the text's own array where the terms fit a bit map, else by
+    a broadcast of the hashes where they are few enough. Matches are
     resolved per text, and the text is rebuilt from its runs in one pass."""
     t = normalize_table(table, on)
     max_words = t.select(F.max(F.regexp_count("term", F.lit(f"[{WORD_CHARS}]+")))).first()[0] or 1
     rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()), "rewrite-rows")
-    cands = rows.select("_row", *on, F.explode(_candidates(_segments(F.col(text_col)), max_words)).alias("c"))
-    cands = cands.select("_row", *on, "c.i", "c.e", F.col("c.p").alias("term"))
     hashes, small = broadcast_if_small(t.select(F.xxhash64("term").alias("_h")).distinct(), "term hashes")
-    if small:
+    found = hashes.limit(MAX_BIT_TERMS + 1).collect()
+    few = len(found) <= MAX_BIT_TERMS
+    test = _bit_test([r["_h"] for r in found]) if few else None
+    cands = rows.select("_row", *on, F.explode(_candidates(_segments(F.col(text_col)), max_words, test)).alias("c"))
+    cands = cands.select("_row", *on, "c.i", "c.e", F.col("c.p").alias("term"))
+    if small and not few:
         cands = cands.join(hashes, F.xxhash64("term") == F.col("_h"), "left_semi")
     kept = _leftmost_longest(cands.join(t, [*on, "term"]).select("_row", "i", "e", "plain"))
     joined = rows.join(kept, "_row", "left")

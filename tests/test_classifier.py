@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parley.operators import classifier, evaluate, features
 from tests.conftest import rows
 
+# Fixed documented cases: short sentences with the label that the model must give.
 DEMO = [
     ("Doctor, I have been experiencing chest pain and difficulty breathing.", True),
     ("She was diagnosed with stage 3 hypertension.", True),

@@ -228,3 +228,14 @@ def test_joined_rewrite_scores_each_row_by_itself(spark):
     got = rewrite.rewrite_joined(df, "text", table, "o").collect()
     want = df.select("id", "text", rewrite.rewrite(F.col("text")).alias("o")).collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == len(data)
+
+
+@pytest.mark.parametrize("bit_terms", [20_000, 3])
+def test_candidates_are_tested_before_they_become_rows(spark, monkeypatch, bit_terms):
+    monkeypatch.setattr(rewrite, "MAX_BIT_TERMS", bit_terms)
+    df = spark.createDataFrame([(k, f"word{k} edema and hypertension x{k % 7} y") for k in range(200)], "id long, text string")
+    terms = [(f"x{k} y", f"plain{k}") for k in range(7)] + [("edema", "swelling"), (f"word{3}", "three")]
+    table = spark.createDataFrame(terms, "term string, plain string")
+    got = rewrite.rewrite_joined(df, "text", table, "o").collect()
+    want = df.select("id", "text", rewrite.rewrite(F.col("text"), terms).alias("o")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
