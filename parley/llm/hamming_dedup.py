@@ -207,6 +207,9 @@ def _prefix_pairs(docs: DataFrame, hot: DataFrame, comp: DataFrame, percent: int
     ceil = lambda top, bottom: F.floor((top + (bottom - 1)) / F.lit(bottom))
     probe = ranked.where(F.col("pos") < F.col("n") - ceil(F.col("n") * t, 100) + 1)
     probe = cut_lineage(probe, "hot-prefixes")
+    # a shingle of one component alone can give no pair, however many rows have it
+    mixed = probe.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("shingle")
+    probe = cut_lineage(probe.join(mixed, "shingle", "left_semi"), "mixed-prefixes")
     index = probe.where(F.col("pos") < F.col("n") - ceil(F.col("n") * 2 * t, 100 + t) + 1)
     x, y = probe.alias("x"), index.alias("y")
     need = ceil((F.col("x.n") + F.col("y.n")) * t, 100 + t)

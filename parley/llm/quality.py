@@ -19,7 +19,7 @@ that has no cutoff and rejects none. All labelled rows count; only counts by
 (stratum, rule, value) leave the aggregation, and only one row per stratum and
 rule the selection.
 
-A null or empty text has no words. A null language is a stratum of its own. Labels
+A null or empty text has no words. A null language is in the stratum of the empty one. Labels
 that are null are no labels; of repeated label rows of a document the lowest counts.
 """
 
