@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,16 +110,20 @@ class Passes:
         self.sc = table.sparkSession.sparkContext
         size = table.agg(F.sum(sum(F.length(b.split()[0]) for b in BLOCK.split(", ")))).first()[0] or 0
         tasks = max(1, -(-size // PASS_BYTES))
-        rows = table.rdd
-        self.rdd = rows.coalesce(tasks) if tasks < rows.getNumPartitions() else rows
+        rows = table.rdd.map(Block)
+        # decoded once; a lost part is read again from the table
+        self.rdd = (rows.coalesce(tasks) if tasks < rows.getNumPartitions() else rows).persist(StorageLevel.MEMORY_AND_DISK)
         self.count = 0
 
+    def done(self) -> None:
+        self.rdd.unpersist()
+
     def total(self, make: Callable, vectors: tuple[np.ndarray, ...], size: int) -> np.ndarray:
         self.count += 1
         shared = self.sc.broadcast(pickle.dumps(vectors))
 
-        def add(total, row):
-            return total + make(*pickle.loads(shared.value))(Block(row))
+        def add(total, block):
+            return total + make(*pickle.loads(shared.value))(block)
         out = self.rdd.treeAggregate(np.zeros(size), add, lambda a, b: a + b, depth=2)
         shared.unpersist()
         return out
@@ -126,8 +131,9 @@ class Passes:
 
 def first_pass(table: DataFrame, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
     """(gradient, Hessian's diagonal) of the terms where all weights are 0."""
-    size = n_terms + 1
-    sums = Passes(table).total(losses, (np.zeros(size),), 1 + 2 * size)
+    passes, size = Passes(table), n_terms + 1
+    sums = passes.total(losses, (np.zeros(size),), 1 + 2 * size)
+    passes.done()
     return sums[1:size], 1.0 + sums[size + 1:-1]
 
 
@@ -162,6 +168,7 @@ def fit(table: DataFrame, n_terms: int, max_iter: int = 2000, tol: float = 1e-4)
             w, value, gradient, diagonal = w + step, new_value, new_gradient, new_diagonal
         elif abs(gained) <= 1e-14 * abs(value):
             break                                       # below what doubles tell apart
+    passes.done()
     return w[:-1], float(w[-1]), passes.count
 
 
