@@ -56,13 +56,13 @@ def tidy(run):
     return wrapped
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
+def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` where ``make()`` is called once a task and gives a function
-    from a slice of rows to a dict of columns (in any array form)."""
+    from a slice of rows (of about ``limit`` text bytes) to a dict of columns (in any array form)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=limit):
                 work = work or make()
                 out = work(part)
                 if out is not None:

@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from parley.llm.bpe import PairTable, merge
-from parley.llm.common import map_batches, ragged, segment_sums, text_rows, texts
+from parley.llm.common import SLICE_BYTES, map_batches, ragged, segment_sums, text_rows, texts
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Distinct words a task keeps between slices; beyond it the cache starts anew.
 CACHE_WORDS = 200_000
+WITH_IDS_BYTES = 1 << 20
 
 
 def _fields(buf: bytes):
@@ -276,4 +277,5 @@ def encode_decode(df: DataFrame, model_path: str, with_ids: bool = False, id_col
                     "decoded_sha256": [hashlib.sha256(s.encode()).hexdigest() for s in back]}
         return work
     schema = "doc_id long, ids array<int>, decoded string" if with_ids else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_batches(text_rows(df, id_col, text_col), schema, make)
+    # ids and texts go back whole: slices are smaller, for the memory beside the ids
+    return map_batches(text_rows(df, id_col, text_col), schema, make, limit=WITH_IDS_BYTES if with_ids else SLICE_BYTES)
