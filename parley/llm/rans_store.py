@@ -44,6 +44,7 @@ LANES = 2048
 BLOCK = LANES * 256
 CHECKPOINT = 128
 SHARD_IDS = 1 << 23
+TIE_BYTES = 64                        # of a row's ids, by which rows of one doc_id are dealt
 MAGIC = 0x31534E41
 
 
@@ -239,7 +240,8 @@ def write_store(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_c
         if state["held"]:
             yield take(state["held"])
     (rows.where("ids is not null").select("doc_id", "ids")
-     .repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
+     # rows of one id are dealt by the heads of their ids, in the order of the sort
+     .repartitionByRange(shards, "doc_id", F.substring("ids", 1, TIE_BYTES)).sortWithinPartitions("doc_id", "ids")
      .mapInArrow(tidy(blocks), schema).write.option("compression", "none").parquet(f"{path}/blocks"))
     ids = spark.read.parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").collect()  # one row a shard
     at, starts = 0, []
