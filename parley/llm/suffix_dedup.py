@@ -26,7 +26,8 @@ question, so the work is divided without loss:
 
 Blocks hold a bounded number of bytes, and shards as much on average. A string
 sends one entry of 13 bytes for each block it is in, however many documents have it;
-an anchor's contexts in one task are at most ``HOT_CONTEXTS`` and one for each block.
+an anchor's contexts in one task are at most ``HOT_CONTEXTS`` and one for each block. The list of
+anchors over that is broadcast; the limit rises where the list could have over ``HOT_ANCHORS``.
 Anchors are compared by 40 bits of their hash and, where contexts differ, by their
 bytes; contexts by 48 bits more.
 
@@ -58,6 +59,9 @@ STEP = 1 << 21                        # windows worked on at a time
 SHARD_BYTES = 16 << 20                # text bytes a shard
 SORT_SYMBOLS = 150_000                # symbols of one suffix sort, whole anchors
 HOT_CONTEXTS = 20_000                 # contexts of one anchor that stay together
+HOT_ANCHORS = 1 << 23                 # anchors in the broadcast list, 64 MB
+BUCKET_BYTES = 32 << 20               # text bytes a bucket of the block table
+MAX_BUCKETS = 100_000                 # the most that Spark takes by default
 LOCAL = np.iinfo(np.uint32).max       # shard of a context that its block decides
 NO_ID = np.iinfo(np.int64).max
 LAYOUT, CODES, WAITING, CONTEXTS, COPIES, MASKS = range(6)
@@ -174,8 +178,8 @@ def _row(**x) -> pa.RecordBatch:
 _ROWS = "shard int, block long, kind int, data binary"
 
 
-def _block_table(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(blocks by number in a bucketed table, buckets)."""
+def _block_table(docs: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """(blocks by number in a bucketed table, buckets: as many as ``total`` text bytes need)."""
     spark = docs.sparkSession
 
     def to_blocks(batches):
@@ -186,11 +190,11 @@ def _block_table(docs: DataFrame) -> tuple[DataFrame, int]:
                 raw, off = flat(part)
                 ids, null = part.column(0).fill_null(0).to_numpy(), part.column(0).is_null().to_numpy(zero_copy_only=False)
                 hot, count = _often(raw, off)
-                yield pa.RecordBatch.from_pydict({"block": pa.array([task << 32 | no], pa.int64()), "often": [pack([hot.astype("<u8"), count.astype("<i8")])], "n_bytes": pa.array([len(raw)], pa.int64()), "head": [pack([ids.astype("<i8"), null.astype("u1"), np.diff(off).astype("<i8")])], "raw": pa.array([raw.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"block": pa.array([task << 32 | no], pa.int64()), "often": [pack([hot.astype("<u8"), count.astype("<i8")])], "head": [pack([ids.astype("<i8"), null.astype("u1"), np.diff(off).astype("<i8")])], "raw": pa.array([raw.tobytes()], pa.binary())})
                 no += 1
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES)))
     name = f"parley_blocks_{uuid.uuid4().hex}"
-    (docs.mapInArrow(tidy(to_blocks), "block long, often binary, n_bytes long, head binary, raw binary").write.format("parquet").option("compression", "zstd")
+    (docs.mapInArrow(tidy(to_blocks), "block long, often binary, head binary, raw binary").write.format("parquet").option("compression", "zstd")
      .option("path", f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}").bucketBy(buckets, "block").saveAsTable(name))
     return spark.table(name), buckets
 
@@ -199,16 +203,22 @@ def _head(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(unpack(data, ["<i8", "u1", "<i8"]))
 
 
-def _hot_anchors(blocks: DataFrame) -> np.ndarray:
-    """Sorted anchors with more than HOT_CONTEXTS contexts: at most one for as many contexts of the corpus."""
+def _hot_anchors(blocks: DataFrame, total: int) -> np.ndarray:
+    """Sorted anchors with more than HOT_CONTEXTS contexts, at most HOT_ANCHORS of them: there are
+    no more contexts than ``total`` text bytes, so not more anchors have a share of ``total / HOT_ANCHORS``."""
     def run(batches):
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 anchor, count = unpack(data, ["<u8", "<i8"])
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view("<i8")), pa.array(count)], names=["anchor", "n"])
     counts = blocks.select("often").mapInArrow(tidy(run), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") > HOT_CONTEXTS).select("anchor").collect()
-    return np.sort(np.array([r["anchor"] for r in rows], np.int64).view(np.uint64))
+    found = counts.where(F.col("n") > max(HOT_CONTEXTS, -(-total // HOT_ANCHORS))).select("anchor").toArrow()
+    return np.sort(found["anchor"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _sender(shards: int, hot):
+    """``_send`` with the broadcast list of hot anchors."""
+    return lambda batches: _send(shards, hot.value)(batches)
 
 
 def _send(shards: int, hot: np.ndarray):
@@ -230,7 +240,9 @@ def _send(shards: int, hot: np.ndarray):
                 cut = np.searchsorted(shard[order], np.arange(shards + 1))
                 for s in np.flatnonzero(np.diff(cut)).tolist():
                     at = order[cut[s]:cut[s + 1]]
-                    yield _row(shard=s, block=r["block"], kind=CODES, data=pack([_narrow(value[at] >> np.uint64(24), 5), _narrow(context[at], 6), doc[at].astype("<u2"), np.diff(known, prepend=0).astype("<i8")]))
+                    # entries are in document order; a row has the ids of its own documents only
+                    head = np.diff(doc[at], prepend=-1) != 0
+                    yield _row(shard=s, block=r["block"], kind=CODES, data=pack([_narrow(value[at] >> np.uint64(24), 5), _narrow(context[at], 6), (np.cumsum(head) - 1).astype("<u2"), np.diff(known[doc[at[head]]], prepend=0).astype("<i8")]))
     return run
 
 
@@ -517,10 +529,12 @@ def _finish(batches):
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    blocks, buckets = _block_table(text_rows(docs, id_col, text_col))
-    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    rows = text_rows(docs, id_col, text_col)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, buckets = _block_table(rows, total)
     shards = max(1, -(-total // SHARD_BYTES))
-    entries = blocks.select("block", "head", "raw").mapInArrow(tidy(_send(shards, _hot_anchors(blocks))), _ROWS)
+    hot = blocks.sparkSession.sparkContext.broadcast(_hot_anchors(blocks, total))
+    entries = blocks.select("block", "head", "raw").mapInArrow(tidy(_sender(shards, hot)), _ROWS)
     decided = cut_lineage(entries.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(tidy(_by_shard(_decide, LAYOUT)), _ROWS), "repeats")
     codes = decided.where(F.col("kind").isin(LAYOUT, CODES))
     copies = blocks.select("block", "head", "raw").join(_grouped(codes, buckets), "block").select("head", "raw", "block", "answers").mapInArrow(tidy(_copies), _ROWS)
