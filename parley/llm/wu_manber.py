@@ -8,8 +8,11 @@ block of a group's shortest pattern length decides how far a position may move
 on; at shift 0 the block's hash selects patterns, which are compared byte by byte.
 Many positions of a slice of texts move on at once as numpy arrays.
 
-A benchmark beyond ``SLICE_CHARS`` characters is searched for in several slices,
-one broadcast each, and the hits of a document united.
+A benchmark beyond ``SLICE_CHARS`` characters is dealt by hash into slices, written
+once, and searched for slice by slice: one slice at a time passes through the driver
+and is broadcast, the narrow hits are written, and the hits of a document united.
+Items over an eighth of a slice are dealt in pieces that overlap by a window less
+one word, so their windows stay whole.
 
 Null or empty texts and items have no words. An item of fewer than ``window``
 words is one pattern. Items with a null id count as one item with an empty id.
@@ -19,13 +22,16 @@ Repeated item ids are one item.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from parley.llm.common import flat, map_batches, rows_kept, text_rows
+from parley.session import checkpoint_dir, cut_lineage
 
 SLICE_CHARS = 4 << 20
 LANE = 512
@@ -198,14 +204,52 @@ def hits(patterns: Patterns, batch: pa.RecordBatch) -> tuple[np.ndarray, list[li
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
 
 
-def _slices(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> list:
-    """Broadcast tables, each from at most about SLICE_CHARS characters of items."""
+def pieces(text: str, window: int, limit: int) -> list[str]:
+    """The text, or where it is over ``limit`` characters runs of its words, each of at least
+    ``window`` words (all, if it has fewer); a run begins ``window - 1`` words before the last one's end."""
+    if len(text) <= limit:
+        return [text]
+    raw = np.frombuffer(text.encode(), np.uint8)
+    word = np.concatenate([[False], _LUT[raw] != SPACE, [False]])
+    start, end = np.flatnonzero(word[1:-1] & ~word[:-2]), np.flatnonzero(word[1:-1] & ~word[2:]) + 1
+    out, at = [], 0
+    while at < len(start):
+        to = min(len(start), max(at + window, int(np.searchsorted(end, start[at] + limit, "right"))))
+        out.append(raw[start[at]:end[to - 1]].tobytes().decode())
+        at = to - window + 1 if to < len(start) else to
+    return out
+
+
+def _slices(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> tuple[int, Iterator]:
+    """(number of slices, broadcast lists of (item, text)); a slice comes from about SLICE_CHARS characters.
+    Each broadcast is gone when the next one is made, so what reads it must be written by then;
+    one that is the only one stays."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-chars // SLICE_CHARS))
-    slot = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [spark.sparkContext.broadcast([(r["item"], r["text"]) for r in items.where(slot == k).collect()]) for k in range(n)]
+    n, limit = max(1, -(-chars // SLICE_CHARS)), max(1, SLICE_CHARS // 8)
+
+    def broadcast(rows: DataFrame):
+        return spark.sparkContext.broadcast([(r["item"], r["text"]) for r in rows.collect()])
+    if n == 1:
+        return 1, iter([broadcast(items)])
+
+    def cut():
+        def work(batch):
+            found = [(i, x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in pieces(t, window, limit)]
+            return {"item": pa.array([i for i, _ in found], pa.string()), "text": pa.array([x for _, x in found], pa.string())}
+        return work
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/slices-{uuid.uuid4().hex}"
+    dealt = map_batches(items, "item string, text string", cut).withColumn("slice", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    dealt.repartition("slice").write.partitionBy("slice").parquet(path)
+    stored = spark.read.schema("item string, text string, slice long").parquet(path)
+
+    def each():
+        for k in range(n):
+            held = broadcast(stored.where(F.col("slice") == k).select("item", "text"))
+            yield held
+            held.destroy()
+    return n, each()
 
 
 def _maker(items, window: int):
@@ -217,7 +261,7 @@ def _maker(items, window: int):
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, spans (hit words: first, words), items (ids found, sorted as strings)."""
-    parts = _slices(benchmark, window, item_col, item_text_col)
+    n, parts = _slices(benchmark, window, item_col, item_text_col)
     rows = text_rows(docs, id_col, text_col)
     schema = "doc_id long, n_words long, spans array<struct<first:long,words:long>>, items array<string>"
 
@@ -233,9 +277,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
             return work
         return work_of
 
-    if len(parts) == 1:
-        return map_batches(rows, schema, scan(parts[0]))
-    # several slices: the same text's rows of all slices meet by its digest; only narrow rows move
+    if n == 1:
+        return map_batches(rows, schema, scan(next(parts)))
+    # several slices: the same text's rows of all slices meet by its digest; only narrow rows move,
+    # all of the first slice's and those with hits of the others
     def with_digest(items):
         make = scan(items)
 
@@ -247,6 +292,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     scanned = None
     for k, items in enumerate(parts):
         part = map_batches(keyed, schema + ", digest string", with_digest(items)).withColumn("slice", F.lit(k))
+        part = cut_lineage(part.where(F.size("items") > 0) if k else part, "hits")
         scanned = part if scanned is None else scanned.unionByName(part)
     each = scanned.groupBy("doc_id", "digest", "slice").agg(F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("spans").alias("spans"), F.first("items").alias("items"))
     whole = each.groupBy("doc_id", "digest").agg(F.max("copies").alias("copies"), F.first("n_words").alias("n_words"),
@@ -269,17 +315,27 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
-    """The rows, with all columns, of documents without a hit word. Map-only."""
-    out = docs
-    for items in _slices(benchmark, window, "item_id", "text"):
+    """The rows, with all columns, of documents without a hit word. Map-only; for a benchmark of several
+    slices an anti join with the digests of the texts that have hits."""
+    n, parts = _slices(benchmark, window, "item_id", "text")
+
+    def judge_of(items, column: str, hit: bool):
         make = _maker(items, window)
 
-        def judge(make=make):
+        def judge():
             patterns = make()
 
             def keep(batch):
-                _, spans, _ = hits(patterns, batch.select([text_col]).rename_columns(["text"]))
-                return np.array([not s for s in spans], bool)
+                _, spans, _ = hits(patterns, batch.select([column]).rename_columns(["text"]))
+                return np.array([bool(s) == hit for s in spans], bool)
             return keep
-        out = rows_kept(out, judge)
-    return out
+        return judge
+    if n == 1:
+        return rows_kept(docs, judge_of(next(parts), text_col, False))
+    text = docs.select(F.col(f"`{text_col}`").alias("text"))
+    found = None
+    for items in parts:
+        part = cut_lineage(rows_kept(text, judge_of(items, "text", True)).select(F.sha2("text", 256).alias("digest")).distinct(), "hits")
+        found = part if found is None else found.unionByName(part)
+    found = found.distinct()
+    return docs.join(found, F.sha2(docs[f"`{text_col}`"], 256) == found["digest"], "left_anti")

@@ -353,3 +353,20 @@ def test_contamination(spark, docs, empty, monkeypatch):
         assert clean.columns == docs.columns and clean.count() == sum(not w[-1] for w in want)
     assert wu_manber.contamination(empty, bench).collect() == []
     assert not any(r["spans"] for r in wu_manber.contamination(docs, bench.limit(0)).collect())
+
+
+def test_pieces_of_a_long_item_hold_its_windows():
+    def windows(text):
+        w = R.ITEM_WORD.findall(R.low(text))
+        return {tuple(w[k:k + 10]) for k in range(max(1, len(w) - 9) if w else 0)}
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 9, 10, 11, 300):
+        words = ["".join(rng.choice(list("abéZ9"), rng.integers(1, 40))) for _ in range(n)]
+        text = "".join(w + str(rng.choice([" ", ", ", "\n- "])) for w in words)
+        want = windows(text)
+        for limit in (1, 60, 500, 1 << 20):
+            parts = wu_manber.pieces(text, 10, limit)
+            assert set().union(*map(windows, parts)) == want
+            assert limit < 1 << 20 or parts == [text]
+            if limit == 500:
+                assert all(len(p) <= 500 + 10 * 40 for p in parts)
