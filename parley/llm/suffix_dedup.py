@@ -151,7 +151,8 @@ def _divided(raw: np.ndarray, found: tuple[np.ndarray, ...], hot: np.ndarray) ->
 
 def _least(doc: np.ndarray, value: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first occurrence in the least document of each occurrence's context, whether its own document is that one)."""
-    order = np.lexsort((doc, context, value))
+    # the sort is stable: where ids ascend already, they need no key
+    order = np.lexsort((context, value) if np.all(doc[1:] >= doc[:-1]) else (doc, context, value))
     v, c = value[order], context[order]
     new = np.ones(len(v), bool)
     new[1:] = (v[1:] != v[:-1]) | (c[1:] != c[:-1])
