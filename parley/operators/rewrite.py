@@ -133,7 +133,7 @@ def _segments(text: Column) -> Column:
 
 
 def _bit_test(hashes: list[int]):
-    """A test whether a phrase's hash may be one of these: a bit map of 16 bits or more a
+    """A test whether columns' hash may be one of these: a bit map of 16 bits or more a
     hash, as one constant."""
     size = max(64, 1 << (16 * max(len(hashes), 1) - 1).bit_length())
     words = [0] * (size // 64)
@@ -143,31 +143,44 @@ def _bit_test(hashes: list[int]):
     signed = ",".join(str(w - (1 << 64) if w >> 63 else w) for w in words)
     bits = F.split(F.lit(signed), ",").cast("array<bigint>")
 
-    def test(phrase: Column) -> Column:
-        at = F.xxhash64(phrase).bitwiseAND(F.lit(size - 1).cast("long"))
+    def test(*cols: Column) -> Column:
+        at = F.xxhash64(*cols).bitwiseAND(F.lit(size - 1).cast("long"))
         return F.bit_get(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
     return test
 
 
-def _candidates(segments: Column, max_words: int, may_match=None) -> Column:
-    """For every word run i and k = 1..max_words: (i, end run, lower-cased
-    phrase of k words with their separators). The run array is bound once
-    (``let``) — referring to the expression inside the lambdas would redo the
-    regex per element."""
-    def build(segs):
-        n = F.size(segs)
-        idx = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        words = F.filter(idx, lambda i: F.element_at(segs, i).rlike(f"^[{WORD_CHARS}]"))
+def _test_of(hashes: DataFrame):
+    """``_bit_test`` of a one-column table, None where it has over ``MAX_BIT_TERMS`` rows."""
+    found = hashes.distinct().limit(MAX_BIT_TERMS + 1).collect()
+    return _bit_test([r[0] for r in found]) if len(found) <= MAX_BIT_TERMS else None
 
-        def for_k(k):
-            span = 2 * k - 1
-            return F.transform(
-                F.filter(words, lambda i: i + span - 1 <= n),
-                lambda i: F.struct(i.alias("i"), (i + span - 1).alias("e"),
-                                   F.lower(F.array_join(F.slice(segs, i, span), "")).alias("p")))
-        found = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), for_k))
-        return F.filter(found, lambda c: may_match(c["p"])) if may_match else found
-    return let(segments, build)
+
+def _start(first_word: Column) -> Column:
+    """A lower-cased word as it is looked up: a sigma's form depends on what follows."""
+    return F.replace(first_word, F.lit("ς"), F.lit("σ"))
+
+
+def _candidates(rows: DataFrame, text_col: str, on: tuple[str, ...], max_words: int, may_start=None, may_match=None) -> DataFrame:
+    """``_row, on, i, e, term``: for word run i and k = 1..max_words, the end run and the
+    lower-cased phrase of k words with their separators. Runs become rows of their own at
+    once, and those go whose word no term begins with; what is left takes along the few runs
+    that a phrase may have, not its text. (An outer explode of an array that is never
+    empty is the plain one, without a filter that computes the array again.)"""
+    cols = ["_row", *on]
+    cut = rows.select(*cols, _segments(F.col(text_col)).alias("_segs"),
+                      F.col(text_col).rlike(f"^[{WORD_CHARS}]").cast("int").alias("_even"))
+    each = cut.select(*cols, "_segs", "_even", F.posexplode_outer("_segs").alias("_at", "_seg"))
+    words = each.where((F.col("_at") + F.col("_even")) % 2 == 1)         # runs alternate
+    if may_start:
+        words = words.where(may_start(*on, _start(F.lower("_seg"))))
+    spans = words.select(*cols, (F.col("_at") + 1).alias("i"),
+                         F.slice("_segs", F.col("_at") + 1, F.lit(2 * max_words - 1)).alias("_span"))
+
+    def phrases(k):
+        return F.struct((F.col("i") + 2 * k - 2).alias("e"), F.lower(F.array_join(F.slice("_span", F.lit(1), 2 * k - 1), "")).alias("term"))
+    ks = F.sequence(F.lit(1), F.floor((F.size("_span") + 1) / 2).cast("int"))
+    found = spans.select(*cols, "i", F.explode_outer(F.transform(ks, phrases)).alias("c")).select(*cols, "i", "c.e", "c.term")
+    return found.where(may_match(*on, F.col("term"))) if may_match else found
 
 
 def _leftmost_longest(matches: DataFrame) -> DataFrame:
@@ -194,35 +207,33 @@ def rewrite_joined(df: DataFrame, text_col: str, table: DataFrame, out: str, on:
     """``rewrite`` for term tables of any size. The rows get numbers in a written table,
     so their own keys may repeat or be null. Candidates (word runs x phrase
     lengths) are joined to the table on the phrase and the columns ``on`` that both
-    sides have (AQE splits a hot phrase); before that shuffle, candidates whose hash
-    no term has go: inside the text's own array where the terms fit a bit map, else by
-    a broadcast of the hashes where they are few enough. Matches are
+    sides have (AQE splits a hot phrase); before that, words that begin no term and
+    candidates that are none go, by bit maps of hashes where those are few enough, else by
+    a broadcast of the terms' hashes. A table that fits the bit map is broadcast, too. Matches are
     resolved per text, and the text is rebuilt from its runs in one pass."""
     t = normalize_table(table, on)
     max_words = t.select(F.max(F.regexp_count("term", F.lit(f"[{WORD_CHARS}]+")))).first()[0] or 1
     rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()), "rewrite-rows")
-    hashes, small = broadcast_if_small(t.select(F.xxhash64("term").alias("_h")).distinct(), "term hashes")
-    found = hashes.limit(MAX_BIT_TERMS + 1).collect()
-    few = len(found) <= MAX_BIT_TERMS
-    test = _bit_test([r["_h"] for r in found]) if few else None
-    cands = rows.select("_row", *on, F.explode(_candidates(_segments(F.col(text_col)), max_words, test)).alias("c"))
-    cands = cands.select("_row", *on, "c.i", "c.e", F.col("c.p").alias("term"))
-    if small and not few:
-        cands = cands.join(hashes, F.xxhash64("term") == F.col("_h"), "left_semi")
-    kept = _leftmost_longest(cands.join(t, [*on, "term"]).select("_row", "i", "e", "plain"))
+    hashes, small = broadcast_if_small(t.select(F.xxhash64(*on, "term").alias("_h")).distinct(), "term hashes")
+    test = _test_of(hashes)
+    starts = _test_of(t.select(F.xxhash64(*on, _start(F.regexp_extract("term", f"^[{WORD_CHARS}]+", 0)))))
+    cands = _candidates(rows, text_col, on, max_words, starts, test)
+    if small and not test:
+        cands = cands.join(hashes, F.xxhash64(*on, "term") == F.col("_h"), "left_semi")
+    kept = _leftmost_longest(cands.join(F.broadcast(t) if test else t, [*on, "term"]).select("_row", "i", "e", "plain"))
     joined = rows.join(kept, "_row", "left")
 
     def rebuild(b):
-        segs, ks = b["segs"], b["kept"]
+        ks = b["kept"]
 
-        def piece(m, idx):
+        def upto(m, idx):                               # null: the run stays as it is
             prev = F.when(idx == 0, F.lit(0)).otherwise(F.element_at(ks, idx)["e"])
-            return F.concat(F.array_join(F.slice(segs, prev + 1, m["i"] - prev - 1), ""), m["plain"])
-        last = F.coalesce(F.try_element_at(ks, F.lit(-1))["e"], F.lit(0))
-        return F.concat(F.array_join(F.transform(ks, piece), ""),
-                        F.array_join(F.slice(segs, last + 1, F.greatest(F.size(segs) - last, F.lit(0))), ""))
-
-    both = F.struct(_segments(F.col(text_col)).alias("segs"),
-                    F.coalesce(F.col("_kept"), F.array().cast(_MATCH)).alias("kept"))
-    rebuilt = F.when(F.col(text_col).isNull(), F.lit(None).cast("string")).otherwise(let(both, rebuild))
+            return F.concat(F.array_repeat(F.lit(None).cast("string"), m["i"] - prev - 1), F.array(m["plain"]),
+                            F.array_repeat(F.lit(""), m["e"] - m["i"]))
+        put = F.zip_with(b["segs"], F.flatten(F.transform(ks, upto)), lambda run, new: F.coalesce(new, run))
+        return F.array_join(put, "")
+
+    # array functions that copy a slice go through all of its array each time, so none is used per match
+    both = F.struct(_segments(F.col(text_col)).alias("segs"), F.col("_kept").alias("kept"))
+    rebuilt = F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(let(both, rebuild))
     return joined.withColumn(out, rebuilt).drop("_kept", "_row")

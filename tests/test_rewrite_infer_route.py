@@ -239,3 +239,16 @@ def test_candidates_are_tested_before_they_become_rows(spark, monkeypatch, bit_t
     got = rewrite.rewrite_joined(df, "text", table, "o").collect()
     want = df.select("id", "text", rewrite.rewrite(F.col("text"), terms).alias("o")).collect()
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_joined_rewrite_takes_along_only_what_a_phrase_may_have(spark):
+    """Per word and match, the arrays of the whole text were copied."""
+    text = " ".join(("edema", "of the", "skin,", "no\nhypertension")[k % 4] for k in range(20_000))
+    df = spark.createDataFrame([(1, text), (2, "no match"), (3, None), (4, ""), (5, ", edema."), (6, "ΟΔΟΣ'Α, ΟΔΟΣ")], "id long, text string")
+    terms = [("edema", "swelling"), ("of the", "der"), ("hypertension", "high pressure"), ("οδοσ'α", "road a"), ("οδος", "road")]
+    got = dict(rows(rewrite.rewrite_joined(df, "text", spark.createDataFrame(terms, "term string, plain string"), "o"), "id", "o"))
+    assert got[1] == text.replace("edema", "swelling").replace("of the", "der").replace("hypertension", "high pressure")
+    assert [got[k] for k in (2, 3, 4, 5, 6)] == ["no match", None, "", ", swelling.", "road a, road"]
+    long = df.where("id = 1").select(F.col("id").alias("_row"), "text")
+    found = rewrite._candidates(long, "text", (), 2, lambda w: w == "of")
+    assert {(r["e"] - r["i"], r["term"]) for r in found.collect()} == {(0, "of"), (2, "of the")} and found.count() == 10_000
