@@ -30,6 +30,8 @@ from parley.plans.sizing import broadcast_fixed
 
 #: Counts kept for each term wanted.
 SPARE = 8
+#: Terms that a task counts at once.
+AT_ONCE = 1 << 17
 
 Summary = tuple[dict[str, int], int]
 
@@ -52,14 +54,26 @@ def merged(a: Summary, b: Summary, capacity: int) -> Summary:
 def summary(corpus: DataFrame, capacity: int, text_col: str = "text") -> Summary:
     """(counts, most that any term's count falls short) of all terms of the corpus."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, lost = {}, 0
-        for batch in batches:
-            for pair in pc.value_counts(batch.column(0).flatten()).to_pylist():
-                counts[pair["values"]] = counts.get(pair["values"], 0) + pair["counts"]
+        counts, lost, held = {}, 0, []
+
+        def add() -> None:
+            nonlocal counts, lost
+            found = pc.value_counts(pa.chunked_array(held, pa.string()))
+            for term, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist()):
+                counts[term] = counts.get(term, 0) + n
+            held.clear()
             if len(counts) > 2 * capacity:
                 counts, lost = pruned(counts, lost, capacity)
+        for batch in batches:
+            held.append(batch.column(0))
+            if sum(map(len, held)) >= AT_ONCE:
+                add()
+        add()
         yield pa.RecordBatch.from_pydict({"s": pa.array([pickle.dumps(pruned(counts, lost, capacity))], pa.binary())})
-    parts = corpus.select(terms(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).mapInArrow(run, "s binary")
+    # a row a term, so what a task holds follows neither the texts' lengths nor their number; the
+    # outer explode is the plain one here, without a filter that computes the terms again
+    each = corpus.select(F.explode_outer(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("t")).where("t IS NOT NULL")
+    parts = each.mapInArrow(run, "s binary")
     both = lambda a, b: merged(a, b, capacity)
     return parts.rdd.map(lambda r: pickle.loads(r["s"])).treeAggregate(({}, 0), both, both, depth=2)
 

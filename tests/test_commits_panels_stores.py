@@ -233,3 +233,12 @@ def test_two_pass_vocabulary(spark, spare):
     some = heavy.survivors((counts, lost), 5)
     assert some is not None and len(some) < len(real) / 20
     assert rows(heavy.vocab_topk(df.limit(0), 5)) == []
+
+
+def test_a_summary_counts_a_bounded_number_of_terms_at_once(spark, monkeypatch):
+    """All terms of the texts that Spark sent at once were counted together."""
+    from parley.operators import heavy
+    df = spark.createDataFrame([(" ".join(f"w{k % 50} x{k}" for k in range(n, n + 3_000)),) for n in range(0, 30_000, 3_000)] + [(None,), ("",)], "text string")
+    monkeypatch.setattr(heavy, "AT_ONCE", 1_000)
+    got = [tuple(r) for r in heavy.vocab_topk(df, 40).orderBy("term").collect()]
+    assert got == [tuple(r) for r in features.vocab_topk(features.term_stats(df), 40).orderBy("term").collect()]
