@@ -46,6 +46,11 @@ def word(token: Column) -> Column:
     return F.lower(F.ltrim(token))
 
 
+def words(text: Column) -> Column:
+    """The ``word`` of each of the text's tokens, found without cutting them again."""
+    return F.transform(F.regexp_extract_all(text, F.lit(f"{BLANK}*({TOKEN.removeprefix(BLANK + '*')})"), 1), F.lower)
+
+
 def _key(part: Column) -> Column:
     """What a run of tokens is looked up by."""
     return word(F.array_join(part, ""))
@@ -61,7 +66,7 @@ def entries(table: DataFrame) -> DataFrame:
 
 def bigram_scores(texts: DataFrame, tgt: str, text: str = "text") -> DataFrame:
     """``(tgt, prev, next, score)`` of the pairs in the texts of a language."""
-    w = F.concat(F.array(F.lit("")), F.transform(tokens(F.col(text)), word), F.array(F.lit("")))
+    w = F.concat(F.array(F.lit("")), words(F.col(text)), F.array(F.lit("")))
     pairs = (texts.where(F.col(text).isNotNull()).select(w.alias("w"))
              .select(F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("prev"), F.slice("w", 2, F.size("w") - 1).alias("next"))).alias("p"))
              .groupBy("p.prev", "p.next").agg(F.count("*").alias("n")))
@@ -83,14 +88,20 @@ def _scored_entries(table: DataFrame, bigrams: DataFrame) -> DataFrame:
         (F.col("score") + F.coalesce("_inner", F.lit(0))).alias("score"))
 
 
+def _runs(rows: DataFrame, most: int) -> DataFrame:
+    """``_row, _src, _tgt, i, r`` (size, key): the runs of 1 to ``most`` tokens from each place i. A
+    place takes along those few tokens, not its row's."""
+    place = rows.select("_row", "_src", "_tgt", "_tokens", F.posexplode_outer("_tokens").alias("i", "_token")).where("i IS NOT NULL")
+    span = place.select("_row", "_src", "_tgt", "i", F.slice("_tokens", F.col("i") + 1, F.lit(most)).alias("_span"))
+    return span.select("_row", "_src", "_tgt", "i", F.explode_outer(F.transform(
+        F.sequence(F.lit(1), F.size("_span")), lambda m: F.struct(m.alias("size"), _key(F.slice("_span", F.lit(1), m)).alias("key")))).alias("r"))
+
+
 def lattices(rows: DataFrame, table: DataFrame, bigrams: DataFrame) -> DataFrame:
     """``rows`` (_row, _src, _tgt, _tokens) with ``edges`` and ``pairs``, a row's entries and bigrams."""
     found = cut_lineage(_scored_entries(table, bigrams), "lattice-entries")
     most = found.agg(F.max("size")).first()[0] or 0
-    size, at = F.size("_tokens"), F.col("i")
-    place = rows.select("_row", "_src", "_tgt", "_tokens", F.explode(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)))).alias("i")).where(at < size)
-    runs = place.select("_row", "_src", "_tgt", "i", F.explode(F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(max(most, 1)), size - at)), lambda m: F.struct(m.alias("size"), _key(F.slice("_tokens", at + 1, m)).alias("key")))).alias("r"))
+    runs = _runs(rows, max(most, 1))
     edges = (runs.select("_row", "_src", "_tgt", "i", "r.key", "r.size")
              .join(found.withColumnsRenamed({"src": "_src", "tgt": "_tgt"}), ["_src", "_tgt", "key", "size"])
              .groupBy("_row").agg(F.collect_list(F.struct("i", "size", "out", "first", "last", "score")).alias("edges")))

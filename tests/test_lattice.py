@@ -80,3 +80,17 @@ def test_bigram_scores(spark):
     assert got[("the", "pain")] == round(1000 * -0.405465) and got[("pain", ",")] == round(-693.147) and got[("", "the")] == 0
     e = spark.createDataFrame([("a", "b", "p", "x"), ("a", "b", "p", "x"), ("a", "b", "p", "y"), ("a", "b", "q", "x")], "src string, tgt string, phrase string, translation string")
     assert {(r["phrase"], r["translation"], r["score"]) for r in L.entries(e).collect()} == {("p", "x", -693), ("p", "y", -693), ("q", "x", 0)}
+
+
+def test_a_place_takes_along_only_what_an_entry_may_have(spark):
+    """Every place took along all tokens of its row."""
+    text = " \t".join(("Tension", "artérielle,", "\u00a0x", "ΟΔΟΣ'")[k % 4] for k in range(400))
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id long, text string")
+    both = df.select("id", F.transform(L.tokens(F.col("text")), L.word).alias("a"), L.words(F.col("text")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both) and len(both[0]["b"]) > 400
+    table = spark.createDataFrame([("fr_XX", "en_XX", "tension artérielle", "blood pressure", -10)], ENTRY)
+    rows = df.where("id < 3").select(F.col("id").alias("_row"), F.lit("fr_XX").alias("_src"), F.lit("en_XX").alias("_tgt"), L.tokens(F.col("text")).alias("_tokens"))
+    runs = L._runs(rows, 2)
+    assert "_tokens" not in runs.columns and runs.count() == 2 * len(both[0]["b"]) - 1
+    got = {r["_row"]: r["edges"] for r in L.lattices(rows, table, spark.createDataFrame([], LM)).collect()}
+    assert len(got[1]) == 100 and got[2] == []
