@@ -110,3 +110,14 @@ def test_a_long_text(spark):
     r = A.audit(df, "s", "o").select(F.size("added").alias("n"), "negations").first()
     assert r["n"] == 0 and r["negations"] == 0
     assert len(A.align(np.arange(60_000) % 997, np.delete(np.arange(60_000) % 997, slice(30_000, 30_040)))) == 59_960
+
+
+def test_tokens_are_sent_as_one_text(spark):
+    """Lists of all texts' tokens were held at once."""
+    df = spark.createDataFrame([("No  pain\u00a0now,\x0bno\tFEVER.", "pain\u00a0now,\x0bno fever. ΟΔΟΣ"), (" ", None)], "s string, o string")
+    done = A.audit(df, "s", "o", GLOSSARY)
+    args = [j.toString() for j in [done._jdf.queryExecution().optimizedPlan()]][0]
+    assert args.count("array_join") == 2
+    got = {r["s"]: r for r in done.collect()}
+    r = got["No  pain\u00a0now,\x0bno\tFEVER."]
+    assert (r["negations"], r["negations_lost"], r["added"]) == (2, 1, ["οδος"]) and got[" "]["negations"] == 0
