@@ -4,7 +4,7 @@ Newton method over distributed Hessian-vector products.
 Minimises ``|w|^2 / 2 + sum c_i max(0, 1 - y_i w.x_i)^2`` with ``y_i`` of -1 and 1, a
 cost ``c_i`` for each row, and a constant feature 1 whose weight is the intercept.
 
-* ``blocks`` turns texts into compressed sparse rows, an Arrow batch of rows a block: term
+* ``blocks`` turns texts into compressed sparse rows, an Arrow batch of rows or less a block: term
   numbers and unit-length TF-IDF values by Arrow look-ups, once.
 * A pass over the blocks sums a loss with its gradient and its Hessian's diagonal, or the
   product of the Hessian with one vector; ``treeAggregate`` adds up vectors of the
@@ -35,6 +35,8 @@ from parley.session import cut_lineage
 PASS_BYTES = 64 << 20
 #: Fixed values of the method: what a step must gain, and how the radius follows it.
 GAIN, GROW, SHRINK, RESIDUAL = 1e-4, 4.0, 0.25, 0.3
+#: Rows of a block at most: what is worked out for it follows this, not how many rows Spark sends at once.
+BLOCK_ROWS = 1024
 BLOCK = "starts binary, terms binary, x binary, y binary, c binary"
 
 
@@ -47,7 +49,7 @@ def blocks(rows: DataFrame, vocab: list[str], idf: list[float], text: str = "tex
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, scale = shared.value
-        for batch in batches:
+        for batch in (b.slice(k, BLOCK_ROWS) for b in batches for k in range(0, b.num_rows, BLOCK_ROWS)):
             found = batch.column(0)
             number = pc.index_in(found.flatten(), names)
             row = pc.list_parent_indices(found).to_numpy()

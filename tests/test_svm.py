@@ -124,3 +124,18 @@ def test_margins_of_an_empty_table(spark):
     none = classifier.LinearTextModel(spark.createDataFrame([], "term string, idf double, coef double"), 0.25, 0)
     one = spark.createDataFrame([(1, "pain")], "id long, text string")
     assert rows(classifier.margins(one, ["id"], none)) == [(1, 0.25)]
+
+
+def test_a_block_has_a_bounded_number_of_rows(spark):
+    """A block was as many rows as Spark sent at once."""
+    data = [("s", k, f"pain fever w{k % 9}" if k % 5 else "", k % 2, 1.0) for k in range(2_500)]
+    rows = spark.createDataFrame(data, "source string, id long, text string, label int, weight double").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        table = svm.blocks(rows, ["fever", "pain", "w1"], [1.0, 2.0, 3.0])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    found = [svm.Block(r) for r in table.collect()]
+    assert sorted(len(b.y) for b in found) == [452, 1024, 1024]
+    assert sum(len(b.x) for b in found) == 2_000 * 2 + sum(1 for k in range(2_500) if k % 5 and k % 9 == 1)
+    assert np.allclose(sum((b.x ** 2).sum() for b in found), 2_000)
